@@ -5,7 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: A side of a join is broadcast only if it has been written and has no more rows and bytes than this.
+BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 16 << 20
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -33,5 +37,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def join_checked(large: DataFrame, small: DataFrame, on: Column, how: str) -> DataFrame:
+    """Join with a written table: broadcast if its size allows, else left to Spark's shuffle.
+
+    ``small`` has to be cheap to read; its rows are counted and its columns' sizes summed.
+    """
+    widths = [F.coalesce(F.sum(F.octet_length(F.col(c).cast("string"))), F.lit(0)) for c in small.columns]
+    rows, *sizes = small.agg(F.count(F.lit(1)), *widths).first()
+    if rows <= BROADCAST_ROWS and sum(sizes) <= BROADCAST_BYTES:
+        small = F.broadcast(small)
+    return large.join(small, on, how)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -87,10 +87,9 @@ def host_verdicts(rated: DataFrame, max_rate: float = 0.5) -> DataFrame:
     mean = F.col("all_bad") / F.col("all_n")
     spread = F.greatest(F.col("squares") / F.col("all_n") - mean * mean, F.lit(1e-9))
     weight = F.greatest(F.least(mean * (1 - mean) / spread - 1, F.lit(1e6)), F.lit(1.0))
-    prior = total.select(mean.alias("prior_mean"), weight.alias("prior_n"))
-    # One row on the right side: an aggregate without keys.
-    shrunk = (F.col("bad") + F.col("prior_mean") * F.col("prior_n")) / (F.col("n") + F.col("prior_n"))
-    return hosts.join(F.broadcast(prior)).select("host", shrunk.alias("host_rate"), (shrunk <= max_rate).alias("host_kept"))
+    prior = total.select(F.struct(mean.alias("mean"), weight.alias("n"))).scalar()
+    shrunk = (F.col("bad") + prior["mean"] * prior["n"]) / (F.col("n") + prior["n"])
+    return hosts.select("host", shrunk.alias("host_rate"), (shrunk <= max_rate).alias("host_kept"))
 
 
 def _judged(rated: DataFrame, max_rate: float) -> DataFrame:
