@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 #: Pieces whose encoding a Python worker remembers; beyond it the memory is emptied.
-PIECE_MEMORY = 400_000
+PIECE_MEMORY = 800_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -191,6 +191,17 @@ class Encoder:
         return b"".join(map(self.vocabulary.token_bytes.__getitem__, ids))
 
 
+_ENCODERS: dict[tuple[str, str], Encoder] = {}
+
+
+def shared_encoder(ranks_path: str, pattern: str) -> Encoder:
+    """This process's encoder: a Python worker keeps it, and the pieces it knows, from task to task."""
+    key = (ranks_path, pattern)
+    if key not in _ENCODERS:
+        _ENCODERS[key] = Encoder(load_ranks(ranks_path), pattern)
+    return _ENCODERS[key]
+
+
 class TextTable:
     """A text that grows at its end, with its encoding at hand.
 
@@ -227,9 +238,8 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
     schema = T.StructType([T.StructField(id_col, id_type), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = None
+        encoder = shared_encoder(ranks_path, pattern)
         for batch in batches:
-            encoder = encoder or Encoder(load_ranks(ranks_path), pattern)
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
                 all_ids, decoded = [], []
