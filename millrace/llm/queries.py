@@ -13,6 +13,7 @@ from millrace.llm.bpe import encode_documents
 from millrace.llm.common import table
 from millrace.llm.fingerprint import compare_edits
 from millrace.llm.language_id import fit_languages, identify_languages
+from millrace.llm.near_dedup import near_duplicates
 from millrace.llm.quality_classifier import fit_quality, score_quality
 from millrace.llm.quality_rules import quality_verdicts
 
@@ -44,6 +45,10 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), size=2)
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(table(spark, sf_dir, "documents")).drop("host_rate")
 
@@ -70,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op3_fingerprints": op3_fingerprints,
     "op4_line_dedup": op4_line_dedup,
+    "op5_near_dedup": op5_near_dedup,
     "op6_quality_rules": op6_quality_rules,
     "op7_mixing": op7_mixing,
     "op9_quality_classifier": op9_quality_classifier,
