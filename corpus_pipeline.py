@@ -11,14 +11,37 @@ from pyspark.sql import functions as F
 
 from millrace.llm.bpe import encode_documents
 from millrace.llm.common import scratch_dir
+from millrace.llm.line_dedup import drop_boilerplate
+from millrace.llm.mixing import mix
+from millrace.llm.near_dedup import near_duplicates
 from millrace.llm.quality_rules import keep_good
 
+#: Share of all tokens that the mixture takes; no document is repeated.
+BUDGET_SHARE = 0.95
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the quality rules, or whose host does, go."""
     return keep_good(docs)
 
 
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that are boilerplate of their source are cut out."""
+    cut = drop_boilerplate(docs).withColumn("text", F.col("kept_text")).withColumn("n_chars", F.length("kept_text").cast("bigint"))
+    return cut.select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of near-duplicates (five-word shingles, 0.8 or more) the one with the smallest id stays."""
+    kept = near_duplicates(docs.select("doc_id", "text")).filter("kept").select("doc_id")
+    return docs.join(kept, "doc_id", "left_semi")
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources are mixed to their weights."""
+    return mix(docs, BUDGET_SHARE).select(*docs.columns)
+
+
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document's token ids."""
     encoded = encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -27,6 +50,9 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality rules", quality_rules),
+    ("line dedup", line_dedup),
+    ("near dedup", near_dedup),
+    ("mixing", mixing),
     ("tokens", tokens),
 ]
 
