@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A side of a join is broadcast only if it has been written and has no more rows and bytes than this.
 BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 16 << 20
@@ -49,5 +50,20 @@ def join_checked(large: DataFrame, small: DataFrame, on: Column, how: str) -> Da
     return large.join(small, on, how)
 
 
+def sample_by_hash(rows: DataFrame, id_col: str, class_col: str, classes: list, most: int, seed: int) -> tuple[DataFrame, dict]:
+    """Of each class the ``most`` rows of ``(id, class)`` with the smallest hash of the id.
+
+    Only ids come to the driver, ``most`` of each class, so the result may be broadcast.
+    Also returns the size of each class.
+    """
+    spark, found = rows.sparkSession, []
+    schema = T.StructType([T.StructField("__id", rows.schema[id_col].dataType), T.StructField("__class", rows.schema[class_col].dataType)])
+    for name in classes:
+        own = rows.filter(F.col(class_col) == F.lit(name)).select(id_col)
+        found += [(r[0], name) for r in own.orderBy(F.xxhash64(F.lit(seed), id_col), id_col).limit(most).collect()]
+    counts = {r[0]: r[1] for r in rows.groupBy(class_col).count().collect() if r[0] in classes}
+    return spark.createDataFrame(found, schema), counts
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.common import sample_by_hash
+
 #: Labelled texts of each language that a fit uses at most, and characters of each.
 SAMPLE, SAMPLE_CHARS = 1500, 6000
 DIMENSIONS, N, SYMBOLS = 1024, 3, 128
@@ -112,11 +114,14 @@ def fit_languages(labelled: DataFrame, id_col: str, text_col: str, lang_col: str
     hash of their id, each cut to SAMPLE_CHARS characters: the bound is fixed whatever the
     size of the table (the number of languages is that of the labels in use).
     """
-    rows = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.substring(text_col, 1, SAMPLE_CHARS).alias("text"), F.col(lang_col).alias("lang"))
+    rows = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     space, prototypes = _space(), []
-    languages = [r[0] for r in rows.select("lang").distinct().orderBy("lang").collect()]
+    languages = sorted(r[0] for r in rows.select(lang_col).distinct().collect())
+    chosen, _ = sample_by_hash(rows.select(id_col, lang_col), id_col, lang_col, languages, sample, 10)
+    text = F.substring(text_col, 1, SAMPLE_CHARS)
+    texts_of = rows.join(F.broadcast(chosen), (F.col(id_col) == F.col("__id")) & (F.col(lang_col) == F.col("__class"))).select("__class", text.alias("text")).limit(sample * max(1, len(languages))).collect()
     for lang in languages:
-        texts = [r[0] for r in rows.filter(F.col("lang") == lang).orderBy(F.xxhash64(F.lit(10), "id"), "text").limit(sample).select("text").collect()]
+        texts = [r["text"] for r in texts_of if r["__class"] == lang]
         total = np.zeros(DIMENSIONS)
         for at in range(0, len(texts), 64):
             profiles = space.profiles(texts[at : at + 64])

@@ -3,7 +3,9 @@
 One zstandard dictionary is built from texts labelled good, one from texts labelled
 bad. A text that is like the good ones gets smaller with the good dictionary; the
 difference of the two compressed sizes, divided by their mean, is calibrated to a
-probability by logistic regression on labelled texts that built neither dictionary.
+probability by logistic regression on labelled texts that built neither dictionary. The
+regression also sees how far the text shrinks at all: where little is left (a few words
+over and over) the difference says little.
 """
 
 from __future__ import annotations
@@ -16,6 +18,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.common import sample_by_hash
+
 #: Labelled texts of each class that a fit uses at most, and bytes of each.
 SAMPLE, SAMPLE_BYTES = 3000, 8000
 #: A text is compressed in pieces of so many bytes: its own repeats then count little.
@@ -38,30 +42,29 @@ def _compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(dict_data=data, write_content_size=False, write_checksum=False, write_dict_id=False)
 
 
-class SizeDifference:
-    """Maps a text to the normalised difference of its two compressed sizes."""
+class Sizes:
+    """Maps a text to the normalised difference of its two compressed sizes, and the log of their mean per byte."""
 
     def __init__(self, good: bytes, bad: bytes):
         self.good, self.bad = _compressor(good).compress, _compressor(bad).compress
 
-    def __call__(self, text: str | None) -> float:
+    def __call__(self, text: str | None) -> tuple[float, float]:
         data = (text or "").encode("utf-8", "replace")
         if not data:
-            return 0.0
+            return (0.0, 0.0)
         pieces = [data[i : i + PIECE] for i in range(0, len(data), PIECE)]
         good, bad = sum(len(self.good(p)) for p in pieces), sum(len(self.bad(p)) for p in pieces)
-        return 2.0 * (bad - good) / (bad + good)
+        return (2.0 * (bad - good) / (bad + good), float(np.log((bad + good) / (2 * len(data)))))
 
 
 @dataclass
 class QualityModel:
     good: bytes
     bad: bytes
-    slope: float
-    intercept: float
+    weights: tuple[float, float, float]
 
-    def probability(self, difference: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * difference + self.intercept, -40, 40)))
+    def probability(self, sizes: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(sizes @ np.array(self.weights[:2]) + self.weights[2], -40, 40)))
 
     def score(self, text: Column) -> Column:
         """0 to 1, higher for better texts."""
@@ -70,66 +73,65 @@ class QualityModel:
         @F.arrow_udf("double")
         def run(texts: pa.Array) -> pa.Array:
             measure = _measure(model)
-            return pa.array(model.probability(np.array([measure(t.as_py()) for t in texts], dtype=float)))
+            return pa.array(model.probability(np.array([measure(t.as_py()) for t in texts], dtype=float).reshape(-1, 2)))
 
         return run(text)
 
 
-_MEASURES: dict[tuple[int, int], SizeDifference] = {}
+_MEASURES: dict[tuple[int, int], Sizes] = {}
 
 
-def _measure(model: QualityModel) -> SizeDifference:
+def _measure(model: QualityModel) -> Sizes:
     key = (hash(model.good), hash(model.bad))
     if key not in _MEASURES:
         _MEASURES.clear()
-        _MEASURES[key] = SizeDifference(model.good, model.bad)
+        _MEASURES[key] = Sizes(model.good, model.bad)
     return _MEASURES[key]
 
 
-def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and intercept by Newton's method, with a small ridge."""
-    rows = np.column_stack([x, np.ones_like(x)])
-    w = np.zeros(2)
+def logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """A weight for each column and an intercept, by Newton's method with a small ridge."""
+    rows = np.column_stack([x, np.ones(len(x))])
+    w = np.zeros(rows.shape[1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(rows @ w, -40, 40)))
         gradient = rows.T @ (p - y) + 1e-3 * w
-        hessian = (rows * (p * (1 - p))[:, None]).T @ rows + 1e-3 * np.eye(2)
+        hessian = (rows * (p * (1 - p))[:, None]).T @ rows + 1e-3 * np.eye(len(w))
         step = np.linalg.solve(hessian, gradient)
         w -= step
         if np.abs(step).max() < 1e-8:
             break
-    return float(w[0]), float(w[1])
+    return w
 
 
-def fit_quality(labelled: DataFrame, id_col: str, text_col: str, label_col: str, sample: int = SAMPLE) -> QualityModel:
-    """Fit on rows of ``labelled`` whose label is 0 or 1.
+def fit_quality(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> QualityModel:
+    """Fit on the documents whose label is 0 or 1.
 
-    At most ``sample`` rows of each class come to the driver, those with the smallest
-    hash of their id, each cut to SAMPLE_BYTES characters; this bound is fixed whatever
-    the size of the table. Two thirds of them build the dictionaries, the rest calibrate;
-    the calibration weighs classes by their true counts. With no rows of a class, every
-    score is the share of good rows (0.5 without any label).
+    ``labels`` has the id and the label of those to learn from. At most ``sample`` documents
+    of each class come to the driver, those with the smallest hash of their id, each cut to
+    SAMPLE_BYTES characters; this bound is fixed whatever the size of the table. They are
+    chosen by their ids, so no text is shuffled. Two thirds of them build the dictionaries, the
+    rest calibrate; the calibration weighs classes by their true counts. With no documents of
+    a class, every score is the share of good ones (0.5 without any label).
     """
-    rows = labelled.filter(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("id"), F.substring(F.coalesce(text_col, F.lit("")), 1, SAMPLE_BYTES).alias("text"), F.col(label_col).cast("int").alias("label"))
-    texts, counts = {}, {}
-    for label in (0, 1):
-        own = rows.filter(F.col("label") == label)
-        found = own.orderBy(F.xxhash64(F.lit(9), "id"), "text").limit(sample).select("text").collect()
-        texts[label] = [r[0].encode("utf-8", "replace") for r in found]
-        counts[label] = len(found) if len(found) < sample else own.count()
+    chosen, counts = sample_by_hash(labels.select(id_col, F.col(label_col).cast("int").alias("label")), id_col, "label", [0, 1], sample, 9)
+    text = F.substring(F.coalesce(text_col, F.lit("")), 1, SAMPLE_BYTES)
+    rows = docs.join(F.broadcast(chosen), F.col(id_col) == F.col("__id")).select("__class", F.xxhash64(F.lit(9), "__id").alias("h"), text.alias("text")).limit(2 * sample).collect()
+    texts = {label: [r["text"].encode("utf-8", "replace") for r in sorted(rows, key=lambda r: (r["h"], r["text"])) if r["__class"] == label] for label in (0, 1)}
+    counts = {label: counts.get(label, 0) for label in (0, 1)}
     if not (texts[0] and texts[1]):
         share = counts[1] / sum(counts.values()) if sum(counts.values()) else 0.5
         share = min(max(share, 1e-3), 1 - 1e-3)
-        return QualityModel(b"\n" * 8, b"\n" * 8, 0.0, float(np.log(share / (1 - share))))
+        return QualityModel(b"\n" * 8, b"\n" * 8, (0.0, 0.0, float(np.log(share / (1 - share)))))
     build = {k: [t for i, t in enumerate(v) if i % 3 or len(v) < 3] for k, v in texts.items()}
     rest = {k: v[::3] for k, v in texts.items()}
     good, bad = train_dictionary(build[1]), train_dictionary(build[0])
-    measure = SizeDifference(good, bad)
+    measure = Sizes(good, bad)
     x = np.array([measure(t.decode("utf-8", "replace")) for k in (0, 1) for t in rest[k]])
     y = np.array([k for k in (0, 1) for _ in rest[k]], dtype=float)
-    slope, intercept = logistic(x, y)
+    *weights, intercept = map(float, logistic(x, y))
     intercept += float(np.log(counts[1] / counts[0]) - np.log(len(rest[1]) / len(rest[0])))
-    return QualityModel(good, bad, slope, intercept)
+    return QualityModel(good, bad, (*weights, intercept))
 
 
 def score_quality(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import line_dedup, mixing
+from millrace.llm import chat_format, line_dedup, mixing
 from millrace.llm.bpe import encode_documents
 from millrace.llm.common import table
 from millrace.llm.fingerprint import compare_edits
@@ -16,6 +16,7 @@ from millrace.llm.language_id import fit_languages, identify_languages
 from millrace.llm.near_dedup import near_duplicates
 from millrace.llm.quality_classifier import fit_quality, score_quality
 from millrace.llm.quality_rules import quality_verdicts
+from millrace.llm.substring_dedup import remove_repeats
 
 
 #: Budget over all tokens, and epochs at most.
@@ -36,6 +37,12 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = remove_repeats(table(spark, sf_dir, "documents"))
+    removed = F.col("n_bytes") - F.octet_length("kept")
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_edits(table(spark, sf_dir, "documents"))
 
@@ -58,10 +65,14 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "domain", "lang", "source", "n_tokens", "epoch")
 
 
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.format_chats(chat_format.as_calls(table(spark, sf_dir, "conversations")), chat_format.ASK)
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
-    model = fit_quality(docs.select("doc_id", "text").join(labels, "doc_id").filter(_fold("doc_id", 5) != 0), "doc_id", "text", "quality")
+    model = fit_quality(docs, labels.filter(_fold("doc_id", 5) != 0), "quality")
     return score_quality(docs, model).select("doc_id", (_fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
 
 
@@ -73,11 +84,13 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op2_substring_dedup": op2_substring_dedup,
     "op3_fingerprints": op3_fingerprints,
     "op4_line_dedup": op4_line_dedup,
     "op5_near_dedup": op5_near_dedup,
     "op6_quality_rules": op6_quality_rules,
     "op7_mixing": op7_mixing,
+    "op8_chat_format": op8_chat_format,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_language_id": op10_language_id,
 }
@@ -85,4 +98,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op4_line_dedup": line_dedup.ORACLE,
     "op7_mixing": mixing.oracle(*MIX),
+    "op8_chat_format": chat_format.ORACLE,
 }
