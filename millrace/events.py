@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from enum import IntEnum
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -58,7 +59,11 @@ class Ledger:
             if not getattr(observation, "_jo", None) or not observation._jo.future().isCompleted():
                 left.append((observation, scope, names))
                 continue
-            for name, count in observation.get.items():
+            try:
+                counts = observation.get
+            except Py4JError:  # the optimiser saw that there are no rows to count
+                continue
+            for name, count in counts.items():
                 if count:
                     severity, message = names[name]
                     self.add(severity, scope, message.format(n=count), count)

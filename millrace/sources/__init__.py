@@ -1 +1 @@
-
+"""Readers, file discovery and generated data."""

@@ -1 +1 @@
-
+"""Unbounded sources and windows over streams."""
