@@ -6,7 +6,7 @@ from dataclasses import dataclass, field
 from enum import IntEnum
 
 from py4j.protocol import Py4JError
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -55,6 +55,8 @@ class Ledger:
     def collect(self) -> list[Event]:
         """Events with the counters of all actions so far; counters without an action are left for later."""
         left = []
+        if self._pending and (spark := SparkSession.getActiveSession()):
+            spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(10_000)  # counters arrive just after their action
         for observation, scope, names in self._pending:
             if not getattr(observation, "_jo", None) or not observation._jo.future().isCompleted():
                 left.append((observation, scope, names))

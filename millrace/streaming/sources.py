@@ -33,7 +33,7 @@ def watch(spark: SparkSession, glob: str, files_per_trigger: int = 1000) -> Data
     """
     root = _root(glob)
     _allowed(root, "MILLRACE_WATCH_PATHS")
-    found = spark.readStream.format("binaryFile").option("recursiveFileLookup", "true").option("maxFilesPerTrigger", str(files_per_trigger)).load(root)
+    found = spark.readStream.schema("path string, modificationTime timestamp, length bigint, content binary").format("binaryFile").option("recursiveFileLookup", "true").option("maxFilesPerTrigger", str(files_per_trigger)).load(root)
     found = found.select(plain(F.col("path")).alias("path"), F.col("length").alias("size"), F.col("modificationTime").cast("timestamp_ntz").alias("mtime"))
     found = found.filter(F.col("path").rlike(path_pattern(glob)))
     return found.select("path", F.regexp_extract("path", r"([^/]*)$", 1).alias("name"), "size", "mtime")
