@@ -177,7 +177,9 @@ class Encoder:
             known[piece] = tuple(shared.tokens())
 
     def encode(self, text: str) -> list[int]:
-        pieces = self.split(text)
+        return self.encode_pieces(self.split(text))
+
+    def encode_pieces(self, pieces: list[str]) -> list[int]:
         known = self._known
         new = set(pieces).difference(known)
         if new:
@@ -217,7 +219,7 @@ class TextTable:
     def append(self, more: str) -> None:
         pieces = self.encoder.split(self._open + more)
         if pieces:
-            self._done += self.encoder.encode("".join(pieces[:-1])) if len(pieces) > 1 else []
+            self._done += self.encoder.encode_pieces(pieces[:-1])
             self._open = pieces[-1]
 
     def tokens(self) -> list[int]:
