@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from millrace.events import ContractHalted, Ledger, Severity
 from millrace.functions import scalar as s
+from millrace.scratch import materialize
 
 
 def where(df: DataFrame, *conditions: Column) -> DataFrame:
@@ -74,15 +75,14 @@ def bfill(df: DataFrame, column: str, order_by: list, by: list[str] | None = Non
 def ordered_fill(df: DataFrame, column: str, order_by: list, forward: bool) -> DataFrame:
     """Fill over one global order without a window that holds all rows in one task.
 
-    Rows are sorted into ranges; each range is filled by itself, and a cell before the range's
+    Rows are dealt into ranges and written to the shared folder, so that the ranges stay as they
+    are whatever is read again. Each range is filled by itself, and a cell before the range's
     first value gets the last value of the ranges before it, from a table of one row a range.
     """
     c = F.col(column)
     known = F.when(c != "", c) if isinstance(df.schema[column].dataType, T.StringType) else c
     keys = [k if isinstance(k, Column) else F.col(k) for k in order_by]
-    ranged = df.repartitionByRange(*keys).withColumn("__range", F.spark_partition_id())
-    # Written out through a sort: the range number has to be that of the rows' place.
-    ranged = ranged.sortWithinPartitions(*keys)
+    ranged = materialize(df.repartitionByRange(*keys).withColumn("__range", F.spark_partition_id()), "ranges")
     frame = W.partitionBy("__range").orderBy(*keys)
     if forward:
         near = F.last(known, ignorenulls=True).over(frame.rowsBetween(W.unboundedPreceding, 0))

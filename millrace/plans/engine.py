@@ -249,8 +249,8 @@ class Engine:
             df = files.read_binary(self.spark, path, a["schema"], bool(a.get("be")), bool(a.get("aligned")))
         plain = fmt != "bin"
         origin = files.plain(F.input_file_name()) if plain else F.lit(path)
-        where = (origin, F.monotonically_increasing_id())
-        df = self.with_order(df, F.struct(where[0].alias("a"), F.lit(0).cast("bigint").alias("b"), where[1].alias("c")))
+        block = F.input_file_block_start() if plain else F.lit(0).cast("bigint")
+        df = self.with_order(df, F.struct(origin.alias("a"), block.alias("b"), F.monotonically_increasing_id().alias("c")))
         if a.get("with"):
             df = df.withColumn(SOURCE, F.lit(a["path"]))
             if a["with"] == "filename":
@@ -363,7 +363,7 @@ class Engine:
             column = "path" if "path" in have else have[0]
             out = files.read(df, column, a.get("format"), bool(a.get("with")), self.ledger, label)
             if self.ordered:
-                out = out.withColumn(ORDER, F.struct(files.plain(F.input_file_name()).alias("a"), F.lit(0).cast("bigint").alias("b"), F.monotonically_increasing_id().alias("c")))
+                out = out.withColumn(ORDER, F.struct(files.plain(F.input_file_name()).alias("a"), F.input_file_block_start().alias("b"), F.monotonically_increasing_id().alias("c")))
             if a.get("with") == "filename":
                 out = out.withColumn("filename_r" if "filename" in out.columns else "filename", F.col(SOURCE))
             return out
