@@ -2,40 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: A side of a join is broadcast only if it has been written and has no more rows and bytes than this.
-BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 16 << 20
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
+from millrace.scratch import materialize, scratch_dir
 
-    Read from ``spark.checkpoint.dir``; a folder of our own is used only where it
-    is unset, as in tests on one machine.
-    """
-    conf = spark.sparkContext.getConf()
-    folder = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='millrace-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+__all__ = ["join_checked", "materialize", "sample_by_hash", "scratch_dir", "table"]
 
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back.
-
-    Cuts the lineage with files that outlive any executor.
-    """
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: A side of a join is broadcast only if it has been written and has no more rows and bytes than this.
+BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 16 << 20
 
 
 def join_checked(large: DataFrame, small: DataFrame, on: Column, how: str) -> DataFrame:
