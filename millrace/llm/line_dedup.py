@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from millrace.llm.common import join_checked, materialize
 
 #: A line is boilerplate if more than this share of its host's pages contain it, three at least.
-MAX_RATIO, MIN_PAGES = 0.02, 3
+#: (Lower ratios would also hit every line of a text that a host holds in many copies.)
+MAX_RATIO, MIN_PAGES = 0.08, 3
 
 
 def lines(text: Column) -> Column:

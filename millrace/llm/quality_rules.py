@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import materialize
+from millrace.llm.common import join_checked, materialize
 
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\x0b\x0c\r"
@@ -116,10 +116,11 @@ def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def keep_good(docs: DataFrame, text_col: str = "text", host_col: str = "source", max_rate: float = 0.5) -> DataFrame:
     """The rows of ``docs``, all columns, that pass their own rules and those of their host.
 
-    Only documents that pass their own rules are joined with the hosts' verdicts.
+    The texts are shuffled only if the hosts' verdicts turn out too large to broadcast.
     Edge cases are those of ``quality_verdicts``.
     """
     rated = docs.withColumn("__failed", base_failed(_metrics(F.col(text_col)))).withColumn("__host", F.col(host_col).cast("string"))
     rated = materialize(rated, "quality")
-    verdicts = host_verdicts(rated.select(F.col("__host").alias("host"), F.col("__failed").alias("failed")), max_rate).filter("host_kept").select(F.col("host").alias("__good_host"))
-    return rated.filter("not __failed").join(verdicts, F.col("__host").eqNullSafe(F.col("__good_host")), "left_semi").select(*docs.columns)
+    verdicts = host_verdicts(rated.select(F.col("__host").alias("host"), F.col("__failed").alias("failed")), max_rate)
+    verdicts = materialize(verdicts.filter("host_kept").select(F.col("host").alias("__good_host")), "hosts")
+    return join_checked(rated.filter("not __failed"), verdicts, F.col("__host").eqNullSafe(F.col("__good_host")), "left_semi").select(*docs.columns)
