@@ -32,9 +32,9 @@ from millrace.llm.cover_sort import PADDING, equal_classes
 LENGTH, GRAM = 100, 32
 SPAN = LENGTH - GRAM + 1
 #: Records that a mapper gathers before it deals them out, and bytes of contexts likewise.
-BLOCK, BLOCK_BYTES = 500_000, 16 << 20
+BLOCK, BLOCK_BYTES = 400_000, 16 << 20
 #: Suffixes that are sorted at once, and bytes of text for each bucket of records.
-BUCKET, BUCKET_TEXT = 1_500_000, 24 << 20
+BUCKET, BUCKET_TEXT = 1_000_000, 20 << 20
 #: Longer texts are read in parts of so many bytes that overlap by a string.
 PART = 1 << 22
 _POSITION = np.uint64(PART * 2 - 1)
@@ -175,20 +175,45 @@ def _record_blobs(docs: DataFrame, buckets: int) -> DataFrame:
 _SAID = T.StructType([T.StructField("id", T.LongType()), T.StructField("tid", T.LongType()), T.StructField("repeats", T.BinaryType()), T.StructField("wanted", T.BinaryType())])
 
 
-def _by_document(ids: np.ndarray, tids: np.ndarray, index: np.ndarray, repeats: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray | None) -> pa.RecordBatch:
+class _Told:
+    """Gathers what buckets say and deals it out by document, in blobs: a row for each part of the documents, not for each document."""
+
+    def __init__(self, parts: int):
+        self.parts, self.found, self.count = parts, [], 0
+
+    def add(self, ids: np.ndarray, tids: np.ndarray, repeats: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> None:
+        self.found.append((ids, tids, repeats.astype(np.uint8), starts.astype(np.uint32), (ends - starts).astype(np.uint32), hashes))
+        self.count += len(ids)
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        if not self.count:
+            return
+        columns = [np.concatenate([f[i] for f in self.found]) for i in range(6)]
+        ids, tids = columns[:2]
+        part = ((tids.view(np.uint64) ^ ids.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)).astype(np.int64) % self.parts
+        order = np.lexsort((columns[3], tids, ids, part))
+        bounds = np.searchsorted(part[order], np.arange(self.parts + 1))
+        full = [p for p in range(self.parts) if bounds[p] < bounds[p + 1]]
+        blobs = [pack(*[c[order[bounds[p] : bounds[p + 1]]] for c in columns]) for p in full]
+        yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
+        self.found, self.count = [], 0
+
+
+def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each document that is told something."""
-    order = np.lexsort((starts, repeats, index))
-    index, repeats = index[order], repeats[order]
-    ranges = np.column_stack([starts[order], ends[order]]).astype(np.int32)
-    wanted = hashes[order] if hashes is not None else None
-    bounds = np.flatnonzero(np.r_[True, index[1:] != index[:-1], True]) if len(index) else np.zeros(1, dtype=np.int64)
-    said, asked = [], []
-    for a, b in zip(bounds[:-1], bounds[1:]):
-        cut = a + int(np.searchsorted(repeats[a:b], 1))
-        said.append(ranges[cut:b].tobytes() if cut < b else None)
-        asked.append(wanted[a:cut].tobytes() + ranges[a:cut].tobytes() if cut > a else None)
-    held = index[bounds[:-1]] if len(index) else np.zeros(0, dtype=np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(ids[held]), pa.array(tids[held]), pa.array(said, pa.binary()), pa.array(asked, pa.binary())], _SAID.names)
+    for blobs in _by_bucket(batches):
+        found = [unpack(b) for b in blobs]
+        ids, tids, repeats, starts, extents, hashes = (np.concatenate([f[i] for f in found]) for i in range(6))
+        order = np.lexsort((starts, repeats, tids, ids))
+        ids, tids, repeats, hashes = ids[order], tids[order], repeats[order], hashes[order]
+        ranges = np.column_stack([starts[order], starts[order] + extents[order]]).astype(np.int32)
+        bounds = np.flatnonzero(np.r_[True, (ids[1:] != ids[:-1]) | (tids[1:] != tids[:-1]), True])
+        said, asked = [], []
+        for a, b in zip(bounds[:-1], bounds[1:]):
+            cut = a + int(np.searchsorted(repeats[a:b], 1))
+            said.append(ranges[cut:b].tobytes() if cut < b else None)
+            asked.append(hashes[a:cut].tobytes() + ranges[a:cut].tobytes() if cut > a else None)
+        yield pa.RecordBatch.from_arrays([pa.array(ids[bounds[:-1]]), pa.array(tids[bounds[:-1]]), pa.array(said, pa.binary()), pa.array(asked, pa.binary())], _SAID.names)
 
 
 def _gather(blobs: list[bytes]) -> list[np.ndarray]:
@@ -214,7 +239,8 @@ def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
         yield blobs
 
 
-def _sort_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sort_records(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    out = _Told(parts)
     for blobs in _by_bucket(batches):
         ids, tids, h, doc, c, first, extent, repeat = _gather(blobs)
         order = np.lexsort((tids[doc], first, ids[doc], repeat, c, h))
@@ -227,7 +253,10 @@ def _sort_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         repeat = np.where(other | (same & (repeat == 0)), 0, 1)
         several = np.bincount(group, weights=other)[group] > 1
         told = (repeat == 1) | (other & several)
-        yield _by_document(ids, tids, doc[told], repeat[told], first[told], last[told], h[told])
+        out.add(ids[doc[told]], tids[doc[told]], repeat[told], first[told], last[told], np.where(repeat[told] == 1, np.uint64(0), h[told]))
+        if out.count >= BLOCK:
+            yield from out.rows()
+    yield from out.rows()
 
 
 def _context_blobs(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
@@ -259,16 +288,16 @@ def _context_blobs(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[
     for batch in batches:
         for row in batch.to_pylist():
             data = np.frombuffer(expand(row["payload"]), dtype=np.uint8)
-            for said in row["wanted"]:
-                n = len(said) // 16
-                r = np.frombuffer(said, dtype=np.int32, offset=8 * n).reshape(n, 2).astype(np.int64)
-                hashes.append(np.frombuffer(said, dtype=np.uint64, count=n))
-                ranges.append(r)
-                docs.append(len(ids))
-                lengths = r[:, 1] - r[:, 0] + LENGTH
-                take = np.repeat(r[:, 0] - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
-                texts.append(data[take])
-                size += len(take)
+            said = row["wanted"]
+            n = len(said) // 16
+            r = np.frombuffer(said, dtype=np.int32, offset=8 * n).reshape(n, 2).astype(np.int64)
+            hashes.append(np.frombuffer(said, dtype=np.uint64, count=n))
+            ranges.append(r)
+            docs.append(len(ids))
+            lengths = r[:, 1] - r[:, 0] + LENGTH
+            take = np.repeat(r[:, 0] - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
+            texts.append(data[take])
+            size += len(take)
             ids.append(row["id"])
             tids.append(row["tid"])
             if size >= BLOCK_BYTES:
@@ -278,7 +307,8 @@ def _context_blobs(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[
         yield rows()
 
 
-def _sort_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sort_contexts(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    out = _Told(parts)
     for blobs in _by_bucket(batches):
         ids, tids, h, doc, first, extent, text = _gather(blobs)
         first, extent = first.astype(np.int64), extent.astype(np.int64)
@@ -311,7 +341,10 @@ def _sort_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             begin = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (offset[1:] != offset[:-1] + 1)]) if len(d) else np.zeros(0, dtype=np.int64)
             end = np.r_[begin[1:] - 1, len(d) - 1] if len(d) else begin
             if len(begin):
-                yield _by_document(ids, tids, d[begin], np.ones(len(begin), dtype=np.int64), offset[begin], offset[end], None)
+                out.add(ids[d[begin]], tids[d[begin]], np.ones(len(begin)), offset[begin], offset[end], np.zeros(len(begin), dtype=np.uint64))
+            if out.count >= BLOCK:
+                yield from out.rows()
+    yield from out.rows()
 
 
 @F.arrow_udf(T.BinaryType())
@@ -348,14 +381,20 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     total = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-total // BUCKET_TEXT))
     tasks = min(buckets, max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    dealt = _record_blobs(keyed.filter(F.octet_length("text") >= LENGTH), buckets).repartition(tasks, "bucket").sortWithinPartitions("bucket")
-    said = materialize(dealt.mapInArrow(_sort_records, _SAID), "repeats")
 
-    wanted = said.filter("wanted is not null").groupBy("id", "tid").agg(F.collect_list("wanted").alias("wanted"))
+    def by_bucket(blobs: DataFrame) -> DataFrame:
+        return blobs.repartition(tasks, "bucket").sortWithinPartitions("bucket")
+
+    blob = "bucket int, blob binary"
+    records = by_bucket(_record_blobs(keyed.filter(F.octet_length("text") >= LENGTH), buckets))
+    told = by_bucket(records.mapInArrow(lambda it: _sort_records(it, tasks), blob))
+    said = materialize(told.mapInArrow(_by_document, _SAID), "repeats")
+
     texts = keyed.select("id", "tid", _payload(F.col("text")).alias("payload"))
-    contexts = wanted.join(texts, ["id", "tid"]).select("id", "tid", "payload", "wanted")
-    dealt = contexts.mapInArrow(lambda it: _context_blobs(it, buckets), "bucket int, blob binary").repartition(tasks, "bucket").sortWithinPartitions("bucket")
-    more = materialize(dealt.mapInArrow(_sort_contexts, _SAID), "repeats")
+    contexts = said.filter("wanted is not null").join(texts, ["id", "tid"]).select("id", "tid", "payload", "wanted")
+    contexts = by_bucket(contexts.mapInArrow(lambda it: _context_blobs(it, buckets), blob))
+    told = by_bucket(contexts.mapInArrow(lambda it: _sort_contexts(it, tasks), blob))
+    more = materialize(told.mapInArrow(_by_document, _SAID), "repeats")
 
     repeats = said.select("id", "tid", "repeats").unionAll(more.select("id", "tid", "repeats")).filter("repeats is not null")
     repeats = repeats.groupBy("id", "tid").agg(F.collect_list("repeats").alias("repeats"))
