@@ -551,3 +551,119 @@ def filter_join_group(spark, d):
     orders = r.where(read(spark, d, "orders"), F.col("o_orderstatus") == "F").select("o_custkey", "o_orderpriority", "o_totalprice")
     joined = j.join(orders, read(spark, d, "customer").select("c_custkey", "c_mktsegment"), [("o_custkey", "c_custkey")])
     return g.group(joined, ["c_mktsegment", "o_orderpriority"], [("sum", "o_totalprice")]).withColumn("sum_o_totalprice", F.round("sum_o_totalprice", 2))
+
+
+# The same through the language, and through files
+
+
+def _flow(spark: SparkSession, d: str, program: str, label: str = "X") -> DataFrame:
+    from millrace.plans.engine import run
+
+    return run(program.replace("@", d), spark, write=False).outputs[label]
+
+
+@query("""SELECT o_orderpriority, count(*) AS count, CAST(sum(o_custkey) AS BIGINT) AS sum_o_custkey, count(DISTINCT o_custkey) AS count_distinct_o_custkey
+FROM orders WHERE o_totalprice >= 100000 AND o_orderstatus <> 'P' GROUP BY 1""")
+def flow_filter_group(spark, d):
+    return _flow(spark, d, 'X: open "@/orders.parquet" |? o_totalprice >= 100000, o_orderstatus != "P" |# o_orderpriority sum:o_custkey count_distinct:o_custkey ;')
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_totalprice > 300000 THEN 'big' WHEN o_totalprice > 100000 THEN 'mid' ELSE 'small' END AS band, year(o_orderdate) AS y,
+  upper(o_orderstatus) || '-' || CAST(o_custkey AS VARCHAR) AS tag, o_custkey % 10 AS last, o_custkey / 4 AS q FROM orders WHERE (o_custkey * 2 + 1) > 500""")
+def flow_expressions(spark, d):
+    return _flow(spark, d, """X: open "@/orders.parquet" |? (o_custkey * 2 + 1) > 500
+        |> o_orderkey (case when o_totalprice > 300000 then "big" when o_totalprice > 100000 then "mid" else "small" end) as band (year(o_orderdate)) as y
+           (concat(upper(o_orderstatus), "-", o_custkey)) as tag (o_custkey % 10) as last (o_custkey / 4) as q ;""")
+
+
+@query("""SELECT c_mktsegment, n_name, count(*) AS count, max(c_acctbal) AS max_c_acctbal FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2""")
+def flow_join_group(spark, d):
+    return _flow(spark, d, 'C: open "@/customer.parquet" ; N: open "@/nation.parquet" ; X: C &left N on c_nationkey:n_nationkey |# c_mktsegment n_name max:c_acctbal ;')
+
+
+@query("""SELECT l.event_id, CASE WHEN l.ts - r.ts <= INTERVAL 2 HOUR THEN r.quote END AS quote FROM (SELECT * FROM events WHERE event_type = 'purchase') l
+ASOF LEFT JOIN (SELECT user_id, ts, max(value) AS quote FROM events WHERE event_type = 'click' GROUP BY 1, 2) r ON l.user_id = r.user_id AND l.ts >= r.ts""")
+def flow_asof(spark, d):
+    return _flow(spark, d, """E: open "@/events.parquet" ; P: E |? event_type == "purchase" |> event_id user_id ts ;
+        Q: E |? event_type == "click" |# user_id ts max:value |> user_id ts max_value :quote ; X: P &asof Q on user_id by ts within "2h" |> event_id quote ;""")
+
+
+@query(f"SELECT event_id, lag(value) OVER {_W} AS prev, round(CASE WHEN count(*) OVER w = 3 THEN avg(value) OVER w END, 4) AS ma FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS 2 PRECEDING)")
+def flow_windows(spark, d):
+    out = _flow(spark, d, 'X: open "@/events.parquet" sort ts event_id |> * (lag(value) over user_id) as prev (rolling_avg(value, 3) over user_id) as ma |> event_id prev ma ;')
+    return out.withColumn("ma", F.round("ma", 4))
+
+
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS h, event_type, count(*) AS count FROM events WHERE ts >= TIMESTAMP '2024-01-02' GROUP BY 1, 2")
+def flow_bucket(spark, d):
+    return _flow(spark, d, 'X: open "@/events.parquet" |? ts >= "2024-01-02" |> (bucket(ts, "1h")) as h event_type |# h event_type ;')
+
+
+@query("SELECT s_suppkey, s_acctbal FROM supplier WHERE s_acctbal >= 1000 AND s_acctbal <= 6000")
+def flow_holes(spark, d):
+    return _flow(spark, d, 'R: open "@/supplier.parquet" |? s_acctbal >= $low, s_acctbal <= $high |> s_suppkey s_acctbal ; X: open "@/supplier.parquet" | R low=1000 high=6000 ;')
+
+
+@query("SELECT n_name FROM nation WHERE n_regionkey = 0 UNION ALL SELECT n_name FROM nation WHERE n_nationkey < 5")
+def flow_branch_merge(spark, d):
+    return _flow(spark, d, 'N: open "@/nation.parquet" -> A: |? n_regionkey == 0 ; -> B: |? n_nationkey < 5 ; ; X: A + B |> n_name ;')
+
+
+@query("SELECT CAST(n_regionkey AS BIGINT) AS n_regionkey, n_name FROM (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_name DESC) AS k FROM nation) WHERE k = 1")
+def flow_sort_distinct(spark, d):
+    return _flow(spark, d, 'X: open "@/nation.parquet" sort n_name desc distinct n_regionkey |> n_regionkey n_name ;')
+
+
+def _round_trip(fmt: str, **options) -> Query:
+    """Supplier written as ``fmt`` into the shared folder and read again, types inferred."""
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        import uuid
+
+        from millrace.scratch import scratch_dir
+        from millrace.sources import sinks, text
+
+        path = f"{scratch_dir(spark)}/{uuid.uuid4().hex}.{fmt}"
+        df = read(spark, d, "supplier").select("s_suppkey", F.when(F.col("s_suppkey") % 7 != 0, F.col("s_name")).alias("s_name"), "s_acctbal")
+        sinks.save(df, path, fmt, **options)
+        if fmt in ("csv", "tsv"):
+            return text.read_csv(spark, path, sep="\t" if fmt == "tsv" else ",")
+        return text.read_parquet(spark, path) if fmt == "parquet" else text.read_json(spark, path)
+
+    return run
+
+
+for _fmt in ("csv", "tsv", "json", "jsonl", "parquet"):
+    QUERIES[f"round_trip_{_fmt}"] = _round_trip(_fmt)
+    ORACLES[f"round_trip_{_fmt}"] = "SELECT s_suppkey, CASE WHEN s_suppkey % 7 <> 0 THEN s_name END AS s_name, s_acctbal FROM supplier"
+QUERIES["round_trip_csv_parts"] = _round_trip("csv", single=False)
+ORACLES["round_trip_csv_parts"] = ORACLES["round_trip_csv"]
+
+
+@query("SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name, CAST(n_regionkey AS BIGINT) AS n_regionkey FROM nation")
+def partitioned_save_and_read(spark, d):
+    """Files by region, found again by ``ls`` and united by ``read``."""
+    import uuid
+
+    from millrace.scratch import scratch_dir
+    from millrace.sources import files, sinks
+
+    folder = f"{scratch_dir(spark)}/{uuid.uuid4().hex}".removeprefix("file://")
+    sinks.save_by(read(spark, d, "nation"), folder, {"n_regionkey": F.col("n_regionkey")})
+    return files.read(files.ls(spark, f"{folder}/**/*.csv"), "path", "csv")
+
+
+@query("SELECT CAST(n_nationkey AS BIGINT) AS id, CAST(n_regionkey AS DOUBLE) / 2 AS half, n_regionkey > 1 AS big FROM nation")
+def binary_records(spark, d):
+    """Fixed-width records written by the byte and decoded."""
+    import os
+    import struct
+    import tempfile
+
+    from millrace.sources import files
+
+    rows = read(spark, d, "nation").select("n_nationkey", "n_regionkey").collect()
+    path = os.path.join(tempfile.mkdtemp(), "nation.bin")
+    with open(path, "wb") as out:
+        out.writelines(struct.pack("<idB", k, r / 2, r > 1) for k, r in rows)
+    return files.read_binary(spark, path, [("id", "i32"), ("half", "f64"), ("big", "bool")])
