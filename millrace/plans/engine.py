@@ -7,6 +7,7 @@ import os
 import re
 import sys
 import tempfile
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +23,7 @@ from millrace.operators import window as w
 from millrace.plans.expressions import HIDDEN, ORDER, SOURCE, Compiler, bind, columns
 from millrace.plans.ir import Expr, FlowError, Program, Scope, Step
 from millrace.plans.parser import parse
+from millrace.scratch import scratch_dir
 from millrace.sources import files, sinks, text
 
 BLOCKING = {"sort", "group", "describe", "join", "asof"}
@@ -235,6 +237,8 @@ class Engine:
             with open(path, "wb") as out:
                 for block in iter(lambda: sys.stdin.buffer.read(1 << 20), b""):
                     out.write(block)
+        if path.startswith(("http://", "https://")):
+            path = files.fetch(path)
         path = self.path(path)
         fmt = {"jsonl": "json", "ndjson": "json"}.get(a.get("format", ""), a.get("format")) or files.format_of(path)
         if re.search(r"\.zstd?$", path):
@@ -310,6 +314,8 @@ class Engine:
             names = [k.split(".")[-1] for k in keys]
             text_key = F.concat_ws("\u0001", *[F.coalesce(F.col(f"`{k}`").cast("string"), F.lit("")) for k in names])
             return out.withColumn(ORDER, F.struct(text_key.alias("a"), F.lit(0).cast("bigint").alias("b"), F.lit(0).cast("bigint").alias("c")))
+        if op == "take" and df.isStreaming:
+            return self.bounded(df, a["n"])
         if op == "take":
             return r.take(df, a["n"], self.order_of(df) or None)
         if op == "sort":
@@ -369,6 +375,14 @@ class Engine:
             return out
         raise FlowError(f"unknown step {op}")
 
+    def bounded(self, df: DataFrame, n: int) -> DataFrame:
+        """The first ``n`` rows of a stream, once they have come, as a table in the shared folder."""
+        from millrace.streaming import sources
+
+        path = f"{scratch_dir(self.spark)}/stream-{uuid.uuid4().hex}"
+        sources.take(df, n, lambda rows: rows.write.mode("append").parquet(path), f"{path}-state")
+        return self.spark.read.schema(df.schema).parquet(path)
+
     def project(self, label: str, df: DataFrame, items: list[dict], views: dict, compiler: Compiler) -> DataFrame:
         hidden = [c for c in HIDDEN if c in df.columns]
         have = columns(df)
@@ -414,6 +428,12 @@ class Engine:
         a = step.args
         path, fmt = a["path"], a.get("format")
         order = self.order_of(df)
+        if df.isStreaming:
+            kind = {"tsv": "csv", "jsonl": "json", "ndjson": "json"}.get(fmt or files.format_of(path), fmt or files.format_of(path))
+            out = self.path(path)
+            stream = df.writeStream.format(kind).option("header", "true").option("checkpointLocation", f"{scratch_dir(self.spark)}/sink-{uuid.uuid4().hex}")
+            stream.trigger(availableNow=True).start(out).awaitTermination()  # what is there now; run again for what comes later
+            return
         try:
             if path == "-":
                 sinks.save(self.visible(df), "-", fmt or "csv")

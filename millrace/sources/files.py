@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import re
+import tempfile
+import urllib.parse
+import urllib.request
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,8 +54,6 @@ def plain(path):
 
 def ls(spark: SparkSession, glob: str, ledger: Ledger | None = None, scope: str = "") -> DataFrame:
     """A row for each file: path, name, size, mtime. Contents aren't read; the store lists the files."""
-    import os
-
     if "://" not in glob and not glob.startswith("/"):
         glob = f"{os.getcwd()}/{glob}"
     root = _root(glob)
@@ -68,6 +70,23 @@ def ls(spark: SparkSession, glob: str, ledger: Ledger | None = None, scope: str
     return found.select("path", F.regexp_extract("path", r"([^/]*)$", 1).alias("name"), "size", "mtime")
 
 
+def fetch(url: str, most: int = 1 << 30, seconds: float = 60.0) -> str:
+    """A web file as a local one, at most ``most`` bytes; hosts may be restricted by MILLRACE_HOSTS."""
+    host = urllib.parse.urlsplit(url).hostname or ""
+    allowed = [h for h in os.environ.get("MILLRACE_HOSTS", "").split(",") if h]
+    if allowed and host not in allowed:
+        raise PermissionError(f"{host} isn't among MILLRACE_HOSTS")
+    path = os.path.join(tempfile.mkdtemp(), os.path.basename(urllib.parse.urlsplit(url).path) or "page")
+    size = 0
+    with urllib.request.urlopen(url, timeout=seconds) as response, open(path, "wb") as out:  # noqa: S310
+        while block := response.read(1 << 20):
+            size += len(block)
+            if size > most:
+                raise ValueError(f"{url} has more than {most} bytes")
+            out.write(block)
+    return path
+
+
 def format_of(path: str) -> str:
     bare = re.sub(r"\.(gz|zst|zstd|bz2)$", "", path.lower())
     ending = bare.rpartition(".")[2]

@@ -72,3 +72,53 @@ def test_command_line(tmp_path):
     assert out.returncode == 0 and parse(out.stdout) == parse(program.read_text()) and "# why" in out.stdout
     assert run("check", "-c", "X: nothing").returncode == 2
     assert len(run("gen", "clean", "--rows", "5").stdout.splitlines()) == 6
+
+
+def test_watch_flow(spark, tmp_path):
+    from millrace.plans.engine import run
+
+    (tmp_path / "in").mkdir()
+    for i in range(4):
+        (tmp_path / f"in/{i}.csv").write_text(f"a\n{i}\n")
+    out = run(f'X: watch "{tmp_path}/in/*.csv" take 4 read as csv |# a ; Y: watch "{tmp_path}/in/*.csv" |> name save "{tmp_path}/names" as csv ;', spark)
+    assert sorted(r.a for r in out.outputs["X"].collect()) == [0, 1, 2, 3]
+    assert spark.read.csv(f"{tmp_path}/names", header=True).count() == 4
+
+
+def test_fetch(spark, tmp_path, monkeypatch):
+    import functools
+    import http.server
+    import threading
+
+    from millrace.plans.engine import run
+
+    (tmp_path / "a.csv").write_text("a\n1\n2\n")
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), functools.partial(http.server.SimpleHTTPRequestHandler, directory=str(tmp_path)))
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    program = f'X: open "http://127.0.0.1:{server.server_address[1]}/a.csv" |? a > 1 ;'
+    assert [r.a for r in run(program, spark).outputs["X"].collect()] == [2]
+    monkeypatch.setenv("MILLRACE_HOSTS", "example.com")
+    with pytest.raises(PermissionError):
+        run(program, spark)
+    server.shutdown()
+
+
+def test_subscribe(spark, tmp_path):
+    import socket
+    import threading
+
+    server = socket.create_server(("127.0.0.1", 0))
+
+    def serve():
+        client, _ = server.accept()
+        with client:
+            client.sendall(b"1,x\n2,y\n")
+            threading.Event().wait(8)
+
+    threading.Thread(target=serve, daemon=True).start()
+    seen = []
+    stream = sources.subscribe(spark, f"tcp://127.0.0.1:{server.getsockname()[1]}", "a int, b string")
+    assert sources.take(stream, 2, lambda df: seen.extend(map(tuple, df.collect())), str(tmp_path / "cp")) == 2
+    assert sorted(seen) == [(1, "x"), (2, "y")]
+    with pytest.raises(ValueError):
+        sources.subscribe(spark, "udp://x")
