@@ -24,13 +24,15 @@ from pyspark.sql import types as T
 
 from millrace.llm.common import materialize
 
-#: Coordinates, and matches that a pair needs to become a candidate. A pair at a similarity of
-#: exactly 0.8 has fewer than 38 of 64 matches with a probability of 4e-5, one at 0.85 of 1e-7.
-COORDINATES, MATCHES = 64, 38
-WORD_MEMORY = 500_000
+#: A coordinate's value joins GROUP MinHash values, so unrelated documents of a large corpus
+#: hardly share one; at a similarity of 0.8 it agrees with a probability of 0.8**4 = 0.41.
+#: Such a pair has fewer than 3 matches in 32 coordinates with a probability of 1.3e-5.
+GROUP, COORDINATES, MATCHES = 4, 32, 3
+#: Words whose hashes a Python worker remembers.
+WORD_MEMORY = 60_000
 _RNG = np.random.default_rng(5)
-_XOR = _RNG.integers(0, 1 << 64, COORDINATES, dtype=np.uint64)
-_ODD = _RNG.integers(0, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_XOR = _RNG.integers(0, 1 << 64, COORDINATES * GROUP, dtype=np.uint64)
+_ODD = _RNG.integers(0, 1 << 63, COORDINATES * GROUP, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MIX = _RNG.integers(0, 1 << 63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -65,13 +67,17 @@ def shingle_set(tokens: list[bytes], size: int) -> np.ndarray:
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
-    """MinHash values of COORDINATES hash functions, 32 bits each."""
-    lows = np.full(COORDINATES, np.uint64(0xFFFFFFFFFFFFFFFF))
-    for at in range(0, len(shingles), 8192):
-        part = shingles[at : at + 8192]
-        mixed = (part[None, :] ^ _XOR[:, None]) * _ODD[:, None]
-        lows = np.minimum(lows, (mixed >> np.uint64(32)).min(axis=1))
-    return lows
+    """The values of all coordinates; each also hashes its coordinate's number."""
+    lows = np.full(COORDINATES * GROUP, np.uint64(0xFFFFFFFFFFFFFFFF))
+    for at in range(0, len(shingles), 2048):
+        part = shingles[at : at + 2048]
+        lows = np.minimum(lows, ((part[None, :] ^ _XOR[:, None]) * _ODD[:, None]).min(axis=1))
+    lows >>= np.uint64(32)
+    out = np.arange(1, COORDINATES + 1, dtype=np.uint64)
+    for k in range(GROUP):
+        out = (out ^ lows[k::GROUP]) * _MIX[k]
+        out ^= out >> np.uint64(31)
+    return out
 
 
 def _sets(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
@@ -83,13 +89,12 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
         T.StructField("tokens", T.ArrayType(T.LongType())),
         T.StructField("payload", T.BinaryType()),
     ])
-    places = np.arange(COORDINATES, dtype=np.uint64) << np.uint64(32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
                 nodes, counts, tokens, payloads = [], [], [], []
                 for text in part.column(1).to_pylist():
                     own = words(text)
@@ -97,7 +102,7 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
                     counts.append(len(shingles))
                     full = len(shingles) > 0
                     nodes.append(xxhash.xxh3_128_digest(shingles.tobytes()) if full else None)
-                    tokens.append((signature(shingles) | places).astype(np.int64) if full else None)
+                    tokens.append(signature(shingles).view(np.int64) if full else None)
                     payloads.append(pack(b" ".join(own)) if full else None)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(nodes, pa.binary()), pa.array(counts, pa.int64()), pa.array(tokens, pa.list_(pa.int64())), pa.array(payloads, pa.binary())], schema.names

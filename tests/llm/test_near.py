@@ -65,3 +65,9 @@ def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(f"{i:04d}".encode(), f"{i + 1:04d}".encode()) for i in range(n)], "a binary, b binary")
     out = components(edges).collect()
     assert len(out) == n + 1 and {bytes(r.root) for r in out} == {b"0000"}
+
+
+def test_many_rows_in_one_batch(spark, docs):
+    rows = [(i, f"word{i} other{i} third{i} fourth{i}") for i in range(1200)]
+    out = near_duplicates(docs(rows).coalesce(1)).select("doc_id", "kept").collect()
+    assert len(out) == 1200 and all(r.kept for r in out)
