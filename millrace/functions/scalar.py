@@ -49,14 +49,18 @@ def comparable(left: Column, left_type: T.DataType, right: Column, right_type: T
     return left, right
 
 
-def compare(op: str, left: Column, right: Column, left_type: T.DataType, right_type: T.DataType) -> Column:
-    """``== != < <= > >=``; false with a null or a NaN operand."""
+def compare(op: str, left: Column, right: Column, left_type: T.DataType, right_type: T.DataType, as_filter: bool = False) -> Column:
+    """``== != < <= > >=``; false with a null or a NaN operand.
+
+    ``as_filter`` leaves nulls as they are. A filter drops them just the same (there is no
+    negation that could turn them round), and only bare comparisons reach the file reader.
+    """
     left, right = comparable(left, left_type, right, right_type)
     found = {"==": left == right, "!=": left != right, "<": left < right, "<=": left <= right, ">": left > right, ">=": left >= right}[op]
     for side, kind in ((left, left_type), (right, right_type)):
         if isinstance(kind, (T.DoubleType, T.FloatType)):
             found = found & ~F.isnan(side)
-    return false_if_null(found)
+    return found if as_filter else false_if_null(found)
 
 
 def both(*conditions: Column) -> Column:

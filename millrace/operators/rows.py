@@ -15,7 +15,8 @@ from millrace.scratch import materialize
 
 
 def where(df: DataFrame, *conditions: Column) -> DataFrame:
-    return df.filter(s.both(*conditions))
+    """Rows for which all conditions hold; a null doesn't. Conditions stay bare, so that the reader gets them."""
+    return df.filter(reduce(lambda x, y: x & y, conditions))
 
 
 def validate(df: DataFrame, condition: Column, disposition: str, rule: str = "contract", ledger: Ledger | None = None, scope: str = "") -> DataFrame:

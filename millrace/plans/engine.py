@@ -297,7 +297,7 @@ class Engine:
             return [n for n in names if n.split(".")[0] in have]
 
         if op == "filter":
-            return df.filter(r.s.both(*[compiler.condition(p) for p in a["predicates"]]))
+            return r.where(df, *[compiler.filter(p) for p in a["predicates"]])
         if op == "validate":
             from millrace.plans.ir import show
 

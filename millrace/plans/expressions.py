@@ -42,6 +42,9 @@ def bind(e: Expr, values: dict) -> Expr:
 class Compiler:
     """Compiles expressions against one DataFrame; ``views`` are character views of text columns."""
 
+    #: In a filter comparisons stay bare: see ``scalar.compare``.
+    as_filter = False
+
     def __init__(self, df: DataFrame, views: dict[str, dict[str, tuple[int, int]]] | None = None, ledger: Ledger | None = None, scope: str = ""):
         self.df, self.views, self.ledger, self.scope = df, views or {}, ledger, scope
         self.fields = {f.name: f.dataType for f in df.schema}
@@ -55,7 +58,16 @@ class Compiler:
 
     def condition(self, e: Expr) -> Column:
         c, kind = self(e)
-        return s.false_if_null(c if isinstance(kind, T.BooleanType) else s.to_bool(c, kind))
+        c = c if isinstance(kind, T.BooleanType) else s.to_bool(c, kind)
+        return c if self.as_filter else s.false_if_null(c)
+
+    def filter(self, e: Expr) -> Column:
+        """A condition for ``DataFrame.filter``."""
+        self.as_filter = True
+        try:
+            return self.condition(e)
+        finally:
+            self.as_filter = False
 
     def __call__(self, e: Expr) -> tuple[Column, T.DataType]:
         found = getattr(self, f"_{e.kind}")(*e.args)
@@ -150,7 +162,7 @@ class Compiler:
                 if mine.kind == "lit" and isinstance(mine.args[0], float) and isinstance(other, T.DecimalType):
                     exact = F.lit(Decimal(str(mine.args[0])))
                     x, y = (exact, y) if side == "x" else (x, exact)
-            return s.compare(op, x, y, kx, ky), T.BooleanType()
+            return s.compare(op, x, y, kx, ky, self.as_filter), T.BooleanType()
         return self._arithmetic(op, x, kx, y, ky)
 
     def _arithmetic(self, op, x, kx, y, ky):
@@ -189,6 +201,13 @@ class Compiler:
         return c if isinstance(kind, (T.TimestampNTZType, T.DateType)) else cast_column(c, kind, "datetime")
 
     def _call(self, name, args):
+        as_filter, self.as_filter = self.as_filter, False  # an argument is a value
+        try:
+            return self._called(name, args)
+        finally:
+            self.as_filter = as_filter
+
+    def _called(self, name, args):
         if name in ("regexp", "regex", "matches"):
             return self._matches(*args)
         if name in ("like", "glob"):

@@ -52,7 +52,7 @@ def filter_comma(spark, d):
 
 @query("SELECT o_orderkey, o_orderpriority FROM orders WHERE o_totalprice > 400000 OR o_orderstatus = 'P'")
 def filter_or(spark, d):
-    return r.where(read(spark, d, "orders"), s.either(F.col("o_totalprice") > 400000, F.col("o_orderstatus") == "P")).select("o_orderkey", "o_orderpriority")
+    return r.where(read(spark, d, "orders"), (F.col("o_totalprice") > 400000) | (F.col("o_orderstatus") == "P")).select("o_orderkey", "o_orderpriority")
 
 
 @query("""SELECT event_id, coalesce(CASE WHEN event_id % 7 = 0 THEN NULL ELSE value END > 50, FALSE) AS high,
