@@ -20,8 +20,8 @@ LEXICON_BITS = 1 << 20
 #: document frequency of ln 50 to ln 10,000.
 BAND = (1e-4, 0.02)
 #: Subsets by density: one term in so many.
-DENSITIES = (4, 16, 64, 256)
-SUBSETS = 8
+DENSITIES = (4, 16, 64, 256, 1024)
+SUBSETS = 16
 MAX_BUCKETS = 4096
 
 
@@ -64,7 +64,8 @@ def subset_hashes(sorted_terms: Column) -> Column:
     """A hash for each subset of the lexicon; null where it holds no term of the document."""
 
     def of_subset(density: int, k: int) -> Column:
-        held = F.filter(sorted_terms, lambda t: F.pmod(F.xxhash64(t, F.lit(density * 100 + k)), F.lit(density)) == 0)
+        # A term is a 64-bit hash: its bits from a place of the subset's own decide.
+        held = F.filter(sorted_terms, lambda t: F.shiftrightunsigned(t, k * 54 // SUBSETS).bitwiseAND(F.lit(density - 1)) == 0)
         return F.when(F.size(held) > 0, F.xxhash64(held).bitwiseAND(F.lit(0xFFFFFFFF)))
 
     return F.array(*[of_subset(density, k) for density in DENSITIES for k in range(SUBSETS)])
