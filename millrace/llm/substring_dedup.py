@@ -12,12 +12,17 @@ They are dealt into suffix buckets and one bucket is sorted at a time:
    are dealt into buckets by anchor, and each bucket's suffixes are sorted with the ranks
    of a difference cover (``cover_sort``), bounded by the bucket, whatever the corpus.
 3. The repeats found in both ways are joined back to their documents.
+
+A frequent passage would send the contexts around it, which all differ, to one bucket. So an
+anchor with many contexts in one block, or in its bucket, is hot: its strings are dealt one by
+one, by a hash of the whole string, after each block has reduced equal ones to the first.
 """
 
 from __future__ import annotations
 
 import pickle
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -31,10 +36,25 @@ from millrace.llm.cover_sort import PADDING, equal_classes
 
 LENGTH, GRAM = 100, 32
 SPAN = LENGTH - GRAM + 1
-#: Records that a mapper gathers before it deals them out, and bytes of contexts likewise.
-BLOCK, BLOCK_BYTES = 400_000, 16 << 20
-#: Suffixes that are sorted at once, and bytes of text for each bucket of records.
-BUCKET, BUCKET_TEXT = 1_000_000, 20 << 20
+
+
+@dataclass(frozen=True)
+class Limits:
+    """Sizes that bound memory; results don't depend on them."""
+
+    #: Records that a mapper gathers before it deals them out, and bytes of contexts likewise.
+    block: int = 400_000
+    block_bytes: int = 16 << 20
+    #: Suffixes that are sorted at once, and bytes of text for each bucket of records.
+    bucket: int = 1_000_000
+    bucket_text: int = 20 << 20
+    #: Different contexts of one anchor in a block, and in a bucket, beyond which the anchor is hot.
+    hot_in_block: int = 64
+    hot: int = 20_000
+
+
+#: What a record is: a first context, a repeat, a context of a hot anchor, a mark that an anchor is hot.
+FIRST, REPEAT, SINGLY, MARK = 0, 1, 2, 3
 #: Longer texts are read in parts of so many bytes that overlap by a string.
 PART = 1 << 22
 _POSITION = np.uint64(PART * 2 - 1)
@@ -85,9 +105,10 @@ def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     return grams[at[first]], _mix(context + shape * np.uint64(0xD6E8FEB86659FD93)), first, last
 
 
-def parts(data: bytes) -> Iterator[tuple[int, np.ndarray]]:
-    for at in range(0, max(1, len(data) - LENGTH + 1), PART):
-        yield at, np.frombuffer(data, dtype=np.uint8)[at : at + PART + LENGTH - 1]
+def parts(data: bytes, size: int = PART) -> Iterator[tuple[int, np.ndarray]]:
+    """Parts of a text that together hold each of its strings once."""
+    for at in range(0, max(1, len(data) - LENGTH + 1), size):
+        yield at, np.frombuffer(data, dtype=np.uint8)[at : at + size + LENGTH - 1]
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -125,7 +146,7 @@ def _deal(hashes: np.ndarray, docs: np.ndarray, ids: np.ndarray, tids: np.ndarra
             yield b, pack(ids[held], tids[held], hashes[rows], index.astype(np.uint32), *[c[rows] for c in columns])
 
 
-def _record_blobs(docs: DataFrame, buckets: int) -> DataFrame:
+def _record_blobs(docs: DataFrame, buckets: int, limits: Limits) -> DataFrame:
     """``(bucket, blob)``: anchors' records. Within a block only the first of equal contexts is sent; repeats are sent as such."""
 
     def flush(found: list, ids: list, tids: list) -> Iterator[tuple[int, bytes]]:
@@ -135,13 +156,20 @@ def _record_blobs(docs: DataFrame, buckets: int) -> DataFrame:
         order = np.lexsort((tids[docs], first, ids[docs], contexts, hashes))
         h, c = hashes[order], contexts[order]
         again = np.r_[False, (h[1:] == h[:-1]) & (c[1:] == c[:-1])]
-        repeat = np.zeros(len(order), dtype=np.uint8)
-        repeat[order[again]] = 1
         lead = order[np.maximum.accumulate(np.where(again, 0, np.arange(len(order))))]
-        same = np.zeros(len(order), dtype=bool)  # repeated rows of the table: neither is earlier
-        same[order] = again & (ids[docs[order]] == ids[docs[lead]]) & (tids[docs[order]] == tids[docs[lead]]) & (first[order] == first[lead])
-        keep = ~same
-        yield from _deal(hashes[keep], docs[keep], ids, tids, buckets, contexts[keep], first[keep].astype(np.uint32), (last - first)[keep].astype(np.uint8), repeat[keep])
+        # Rows repeated in the table are neither of them earlier.
+        same = again & (ids[docs[order]] == ids[docs[lead]]) & (tids[docs[order]] == tids[docs[lead]]) & (first[order] == first[lead])
+        anchor = np.cumsum(np.r_[True, h[1:] != h[:-1]]) - 1
+        hot = np.bincount(anchor, weights=~again)[anchor] > limits.hot_in_block
+        kind = np.where(again, REPEAT, np.where(hot, SINGLY, FIRST)).astype(np.uint8)
+        marks = np.flatnonzero(hot & np.r_[True, h[1:] != h[:-1]])
+        take = np.r_[np.flatnonzero(~same), marks]
+        kind = np.r_[kind[~same], np.full(len(marks), MARK, dtype=np.uint8)]
+        rows = order[take]
+        # What its bucket only passes on goes by its document, so that no anchor gathers it.
+        passed = (kind == REPEAT) | (kind == SINGLY)
+        place = np.where(passed, _mix(tids[docs[rows]].view(np.uint64) + first[rows].astype(np.uint64)), hashes[rows])
+        yield from _deal(place, docs[rows], ids, tids, buckets, contexts[rows], first[rows].astype(np.uint32), (last - first)[rows].astype(np.uint8), kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, ids, tids, count = [], [], [], 0
@@ -162,7 +190,7 @@ def _record_blobs(docs: DataFrame, buckets: int) -> DataFrame:
                     count += len(h)
                 ids.append(batch.column(0)[i].as_py())
                 tids.append(batch.column(1)[i].as_py())
-                if count >= BLOCK:
+                if count >= limits.block:
                     yield rows()
                     found, ids, tids, count = [], [], [], 0
         if found:
@@ -171,8 +199,13 @@ def _record_blobs(docs: DataFrame, buckets: int) -> DataFrame:
     return docs.mapInArrow(run, "bucket int, blob binary")
 
 
-#: What a bucket says to a document: ranges of starts of repeated strings, or contexts whose bytes are wanted.
-_SAID = T.StructType([T.StructField("id", T.LongType()), T.StructField("tid", T.LongType()), T.StructField("repeats", T.BinaryType()), T.StructField("wanted", T.BinaryType())])
+#: What buckets say to a document: ranges of starts of repeated strings, contexts whose bytes are
+#: wanted, and contexts whose strings are wanted one by one.
+_SAID = T.StructType([
+    T.StructField("id", T.LongType()),
+    T.StructField("tid", T.LongType()),
+    *[T.StructField(name, T.BinaryType()) for name in ("repeats", "wanted", "singly")],
+])
 
 
 class _Told:
@@ -208,17 +241,41 @@ def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, tids, repeats, hashes = ids[order], tids[order], repeats[order], hashes[order]
         ranges = np.column_stack([starts[order], starts[order] + extents[order]]).astype(np.int32)
         bounds = np.flatnonzero(np.r_[True, (ids[1:] != ids[:-1]) | (tids[1:] != tids[:-1]), True])
-        said, asked = [], []
+        said: list[list] = [[], [], []]
         for a, b in zip(bounds[:-1], bounds[1:]):
-            cut = a + int(np.searchsorted(repeats[a:b], 1))
-            said.append(ranges[cut:b].tobytes() if cut < b else None)
-            asked.append(hashes[a:cut].tobytes() + ranges[a:cut].tobytes() if cut > a else None)
-        yield pa.RecordBatch.from_arrays([pa.array(ids[bounds[:-1]]), pa.array(tids[bounds[:-1]]), pa.array(said, pa.binary()), pa.array(asked, pa.binary())], _SAID.names)
+            x, y = a + np.searchsorted(repeats[a:b], [REPEAT, SINGLY])
+            said[0].append(ranges[x:y].tobytes() if x < y else None)
+            said[1].append(hashes[a:x].tobytes() + ranges[a:x].tobytes() if a < x else None)
+            said[2].append(ranges[y:b].tobytes() if y < b else None)
+        yield pa.RecordBatch.from_arrays([pa.array(ids[bounds[:-1]]), pa.array(tids[bounds[:-1]]), *[pa.array(x, pa.binary()) for x in said]], _SAID.names)
+
+
+#: Arrays in a blob of single strings; a blob of contexts has one more, which is empty.
+STRING_COLUMNS = 7
+
+
+def _string_hashes(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A hash of the string at each place."""
+    up, down = _powers(len(data) + 1)
+    sums = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum(_BYTE[data] * up[: len(data)], out=sums[1:])
+    return _mix((sums[at + LENGTH] - sums[at]) * down[at])
+
+
+def _later(h: np.ndarray, ids: np.ndarray, at: np.ndarray, tids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order by hash and place, and in it which strings have an equal one before."""
+    order = np.lexsort((tids, at, ids, h))
+    h, ids, at, tids = h[order], ids[order], at[order], tids[order]
+    lead = np.maximum.accumulate(np.where(np.r_[True, h[1:] != h[:-1]][: len(h)], np.arange(len(h)), 0))
+    return order, (ids != ids[lead]) | (at != at[lead]) | (tids != tids[lead])
 
 
 def _gather(blobs: list[bytes]) -> list[np.ndarray]:
+    return _joined([unpack(b) for b in blobs])
+
+
+def _joined(found: list[list[np.ndarray]]) -> list[np.ndarray]:
     """One bucket's blobs as one: ids and tids of all documents, then the records' columns."""
-    found = [unpack(b) for b in blobs]
     shift = np.cumsum([0] + [len(f[0]) for f in found])
     out = [np.concatenate([f[i] for f in found]) for i in range(len(found[0]))]
     out[3] = np.concatenate([f[3].astype(np.int64) + s for f, s in zip(found, shift)])
@@ -239,30 +296,49 @@ def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
         yield blobs
 
 
-def _sort_records(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+def _sort_records(batches: Iterator[pa.RecordBatch], parts: int, limits: Limits) -> Iterator[pa.RecordBatch]:
     out = _Told(parts)
     for blobs in _by_bucket(batches):
-        ids, tids, h, doc, c, first, extent, repeat = _gather(blobs)
-        order = np.lexsort((tids[doc], first, ids[doc], repeat, c, h))
-        h, doc, c, first, last, repeat = h[order], doc[order], c[order], first[order].astype(np.int64), first[order].astype(np.int64) + extent[order], repeat[order]
-        start = np.r_[True, h[1:] != h[:-1]]
-        other = np.r_[True, c[1:] != c[:-1]] | start
+        ids, tids, h, doc, c, first, extent, kind = _gather(blobs)
+        first = first.astype(np.int64)
+        last = first + extent
+        on = (kind == REPEAT) | (kind == SINGLY)
+        out.add(ids[doc[on]], tids[doc[on]], kind[on], first[on], last[on], np.zeros(on.sum(), dtype=np.uint64))
+        marked = np.unique(h[kind == MARK])
+        own = np.flatnonzero(kind == FIRST)
+        order = own[np.lexsort((tids[doc[own]], first[own], ids[doc[own]], c[own], h[own]))]
+        h, doc, c, first, last = h[order], doc[order], c[order], first[order], last[order]
+        start = np.r_[True, h[1:] != h[:-1]][: len(h)]
+        other = (np.r_[True, c[1:] != c[:-1]][: len(h)]) | start
         group = np.cumsum(start) - 1
         lead = np.maximum.accumulate(np.where(other, np.arange(len(h)), 0))
         same = (ids[doc] == ids[doc[lead]]) & (tids[doc] == tids[doc[lead]]) & (first == first[lead])
-        repeat = np.where(other | (same & (repeat == 0)), 0, 1)
-        several = np.bincount(group, weights=other)[group] > 1
-        told = (repeat == 1) | (other & several)
-        out.add(ids[doc[told]], tids[doc[told]], repeat[told], first[told], last[told], np.where(repeat[told] == 1, np.uint64(0), h[told]))
-        if out.count >= BLOCK:
+        many = np.bincount(group, weights=other)[group] if len(h) else np.zeros(0)
+        hot = np.isin(h, marked) | (many > limits.hot)
+        kind = np.where(~other, REPEAT, np.where(hot, SINGLY, FIRST))
+        told = (~other & ~same) | (other & ((many > 1) | hot))
+        out.add(ids[doc[told]], tids[doc[told]], kind[told], first[told], last[told], np.where(kind[told] == FIRST, h[told], np.uint64(0)))
+        if out.count >= limits.block:
             yield from out.rows()
     yield from out.rows()
 
 
-def _context_blobs(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    """``(bucket, blob)``: the bytes of wanted contexts, by anchor."""
+def _context_blobs(batches: Iterator[pa.RecordBatch], buckets: int, limits: Limits) -> Iterator[pa.RecordBatch]:
+    """``(bucket, blob)``: the bytes of wanted contexts, by anchor; hashes of single strings, by themselves."""
     expand = zstandard.ZstdDecompressor().decompress
     ids, tids, docs, hashes, ranges, texts, size = [], [], [], [], [], [], 0
+    single: list[tuple[int, np.ndarray, np.ndarray]] = []
+
+    def strings() -> pa.RecordBatch:
+        """Of equal strings of the block the first; the others are repeats, which go by their document."""
+        d = np.repeat([x[0] for x in single], [len(x[1]) for x in single])
+        at, h = np.concatenate([x[1] for x in single]), np.concatenate([x[2] for x in single])
+        i, t = np.array(ids, dtype=np.int64), np.array(tids, dtype=np.int64)
+        order, repeat = _later(h, i[d], at, t[d])
+        d, at, h = d[order], at[order], h[order]
+        place = np.where(repeat, _mix(t[d].view(np.uint64) + at.astype(np.uint64)), h)
+        found = list(_deal(place, d, i, t, buckets, h, at.astype(np.uint32), repeat.astype(np.uint8)))
+        return pa.RecordBatch.from_arrays([pa.array([b for b, _ in found], pa.int32()), pa.array([x for _, x in found], pa.binary())], ["bucket", "blob"])
 
     def rows() -> pa.RecordBatch:
         h, r = np.concatenate(hashes), np.concatenate(ranges)
@@ -282,13 +358,19 @@ def _context_blobs(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[
                 n = lengths[own]
                 take = np.repeat(begins[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
                 out_b.append(b)
-                out_x.append(pack(i[held], t[held], h[own], index.astype(np.uint32), r[own, 0].astype(np.uint32), (r[own, 1] - r[own, 0]).astype(np.uint8), text[take]))
+                out_x.append(pack(i[held], t[held], h[own], index.astype(np.uint32), r[own, 0].astype(np.uint32), (r[own, 1] - r[own, 0]).astype(np.uint8), text[take], text[:0]))
         return pa.RecordBatch.from_arrays([pa.array(out_b, pa.int32()), pa.array(out_x, pa.binary())], ["bucket", "blob"])
 
     for batch in batches:
         for row in batch.to_pylist():
             data = np.frombuffer(expand(row["payload"]), dtype=np.uint8)
-            said = row["wanted"]
+            if row["singly"]:
+                r = np.frombuffer(row["singly"], dtype=np.int32).reshape(-1, 2).astype(np.int64)
+                n = r[:, 1] - r[:, 0] + 1
+                at = np.repeat(r[:, 0] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                single.append((len(ids), at, _string_hashes(data, at)))
+                size += 16 * len(at)
+            said = row["wanted"] or b""
             n = len(said) // 16
             r = np.frombuffer(said, dtype=np.int32, offset=8 * n).reshape(n, 2).astype(np.int64)
             hashes.append(np.frombuffer(said, dtype=np.uint64, count=n))
@@ -300,17 +382,29 @@ def _context_blobs(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[
             size += len(take)
             ids.append(row["id"])
             tids.append(row["tid"])
-            if size >= BLOCK_BYTES:
-                yield rows()
-                ids, tids, docs, hashes, ranges, texts, size = [], [], [], [], [], [], 0
-    if ids:
-        yield rows()
+            if size >= limits.block_bytes:
+                yield from (f() for f, x in ((rows, ranges), (strings, single)) if any(map(len, x)))
+                ids, tids, docs, hashes, ranges, texts, single, size = [], [], [], [], [], [], [], 0
+    yield from (f() for f, x in ((rows, ranges), (strings, single)) if any(map(len, x)))
 
 
-def _sort_contexts(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+def _sort_contexts(batches: Iterator[pa.RecordBatch], parts: int, limits: Limits) -> Iterator[pa.RecordBatch]:
     out = _Told(parts)
-    for blobs in _by_bucket(batches):
-        ids, tids, h, doc, first, extent, text = _gather(blobs)
+    for found in _by_bucket(batches):
+        blobs = [unpack(b) for b in found]
+        single = [b for b in blobs if len(b) == STRING_COLUMNS]
+        if single:
+            ids, tids, _, doc, h, at, repeat = _joined(single)
+            at = at.astype(np.int64)
+            on = repeat == 1
+            own = np.flatnonzero(~on)
+            order, later = _later(h[own], ids[doc[own]], at[own], tids[doc[own]])
+            gone = np.r_[np.flatnonzero(on), own[order][later]]
+            out.add(ids[doc[gone]], tids[doc[gone]], np.full(len(gone), REPEAT), at[gone], at[gone], np.zeros(len(gone), dtype=np.uint64))
+        blobs = [b for b in blobs if len(b) != STRING_COLUMNS]
+        if not blobs:
+            continue
+        ids, tids, h, doc, first, extent, text, _ = _joined(blobs)
         first, extent = first.astype(np.int64), extent.astype(np.int64)
         lengths = extent + LENGTH
         begins = np.cumsum(lengths) - lengths
@@ -318,8 +412,8 @@ def _sort_contexts(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa
         edges = np.flatnonzero(np.r_[True, h[order][1:] != h[order][:-1], True])
         upto = np.r_[0, np.cumsum(extent[order] + 1)]
         at = 0
-        while at < len(edges) - 1:  # one suffix bucket: whole anchors, about BUCKET suffixes
-            stop = max(at + 1, int(np.searchsorted(upto[edges], upto[edges[at]] + BUCKET, side="right")) - 1)
+        while at < len(edges) - 1:  # one suffix bucket: whole anchors, about limits.bucket suffixes
+            stop = max(at + 1, int(np.searchsorted(upto[edges], upto[edges[at]] + limits.bucket, side="right")) - 1)
             own = order[edges[at] : edges[stop]]
             at = stop
             n, size = extent[own] + 1, lengths[own]
@@ -341,8 +435,8 @@ def _sort_contexts(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa
             begin = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (offset[1:] != offset[:-1] + 1)]) if len(d) else np.zeros(0, dtype=np.int64)
             end = np.r_[begin[1:] - 1, len(d) - 1] if len(d) else begin
             if len(begin):
-                out.add(ids[d[begin]], tids[d[begin]], np.ones(len(begin)), offset[begin], offset[end], np.zeros(len(begin), dtype=np.uint64))
-            if out.count >= BLOCK:
+                out.add(ids[d[begin]], tids[d[begin]], np.full(len(begin), REPEAT), offset[begin], offset[end], np.zeros(len(begin), dtype=np.uint64))
+            if out.count >= limits.block:
                 yield from out.rows()
     yield from out.rows()
 
@@ -366,7 +460,7 @@ def removed_spans(length: int, said: list[bytes]) -> list[tuple[int, int]]:
     return list(zip(changes[::2].tolist(), changes[1::2].tolist()))
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limits: Limits = Limits()) -> DataFrame:
     """One row for each row of ``docs``: id, ``n_bytes``, ``spans``, ``kept``.
 
     A byte is removed if a string of LENGTH bytes covers it that also starts earlier: in a row
@@ -379,21 +473,21 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     nothing = -(1 << 63)
     keyed = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(nothing)).alias("id"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("tid"), F.col(text_col).alias("text"))
     total = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(1, -(-total // BUCKET_TEXT))
+    buckets = max(1, -(-total // limits.bucket_text))
     tasks = min(buckets, max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
     def by_bucket(blobs: DataFrame) -> DataFrame:
         return blobs.repartition(tasks, "bucket").sortWithinPartitions("bucket")
 
     blob = "bucket int, blob binary"
-    records = by_bucket(_record_blobs(keyed.filter(F.octet_length("text") >= LENGTH), buckets))
-    told = by_bucket(records.mapInArrow(lambda it: _sort_records(it, tasks), blob))
+    records = by_bucket(_record_blobs(keyed.filter(F.octet_length("text") >= LENGTH), buckets, limits))
+    told = by_bucket(records.mapInArrow(lambda it: _sort_records(it, tasks, limits), blob))
     said = materialize(told.mapInArrow(_by_document, _SAID), "repeats")
 
     texts = keyed.select("id", "tid", _payload(F.col("text")).alias("payload"))
-    contexts = said.filter("wanted is not null").join(texts, ["id", "tid"]).select("id", "tid", "payload", "wanted")
-    contexts = by_bucket(contexts.mapInArrow(lambda it: _context_blobs(it, buckets), blob))
-    told = by_bucket(contexts.mapInArrow(lambda it: _sort_contexts(it, tasks), blob))
+    contexts = said.filter("wanted is not null or singly is not null").join(texts, ["id", "tid"]).select("id", "tid", "payload", "wanted", "singly")
+    contexts = by_bucket(contexts.mapInArrow(lambda it: _context_blobs(it, buckets, limits), blob))
+    told = by_bucket(contexts.mapInArrow(lambda it: _sort_contexts(it, tasks, limits), blob))
     more = materialize(told.mapInArrow(_by_document, _SAID), "repeats")
 
     repeats = said.select("id", "tid", "repeats").unionAll(more.select("id", "tid", "repeats")).filter("repeats is not null")

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from millrace.llm import substring_dedup as sd
@@ -55,18 +56,26 @@ def test_against_brute_force(spark, docs, prose):
         assert (bytes(r.kept), len(r.spans), r.n_bytes) == (kept, spans, len((text or "").encode())), doc_id
 
 
-def test_many_small_blocks(spark, docs, prose, monkeypatch):
-    for name, value in (("BLOCK", 50), ("BLOCK_BYTES", 4000), ("BUCKET", 500), ("BUCKET_TEXT", 8000), ("PART", 1 << 12)):
-        monkeypatch.setattr(sd, name, value)
-    monkeypatch.setattr(sd, "_POSITION", np.uint64((1 << 13) - 1))
+SMALL = {"block": 50, "block_bytes": 4000, "bucket": 500, "bucket_text": 8000}
+
+
+@pytest.mark.parametrize("more", [{}, {"hot_in_block": 2}, {"hot": 3}, {"hot_in_block": 0, "hot": 0}, {"block": 300, "hot_in_block": 5, "hot": 10}])
+def test_small_blocks_and_hot_anchors(spark, docs, prose, more):
     rows = fixture(prose)
-    data = dict(rows)
-    for (doc_id, _), (kept, _) in zip(rows, brute(rows)):
-        assert len(data[doc_id] or "") >= 0
-    out = {r.doc_id: bytes(r.kept) for r in sd.remove_repeats(docs(rows).repartition(3)).collect()}
+    out = {r.doc_id: bytes(r.kept) for r in sd.remove_repeats(docs(rows).repartition(3), limits=sd.Limits(**SMALL | more)).collect()}
     assert [out[i] for i, _ in rows] == [k for k, _ in brute(rows)]
 
 
+def test_parts_of_a_long_text(prose):
+    data = prose(1, 3000).encode()
+    whole = sd.anchors(np.frombuffer(data, dtype=np.uint8))
+    assert (whole[2][0], whole[3][-1]) == (0, len(data) - 100)
+    assert all(whole[2][1:] == whole[3][:-1] + 1)
+    for size in (101, 1000, 5000):
+        starts = [at + i for at, part in sd.parts(data, size) for a, b in zip(*sd.anchors(part)[2:]) for i in range(a, b + 1)]
+        assert starts == list(range(len(data) - 99))
+
+
 def test_edge_rows(spark, docs, prose):
     text = prose(1, 60)
     out = sd.remove_repeats(docs([(5, text), (5, text), (None, text), (6, text)]))
