@@ -33,7 +33,9 @@ def aggregate(func: str, column: str, kind: T.DataType, order_by: list | None =
         return F.sum(c)
     if func == "avg":
         if isinstance(kind, T.DecimalType):
-            return F.bround(F.sum(c) / F.count(c), kind.scale + 6)
+            # These precisions leave the quotient enough digits.
+            total, n = F.sum(c).try_cast(f"decimal(28,{kind.scale})"), F.count(c).cast("decimal(10,0)")
+            return F.bround(F.try_divide(total, n), kind.scale + 6)
         return F.avg(c)
     if func in ("min", "max"):
         return getattr(F, func)(c)

@@ -363,7 +363,7 @@ class Engine:
             lost = {}
             for c, lane in a["types"].items():
                 if c in have and isinstance(df.schema[c].dataType, T.StringType) and lane != "str":
-                    lost[c] = (Severity.WARNING, f"{{n}} value(s) in column '{c}' (as {lane}) could not be parsed; set to null", (F.trim(F.col(f"`{c}`")) != "") & shape.cast_column(F.col(f"`{c}`"), T.StringType(), lane).isNull())
+                    lost[c] = (Severity.WARNING, f"{{n}} cell(s) of column '{c}' don't fit {lane} and became null", (F.trim(F.col(f"`{c}`")) != "") & shape.cast_column(F.col(f"`{c}`"), T.StringType(), lane).isNull())
             return shape.cast(self.ledger.watch(df, label, lost), {c: lane for c, lane in a["types"].items() if c in have}) if lost else out
         if op == "read":
             column = "path" if "path" in have else have[0]

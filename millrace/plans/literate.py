@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-_FENCE = re.compile(r"^```(?:flow|riv)[^\n]*\n(.*?)^```\s*$", re.MULTILINE | re.DOTALL)
+_FENCE = re.compile(r"^```flow[^\n]*\n(.*?)^```\s*$", re.MULTILINE | re.DOTALL)
 
 
 def flow_of(document: str) -> str:

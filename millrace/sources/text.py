@@ -122,7 +122,7 @@ def typed(raw: DataFrame, lanes: dict[str, str], ledger: Ledger | None = None, s
         else:
             value = cast_column(cell, T.StringType(), lane)
         out.append(value.alias(c))
-        lost[c] = (Severity.WARNING, f"{{n}} value(s) in column '{c}' (as {lane}) could not be parsed; set to null", cell.isNotNull() & value.isNull())
+        lost[c] = (Severity.WARNING, f"{{n}} cell(s) of column '{c}' don't fit {lane} and became null", cell.isNotNull() & value.isNull())
     if ledger is not None and lost:
         raw = ledger.watch(raw, scope, lost)
     return raw.select(*out)

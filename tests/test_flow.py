@@ -198,3 +198,46 @@ def test_invariance(spark, folder):
     spark.conf.set("spark.sql.shuffle.partitions", before)
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert len(seen) == 1
+
+
+def test_compressed_sources(spark, folder):
+    import gzip
+
+    import pyarrow as pa
+
+    with gzip.open(folder / "u.csv.gz", "wt") as f:
+        f.write(USERS)
+    with pa.CompressedOutputStream(str(folder / "u.csv.zst"), "zstd") as f:
+        f.write(USERS.encode())
+    for name in ("u.csv.gz", "u.csv.zst"):
+        assert len(flow(spark, folder, f"X: open {name} |? age > 20 ;")) == 2
+
+
+def test_headers_tsv_bom_and_schema(spark, folder):
+    (folder / "b.tsv").write_bytes("﻿a\tb\n1\tx\n".encode())
+    assert run("X: open b.tsv ;", spark, str(folder)).outputs["X"].columns == ["a", "b"]
+    (folder / "h.csv").write_text("1,2\n3,4\n")
+    assert flow(spark, folder, "X: open h.csv noheader |> c1 ;") == [(2,), (4,)]
+    assert flow(spark, folder, "X: open h.csv noheader (p:int q:float) |> ($_[1]) as q ;") == [(2.0,), (4.0,)]
+    warned = run("X: open h.csv (p:int q:int) ;", spark, str(folder))
+    assert len(rows(warned, "X")) == 1 and any("noheader" in e.message for e in warned.events)
+
+
+def test_quarantine_and_filename(spark, folder):
+    (folder / "list.csv").write_text(f"filepath\n{folder}/users.csv\n{folder}/gone.csv\n")
+    result = run("X: open list.csv |> (resource(filepath)) as path read as csv with filename |> name filename ;", spark, str(folder))
+    assert len(rows(result, "X")) == 4 and rows(result, "X")[0][1].endswith("users.csv")
+    assert any("gone.csv" in e.message for e in result.events)
+
+
+def test_decimals_are_exact(spark, folder):
+    (folder / "d.csv").write_text("g,a\nx,0.1\nx,0.2\nx,2.345\n")
+    found = run("X: open d.csv (g a:decimal(2)) |? a >= 0.1 |# g sum:a avg:a ;", spark, str(folder)).outputs["X"].first()
+    assert str(found.sum_a) == "2.64" and str(found.avg_a) == "0.88000000"
+
+
+def test_stdout_and_hooks(spark, folder, capsys):
+    run('X: open users.csv |? age > 40 save - as json ; Y: open users.csv |> name sort name desc take 1 save stdout as csv ;', spark, str(folder))
+    assert capsys.readouterr().out == '[\n{"name":"chie","age":45,"country":"JP"}\n]\nname\ndora\n'
+    logged = run('X: ls "nothing/*.csv" on error severity >= warning: log "seen" ; ;', spark, str(folder))
+    assert [e.message for e in logged.events][-1] == "seen"
