@@ -37,7 +37,7 @@ def sample_by_hash(rows: DataFrame, id_col: str, class_col: str, classes: list,
     for name in classes:
         own = rows.filter(F.col(class_col) == F.lit(name)).select(id_col)
         found += [(r[0], name) for r in own.orderBy(F.xxhash64(F.lit(seed), id_col), id_col).limit(most).collect()]
-    counts = {r[0]: r[1] for r in rows.groupBy(class_col).count().collect() if r[0] in classes}
+    counts = {r[0]: r[1] for r in rows.filter(F.col(class_col).isin(classes)).groupBy(class_col).count().collect()} if classes else {}
     return spark.createDataFrame(found, schema), counts
 
 

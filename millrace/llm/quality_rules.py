@@ -124,3 +124,29 @@ def keep_good(docs: DataFrame, text_col: str = "text", host_col: str = "source",
     verdicts = host_verdicts(rated.select(F.col("__host").alias("host"), F.col("__failed").alias("failed")), max_rate)
     verdicts = materialize(verdicts.filter("host_kept").select(F.col("host").alias("__good_host")), "hosts")
     return join_checked(rated.filter("not __failed"), verdicts, F.col("__host").eqNullSafe(F.col("__good_host")), "left_semi").select(*docs.columns)
+
+
+#: DuckDB SQL for ``quality_verdicts`` over ``documents``, without the host's rate.
+ORACLE = r"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(text, '') AS t,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM documents),
+windows AS (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS win FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM d)),
+twice AS (SELECT doc_id, win FROM windows GROUP BY ALL HAVING count(*) > 1),
+covered AS (SELECT DISTINCT doc_id, unnest(range(i, i + 8)) AS p FROM windows JOIN twice USING (doc_id, win)),
+repeats AS (SELECT doc_id, count(*) AS n FROM covered GROUP BY doc_id),
+m AS (
+  SELECT d.doc_id, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+    CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words
+  FROM d LEFT JOIN repeats USING (doc_id)),
+f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m),
+hosts AS (SELECT source, count(*) AS n, count(*) FILTER (base_failed) AS bad FROM f GROUP BY source),
+total AS (SELECT sum(bad) / sum(n) AS mean, greatest(sum(bad * bad / n) / sum(n) - (sum(bad) / sum(n)) ** 2, 1e-9) AS spread FROM hosts),
+prior AS (SELECT mean, greatest(least(mean * (1 - mean) / spread - 1, 1e6), 1.0) AS k FROM total),
+good AS (SELECT source FROM hosts, prior WHERE (bad + mean * k) / (n + k) <= 0.5)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND EXISTS (SELECT 1 FROM good g WHERE g.source IS NOT DISTINCT FROM f.source) AS kept
+FROM f
+"""

@@ -8,14 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chat_format, line_dedup, mixing
+from millrace.llm import chat_format, line_dedup, mixing, quality_rules
 from millrace.llm.bpe import encode_documents
 from millrace.llm.common import table
 from millrace.llm.fingerprint import compare_edits
 from millrace.llm.language_id import fit_languages, identify_languages
 from millrace.llm.near_dedup import near_duplicates
 from millrace.llm.quality_classifier import fit_quality, score_quality
-from millrace.llm.quality_rules import quality_verdicts
 from millrace.llm.substring_dedup import remove_repeats
 
 
@@ -57,7 +56,7 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_verdicts(table(spark, sf_dir, "documents")).drop("host_rate")
+    return quality_rules.quality_verdicts(table(spark, sf_dir, "documents")).drop("host_rate")
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op4_line_dedup": line_dedup.ORACLE,
+    "op6_quality_rules": quality_rules.ORACLE,
     "op7_mixing": mixing.oracle(*MIX),
     "op8_chat_format": chat_format.ORACLE,
 }
