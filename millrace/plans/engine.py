@@ -27,7 +27,7 @@ from millrace.scratch import scratch_dir
 from millrace.sources import files, sinks, text
 
 BLOCKING = {"sort", "group", "describe", "join", "asof"}
-_ORDERED = {"sort", "take", "distinct", "merge", "asof", "save"}
+_ORDERED = {"sort", "take", "distinct", "merge", "asof"}
 
 
 @dataclass
@@ -73,8 +73,15 @@ def _all_steps(steps: list[Step]):
             yield from _all_steps(s.args["steps"])
 
 
-def needs_order(program: Program) -> bool:
-    """Whether any result depends on the source's order; if not, no order column is carried."""
+def needs_order(program: Program, single: bool = True) -> bool:
+    """Whether any result depends on the source's order; if not, no order column is carried.
+
+    One output file shows the order of a join's left side; plain pipelines keep their order by
+    themselves, and many part files have none.
+    """
+    heads = {scope.head.op for scope in program.scopes}
+    if single and "join" in heads and any(s.op == "save" for scope in program.scopes for s in _all_steps(scope.steps)):
+        return True
     for scope in program.scopes:
         for s in (scope.head, *_all_steps(scope.steps)):
             if s.op in _ORDERED or (s.op == "fill" and s.args.get("method") in ("ffill", "bfill")):
@@ -158,11 +165,12 @@ class Engine:
         self.sinks: list[tuple[str, DataFrame, Step]] = []
         self.used: set[str] = set()
         self.ordered = False
+        self.sorted: dict[str, bool] = {}
 
     def run(self, program: Program | str, write: bool = True) -> RunResult:
         program = parse(program) if isinstance(program, str) else program
         check(program)
-        self.ordered = needs_order(program)
+        self.ordered = needs_order(program, self.single)
         for i, scope in enumerate(program.scopes):
             label = scope.label or f"_{i}"
             self.body(label, self.head(label, scope.head), scope.steps)
@@ -264,6 +272,7 @@ class Engine:
     # Steps
 
     def body(self, label: str, df: DataFrame, steps: list[Step]) -> None:
+        self.sorted[label] = any(s.op == "sort" for s in steps)
         views: dict[str, dict] = {}
         for step in steps:
             if step.op == "branch":
@@ -448,7 +457,7 @@ class Engine:
             else:
                 if (fmt or files.format_of(path)) == "parquet":
                     raise FlowError("parquet can't be written by a flow")
-                ordered = df.orderBy(*order) if order else df
+                ordered = df.orderBy(*order) if order and (self.single or self.sorted.get(label)) else df
                 sinks.save(ordered.select(*[F.col(f"`{c}`") for c in columns(df)]), self.path(path), fmt, single=self.single)
         except Exception as e:
             if "ContractHalted" in str(e):
