@@ -117,7 +117,8 @@ def _postings(nodes: DataFrame) -> DataFrame:
     ``score`` sums the lengths of the set's posting lists: how connected it is.
     """
     posted = nodes.select("node", F.explode("tokens").alias("token"))
-    lengths = posted.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    # Written first: joined with an exchange of its own, a long list can be split.
+    lengths = materialize(posted.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "lengths")
     repeated = posted.join(lengths, "token").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("own"))
     repeated = repeated.filter(F.size("own") >= MATCHES)
     score = F.aggregate("own", F.lit(0).cast("bigint"), lambda total, x: total + x["n"])
@@ -161,7 +162,8 @@ def components(edges: DataFrame) -> DataFrame:
     current = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
     while True:
         both = current.unionAll(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # Written first: joined with an exchange of its own, a node with many neighbours can be split.
+        low = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low")
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").unionAll(low.select("u", F.col("m").alias("v")))
@@ -182,7 +184,9 @@ def _labelled(postings: DataFrame, roots: DataFrame | None) -> DataFrame:
         label = F.coalesce("root", "node")
     found = postings.select("token", "node", "score", label.alias("label"))
     mixed = found.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max(F.struct("score", "node", "label")).alias("top")).filter("low <> high")
-    return materialize(found.join(mixed.select("token", "top"), "token"), "postings")
+    # Written first: joined with an exchange of its own, a long list can be split.
+    mixed = materialize(mixed.select("token", "top"), "mixed")
+    return materialize(found.join(mixed, "token"), "postings")
 
 
 def _crossing(labelled: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -239,8 +243,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = materialize(nodes, "nodes")
     postings = materialize(_postings(nodes), "postings")
     candidates = postings.select("node").distinct()
-    texts = rows.select("node", "n_shingles", "payload").join(candidates, "node").groupBy("node").agg(F.first("n_shingles").alias("n_shingles"), F.first("payload").alias("payload"))
-    texts = materialize(texts, "texts")
+    # Copies are reduced to one before the shuffle.
+    texts = rows.filter("node is not null").groupBy("node").agg(F.first("n_shingles").alias("n_shingles"), F.first("payload").alias("payload"))
+    texts = materialize(texts.join(candidates, "node", "left_semi"), "texts")
 
     # Each list's most connected set against the rest.
     listed = _labelled(postings, None)
@@ -254,6 +259,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             pairs = _crossing(listed.select("node", "label").distinct(), texts, size, percent)
         else:
             second = listed.filter(F.col("label") != F.col("top.label")).groupBy("token").agg(F.max(F.struct("score", "node", "label")).alias("next"))
+            second = materialize(second, "second")
             pairs = listed.join(second, "token").filter(F.col("label") != F.col("next.label")).select(F.col("next.node").alias("a"), F.col("node").alias("b"))
         new = materialize(_ordered(pairs).join(tried, ["a", "b"], "left_anti"), "pairs")
         tried = tried.unionAll(new)
