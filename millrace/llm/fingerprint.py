@@ -22,7 +22,7 @@ BAND = (1e-4, 0.02)
 #: Subsets by density: one term in so many.
 DENSITIES = (4, 16, 64, 256, 1024)
 SUBSETS = 16
-MAX_BUCKETS = 4096
+MAX_BUCKETS = 1 << 16
 
 
 def terms(text: Column) -> Column:
