@@ -267,7 +267,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         roots = components(edges)
 
     named = nodes.select("node", "id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    smallest = named.groupBy("root").agg(F.min("id").alias("component_id"))
+    smallest = materialize(named.groupBy("root").agg(F.min("id").alias("component_id")), "smallest")
     named = named.join(smallest, "root").select("node", "component_id")
     joined = rows.select("id", "node", "n_shingles").join(named, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id"))
