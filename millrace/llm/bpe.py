@@ -20,8 +20,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-#: Pieces whose encoding a Python worker remembers; beyond it the memory is emptied.
+#: Pieces whose encoding a Python worker remembers, about 250 bytes each. When half of them are
+#: new, those that were not met since the last time are forgotten.
 PIECE_MEMORY = 800_000
+#: Pairs of neighbours that it remembers.
+PAIR_MEMORY = 250_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -37,9 +40,10 @@ class Vocabulary:
         self.ranks = ranks
         self.token_bytes = {rank: token for token, rank in ranks.items()}
         self.longest = max(map(len, ranks), default=1)
-        self.endings = {token[i:] for token in ranks for i in range(len(token))}
+        #: Every end of a token, with its rank if it is a token itself, else -1.
+        self.endings = dict.fromkeys((token[i:] for token in ranks for i in range(1, len(token))), -1) | ranks
         self._halves: dict[int, tuple[int, int] | None] = {}
-        self._apart: dict[tuple[int, int], bool] = {}
+        self._apart: dict[int, bool] = {}
 
     def halves(self, token: int) -> tuple[int, int] | None:
         """The two tokens whose merge makes ``token``; None for a single byte."""
@@ -59,10 +63,10 @@ class Vocabulary:
 
     def apart(self, left: int, right: int) -> bool:
         """Whether BPE leaves the two tokens as they are when they are neighbours."""
-        key = (left, right)
+        key = left << 32 | right
         known = self._apart.get(key)
         if known is None:
-            if len(self._apart) > 2_000_000:
+            if len(self._apart) > PAIR_MEMORY:
                 self._apart.clear()
             known = self._apart[key] = self._stays_apart(left, right)
         return known
@@ -93,27 +97,36 @@ class PrefixTable:
         self.last: list[int] = []
         self.append(data)
 
-    def _last_at(self, end: int) -> int:
+    def _extend(self, end: int) -> Iterator[int]:
+        """Fill the entries up to ``end``, one by one."""
         v, data, last = self.vocabulary, self.data, self.last
-        endings, ranks = v.endings, v.ranks
-        fits = []
-        for start in range(end - 1, max(-1, end - 1 - v.longest), -1):
-            part = data[start:end]
-            if part not in endings:
-                break
-            rank = ranks.get(part)
-            if rank is not None:
-                fits.append((start, rank))
-        for start, rank in reversed(fits):
-            if start == 0 or v.apart(last[start - 1], rank):
-                return rank
-        raise ValueError(f"no token for byte {data[end - 1]}")
+        ending, apart, known, longest = v.endings.get, v.apart, v._apart.get, v.longest
+        for stop in range(len(last) + 1, end + 1):
+            fits = []
+            start, least = stop - 1, max(-1, stop - 1 - longest)
+            while start > least:
+                rank = ending(data[start:stop])
+                if rank is None:
+                    break
+                if rank >= 0:
+                    fits.append((start, rank))
+                start -= 1
+            for start, rank in reversed(fits):
+                if start == 0:
+                    break
+                before = last[start - 1]
+                stays = known(before << 32 | rank)
+                if stays or (stays is None and apart(before, rank)):
+                    break
+            else:
+                raise ValueError(f"no token for byte {data[stop - 1]}")
+            last.append(rank)
+            yield rank
 
     def append(self, more: bytes) -> None:
-        begin = len(self.data)
         self.data += more
-        for end in range(begin + 1, len(self.data) + 1):
-            self.last.append(self._last_at(end))
+        for _ in self._extend(len(self.data)):
+            pass
 
     def truncate(self, length: int) -> None:
         self.data = self.data[:length]
@@ -130,9 +143,7 @@ class PrefixTable:
         self.append(new)
         done, agreed = len(new), 0
         self.data += tail
-        for i in range(len(tail)):
-            token = self._last_at(len(self.last) + 1)
-            self.last.append(token)
+        for i, token in enumerate(self._extend(len(self.data))):
             done += 1
             reaches_into_tail = len(self.vocabulary.token_bytes[token]) <= i + 1
             agreed = agreed + 1 if token == old[i] and reaches_into_tail else 0
@@ -159,6 +170,7 @@ class Encoder:
         self.vocabulary = Vocabulary(ranks)
         self.split = regex.compile(pattern).findall
         self._known: dict[str, tuple[int, ...]] = {}
+        self._older: dict[str, tuple[int, ...]] = {}
 
     def _learn(self, pieces: Iterable[str]) -> None:
         """Encode new pieces in order, so that neighbours share what their common prefix filled."""
@@ -181,13 +193,25 @@ class Encoder:
 
     def encode_pieces(self, pieces: list[str]) -> list[int]:
         known = self._known
-        new = set(pieces).difference(known)
-        if new:
-            if len(known) + len(new) > PIECE_MEMORY:
-                known.clear()
-                new = set(pieces)
-            self._learn(new)
-        return list(chain.from_iterable(map(known.__getitem__, pieces)))
+        found = list(map(known.get, pieces))
+        if None in found:
+            new = [i for i, ids in enumerate(found) if ids is None]
+            if len(known) + len(new) > PIECE_MEMORY // 2:
+                self._older, self._known = known, {}
+                known = self._known
+            older = self._older
+            unmet = set()
+            for i in new:
+                ids = older.get(pieces[i])
+                if ids is None:
+                    unmet.add(pieces[i])
+                else:
+                    found[i] = known[pieces[i]] = ids
+            self._learn(unmet)
+            for i in new:
+                if found[i] is None:
+                    found[i] = known[pieces[i]]
+        return list(chain.from_iterable(found))
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.vocabulary.token_bytes.__getitem__, ids))
