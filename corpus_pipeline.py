@@ -26,8 +26,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that are boilerplate of their source are cut out."""
-    cut = drop_boilerplate(docs).withColumn("text", F.col("kept_text")).withColumn("n_chars", F.length("kept_text").cast("bigint"))
+    """Lines that are boilerplate of their source are cut out; copies of a text count once there."""
+    cut = drop_boilerplate(docs, by_text=True).withColumn("text", F.col("kept_text")).withColumn("n_chars", F.length("kept_text").cast("bigint"))
     return cut.select(*docs.columns)
 
 

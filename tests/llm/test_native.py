@@ -74,6 +74,19 @@ def test_line_dedup(spark, docs):
     assert drop_boilerplate(docs([])).count() == 0
 
 
+def test_line_dedup_of_rare_lines_and_copies(spark, docs):
+    rows = [(i, f"own {i}" + ("\nnotice" if i < 15 else ""), "a") for i in range(300)] + [(1000 + i, "copied one\ncopied two", "a") for i in range(100)]
+    pages = {r.doc_id: r for r in drop_boilerplate(docs(rows)).collect()}
+    texts = {r.doc_id: r for r in drop_boilerplate(docs(rows), by_text=True).collect()}
+    assert len(pages) == len(texts) == 400
+    assert all(found[i].kept_text == f"own {i}" for found in (pages, texts) for i in range(15))
+    assert pages[1000].n_dropped == 2 and texts[1000].n_dropped == 0 and texts[1099].kept_text == "copied one\ncopied two"
+    # 8 of 392 texts, but 8 of 500 pages: copies and repeated nulls leave both numbers.
+    rows = [(i, f"own {i}" + ("\nrare" if i < 8 else ""), "a") for i in range(390)] + [(2000 + i, None if i % 2 else "copy", "a") for i in range(110)]
+    found = [drop_boilerplate(docs(rows), by_text=flag).agg(F.sum("n_dropped")).first()[0] for flag in (False, True)]
+    assert found == [55, 8]
+
+
 def test_mixing(spark, docs, prose):
     rows = [(i, prose(i, 10 + i % 40), f"src{i % 7}", "en" if i % 3 else "de") for i in range(500)] + [(900, None, "src1", "en"), (901, "", "src1", "en"), (902, "word " * 20_000, "src2", "fr")]
     df = docs(rows)
