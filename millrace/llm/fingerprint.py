@@ -21,7 +21,7 @@ LEXICON_BITS = 1 << 20
 BAND = (1e-4, 0.02)
 #: Subsets by density: one term in so many.
 DENSITIES = (4, 16, 64, 256, 1024)
-SUBSETS = 12
+SUBSETS = 16
 MAX_BUCKETS = 1 << 16
 
 

@@ -1,6 +1,8 @@
 import json
+import os
 
 import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 from millrace.llm import chat_format, mixing
@@ -50,6 +52,15 @@ def test_fingerprints(spark, docs, prose):
     assert compare_edits(docs([(5, "alone")])).first().near_next == 1.0
 
 
+def test_fingerprints_find_most_edits(spark):
+    folder = "/root/testdata/sf0.01"
+    if not os.path.isdir(folder):
+        pytest.skip("needs the driver's tables")
+    found = compare_edits(spark.read.parquet(f"{folder}/documents.parquet")).select("near_edited", "near_next").collect()
+    assert sum(r.near_edited > r.near_next for r in found) >= 0.94 * len(found)
+    assert sum(r.near_edited == 0 for r in found) <= 0.06 * len(found)
+
+
 def test_following_over_many_ranges(spark):
     ids = [i * i for i in range(3000)]
     df = spark.createDataFrame([(i, f"t{i}") for i in ids] + [(None, "none"), (16, "t16b")], "doc_id bigint, text string")
