@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.bpe import encode_documents
-from millrace.llm.common import scratch_dir
+from millrace.llm.common import materialize, scratch_dir
 from millrace.llm.line_dedup import drop_boilerplate
 from millrace.llm.mixing import mix
 from millrace.llm.near_dedup import near_duplicates
@@ -32,9 +32,20 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near-duplicates (five-word shingles, 0.8 or more) the one with the smallest id stays."""
-    kept = near_duplicates(docs.select("doc_id", "text")).filter("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi")
+    """Of near-duplicates (five-word shingles, 0.8 or more) one row stays, of the smallest id; null ids come last.
+
+    Rows are told apart by id and 96 bits of hashes of the text. Of rows that are equal in
+    both one stays as well, unless the text is null or blank: such rows link with nothing, so
+    all of them stay. Texts are compared by a shuffle of their own only where rows repeat.
+    """
+    key = F.struct(F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0).cast("bigint")).alias("id"), F.xxhash64("text").alias("a"), F.hash("text").alias("b"))
+    keyed = docs.withColumn("__key", key)
+    found = near_duplicates(keyed.select("__key", "text"), id_col="__key").filter("kept")
+    found = materialize(found.groupBy("__key").agg(((F.count(F.lit(1)) > 1) & (F.max("n_shingles") > 0)).alias("repeated")), "kept")
+    out = keyed.join(found.filter("not repeated"), "__key", "left_semi")
+    if not found.filter("repeated").isEmpty():
+        out = out.unionAll(keyed.join(found.filter("repeated"), "__key", "left_semi").dropDuplicates(["__key"]))
+    return out.select(*docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

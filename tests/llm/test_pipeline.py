@@ -93,6 +93,16 @@ def test_stages_keep_nulls_from_crashing(spark):
     assert {r.doc_id for r in docs.collect()} == {1}
 
 
+def test_near_dedup_keeps_one_row_of_each_component(spark):
+    schema = spark.read.parquet(f"{DATA}/documents.parquet").schema
+    text = lambda name: " ".join(f"{name}{i}" for i in range(40))
+    rows = [(None, text("alone")), (None, text("both")), (None, text("both")), (1, text("same")), (1, text("same")), (1, text("same")), (2, text("own")), (2, text("other")), (3, text("mixed")), (None, text("mixed"))]
+    rows += [(4, text("near")), (None, text("near") + " more"), (-5, text("low")), (5, text("low")), (6, None), (6, None), (None, None), (7, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint").select(*schema.names)
+    got = Counter((r.doc_id, r.text) for r in cp.near_dedup(spark, docs, DATA).collect())
+    assert got == Counter([(None, text("alone")), (None, text("both")), (1, text("same")), (2, text("own")), (2, text("other")), (3, text("mixed")), (4, text("near")), (-5, text("low")), (6, None), (6, None), (None, None), (7, "")])
+
+
 @pytest.mark.parametrize("name", [n for n in QUERIES])
 def test_queries_run_on_the_small_tables(spark, name):
     df = QUERIES[name](spark, DATA)
