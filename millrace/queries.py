@@ -194,6 +194,11 @@ def explode(spark, d):
     return shape.explode(df, "x")
 
 
+@query("SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings")
+def explode_all(spark, d):
+    return shape.explode(read(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x")), "x")
+
+
 @query("SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS first, CAST(embedding[100000] AS DOUBLE) AS missing FROM embeddings")
 def list_index(spark, d):
     return read(spark, d, "embeddings").select("vec_id", F.get("embedding", F.lit(0)).cast("double").alias("first"), F.get("embedding", F.lit(99999)).cast("double").alias("missing"))

@@ -44,6 +44,12 @@ def test_query(spark, duck, name):
     assert plain([tuple(x) for x in df.collect()], df.columns) == plain(sql.fetchall(), names)
 
 
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the driver's tables")
+def test_explode_all_reads_every_vector(spark, duck):
+    n = duck.execute("SELECT sum(len(embedding)), count(DISTINCT vec_id) FROM embeddings").fetchone()
+    assert q.QUERIES["explode_all"](spark, DATA).agg(F.count("x"), F.countDistinct("vec_id")).first() == n and n[1] > 50
+
+
 def one(spark, column, **values):
     names = list(values)
     df = spark.createDataFrame([tuple(values.values())], ", ".join(f"{n} {'string' if isinstance(v, str) or v is None else 'bigint' if isinstance(v, int) else 'double' if isinstance(v, float) else 'timestamp_ntz'}" for n, v in values.items()))
