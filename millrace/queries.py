@@ -355,6 +355,12 @@ def sort_nulls_first(spark, d):
     return r.take(r.sort(df, ("v", "desc"), order_by=["event_id"]), 2000)
 
 
+@query("SELECT event_id, v FROM (SELECT event_id, CASE WHEN event_id % 7 = 0 THEN NULL ELSE value END AS v FROM events) ORDER BY v DESC NULLS FIRST, event_id")
+def sort_nulls_first_all(spark, d):
+    df = events(spark, d).select("event_id", F.when(F.col("event_id") % 7 != 0, F.col("value")).alias("v"))
+    return r.sort(df, ("v", "desc"), order_by=["event_id"])
+
+
 @query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10")
 def take_topk(spark, d):
     return r.take(r.sort(read(spark, d, "orders").select("o_orderkey", "o_totalprice"), ("o_totalprice", "desc"), order_by=["o_orderkey"]), 10)
