@@ -10,26 +10,31 @@ over and over) the difference says little.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import sample_by_hash
+from millrace.llm.common import materialize, sample_by_hash
 
-#: Labelled texts of each class that a fit uses at most, and bytes of each.
-SAMPLE, SAMPLE_BYTES = 3000, 8000
+#: Labelled texts of each class that a fit uses at most, and pieces of them that build a dictionary.
+SAMPLE, SAMPLE_PIECES = 3000, 6000
 #: A text is compressed in pieces of so many bytes: its own repeats then count little.
 PIECE = 2048
 DICTIONARY_BYTES = 96 * 1024
 
 
-def train_dictionary(texts: list[bytes], size: int = DICTIONARY_BYTES) -> bytes:
-    """A dictionary from ``texts``; their own bytes if they are too few to train one."""
-    pieces = [t[i : i + PIECE] for t in texts for i in range(0, len(t), PIECE)]
+def pieces_of(data: bytes) -> list[bytes]:
+    return [data[i : i + PIECE] for i in range(0, len(data), PIECE)]
+
+
+def train_dictionary(pieces: list[bytes], size: int = DICTIONARY_BYTES) -> bytes:
+    """A dictionary from ``pieces``; their own bytes if they are too few to train one."""
     try:
         return zstandard.train_dictionary(min(size, max(1024, sum(map(len, pieces)) // 8)), pieces).as_bytes()
     except zstandard.ZstdError:
@@ -52,7 +57,7 @@ class Sizes:
         data = (text or "").encode("utf-8", "replace")
         if not data:
             return (0.0, 0.0)
-        pieces = [data[i : i + PIECE] for i in range(0, len(data), PIECE)]
+        pieces = pieces_of(data)
         good, bad = sum(len(self.good(p)) for p in pieces), sum(len(self.bad(p)) for p in pieces)
         return (2.0 * (bad - good) / (bad + good), float(np.log((bad + good) / (2 * len(data)))))
 
@@ -66,6 +71,18 @@ class QualityModel:
     def probability(self, sizes: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(sizes @ np.array(self.weights[:2]) + self.weights[2], -40, 40)))
 
+    def sizes(self, text: Column) -> Column:
+        """A struct of ``difference`` and ``rate``, what ``Sizes`` measures."""
+        model = self
+
+        @F.arrow_udf("struct<difference:double,rate:double>")
+        def run(texts: pa.Array) -> pa.Array:
+            measure = _measure(model)
+            found = np.array([measure(t.as_py()) for t in texts], dtype=float).reshape(-1, 2)
+            return pa.StructArray.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["difference", "rate"])
+
+        return run(text)
+
     def score(self, text: Column) -> Column:
         """0 to 1, higher for better texts."""
         model = self
@@ -104,40 +121,59 @@ def logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> QualityModel:
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(label, h, piece)``: all pieces of whole texts, each with a hash of the piece and its text's id."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, 50):
+            part = batch.slice(i, 50)
+            out = [(label, xxhash.xxh64_intdigest(p, seed=h & 0xFFFFFFFFFFFFFFFF) - (1 << 63), p) for label, h, text in zip(*[part.column(k).to_pylist() for k in range(3)]) for p in pieces_of(text.encode("utf-8", "replace"))]
+            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.binary())], ["label", "h", "piece"])
+
+
+def fit_quality(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, pieces: int = SAMPLE_PIECES) -> QualityModel:
     """Fit on the documents whose label is 0 or 1.
 
-    ``labels`` has the id and the label of those to learn from. At most ``sample`` documents
-    of each class come to the driver, those with the smallest hash of their id, each cut to
-    SAMPLE_BYTES characters; this bound is fixed whatever the size of the table. They are
-    chosen by their ids, so no text is shuffled. Two thirds of them build the dictionaries, the
-    rest calibrate; the calibration weighs classes by their true counts. With no documents of
-    a class, every score is the share of good ones (0.5 without any label).
+    ``labels`` has the id and the label of those to learn from. At most ``sample`` ids of each
+    class are used, those with the smallest hash; this bound is fixed whatever the size of the
+    table. They are chosen by id alone, so only their texts are shuffled. An id that is labelled
+    more than once counts once, with its smallest label; of several texts under one id the
+    smallest counts; null ids and null labels are left out.
+
+    Two thirds of the ids build the dictionaries: their whole texts are cut into pieces, and
+    the ``pieces`` of each class with the smallest hash come to the driver. The rest calibrates:
+    their whole texts are measured on the executors, and two numbers each come back. The
+    calibration weighs classes by their true counts. With no documents of a class, every score
+    is the share of good ones (0.5 without any label).
     """
-    chosen, counts = sample_by_hash(labels.select(id_col, F.col(label_col).cast("int").alias("label")), id_col, "label", [0, 1], sample, 9)
-    text = F.substring(F.coalesce(text_col, F.lit("")), 1, SAMPLE_BYTES)
-    rows = docs.join(F.broadcast(chosen), F.col(id_col) == F.col("__id")).select("__class", F.xxhash64(F.lit(9), "__id").alias("h"), text.alias("text")).limit(2 * sample).collect()
-    texts = {label: [r["text"].encode("utf-8", "replace") for r in sorted(rows, key=lambda r: (r["h"], r["text"])) if r["__class"] == label] for label in (0, 1)}
+    unique = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).filter("id is not null and label in (0, 1)").groupBy("id").agg(F.min("label").alias("label"))
+    chosen, counts = sample_by_hash(unique, "id", "label", [0, 1], sample, 9)
     counts = {label: counts.get(label, 0) for label in (0, 1)}
-    if not (texts[0] and texts[1]):
+    rows = docs.select(F.col(id_col).alias("__i"), F.coalesce(text_col, F.lit("")).alias("__t")).join(F.broadcast(chosen), F.col("__i") == F.col("__id"))
+    rows = materialize(rows.groupBy(F.col("__class").alias("label"), F.xxhash64(F.lit(9), "__id").alias("h"), "__id").agg(F.min("__t").alias("text")), "labelled")
+    rows = rows.select("label", "h", "text", (F.pmod(F.xxhash64(F.lit(10), "__id"), F.lit(3)) == 0).alias("rest"))
+    found = {(r["label"], r["rest"]): r["count"] for r in rows.groupBy("label", "rest").count().collect()}
+    if not all(found.get((label, False)) and found.get((label, True)) for label in (0, 1)):
+        rows = rows.drop("rest").crossJoin(F.broadcast(docs.sparkSession.createDataFrame([(True,), (False,)], "rest boolean")))  # too few to be divided
+        found = {(r["label"], r["rest"]): r["count"] for r in rows.groupBy("label", "rest").count().collect()}
+    if not all(found.get((label, True)) for label in (0, 1)):
         share = counts[1] / sum(counts.values()) if sum(counts.values()) else 0.5
         share = min(max(share, 1e-3), 1 - 1e-3)
         return QualityModel(b"\n" * 8, b"\n" * 8, (0.0, 0.0, float(np.log(share / (1 - share)))))
-    build = {k: [t for i, t in enumerate(v) if i % 3 or len(v) < 3] for k, v in texts.items()}
-    rest = {k: v[::3] for k, v in texts.items()}
-    good, bad = train_dictionary(build[1]), train_dictionary(build[0])
-    measure = Sizes(good, bad)
-    x = np.array([measure(t.decode("utf-8", "replace")) for k in (0, 1) for t in rest[k]])
-    y = np.array([k for k in (0, 1) for _ in rest[k]], dtype=float)
+    cut = rows.filter("not rest").select("label", "h", "text").mapInArrow(_pieces, "label int, h bigint, piece binary")
+    good, bad = (train_dictionary([bytes(r["piece"]) for r in cut.filter(F.col("label") == label).orderBy("h", "piece").limit(pieces).collect()]) for label in (1, 0))
+    sizes = QualityModel(good, bad, (0.0, 0.0, 0.0)).sizes(F.col("text"))
+    measured = sorted(tuple(r) for r in rows.filter("rest").select("label", sizes.alias("s")).select("label", "s.difference", "s.rate").collect())
+    x, y = np.array([r[1:] for r in measured]), np.array([r[0] for r in measured], dtype=float)
     *weights, intercept = map(float, logistic(x, y))
-    intercept += float(np.log(counts[1] / counts[0]) - np.log(len(rest[1]) / len(rest[0])))
+    intercept += float(np.log(counts[1] / counts[0]) - np.log(y.sum() / (len(y) - y.sum())))
     return QualityModel(good, bad, (*weights, intercept))
 
 
 def score_quality(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
     """One row ``(id, score, predicted)`` for each row of ``docs``; no shuffle.
 
-    A null or empty text has no size difference and gets the score at zero; null ids and
-    repeated rows each get a row; other columns are not read.
+    A null or empty text has no size difference and gets the score at zero; a text of any
+    length is read whole, piece by piece; null ids and repeated rows each get a row; other
+    columns are not read. An empty table gives an empty one.
     """
     return docs.select(id_col, model.score(F.col(text_col)).alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))

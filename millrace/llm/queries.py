@@ -56,7 +56,7 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.quality_verdicts(table(spark, sf_dir, "documents")).drop("host_rate")
+    return quality_rules.quality_verdicts(table(spark, sf_dir, "documents")).withColumn("host_rate", F.round("host_rate", 6))
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

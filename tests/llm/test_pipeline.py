@@ -15,7 +15,7 @@ from millrace.llm.bpe import load_ranks
 from millrace.llm.line_dedup import MAX_RATIO, MIN_PAGES
 from millrace.llm.queries import QUERIES
 
-from .test_filters import plain_metrics
+from .test_filters import plain_hosts, plain_metrics
 from .test_near import brute as near_brute
 
 DATA = "/root/testdata/sf0.001"
@@ -28,10 +28,7 @@ def plain_quality(rows):
         n, _, _, _, repeated = plain_metrics(r["text"])
         failed[r["doc_id"]] = n < 20 or 100 * repeated > 30 * n
     count, bad = Counter(r["source"] for r in rows), Counter(r["source"] for r in rows if failed[r["doc_id"]])
-    mean = sum(bad.values()) / len(rows)
-    spread = max(sum(n * (bad[h] / n) ** 2 for h, n in count.items()) / len(rows) - mean**2, 1e-9)
-    weight = max(min(mean * (1 - mean) / spread - 1, 1e6), 1.0)
-    good = {h for h, n in count.items() if (bad[h] + mean * weight) / (n + weight) <= 0.5}
+    good = {h for h, (_, kept) in plain_hosts({h: (n, bad[h]) for h, n in count.items()}).items() if kept}
     return [r for r in rows if not failed[r["doc_id"]] and r["source"] in good]
 
 
