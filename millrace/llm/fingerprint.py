@@ -4,25 +4,33 @@ A lexicon keeps the terms whose inverse document frequency lies in a band. A doc
 distinct terms in the lexicon are sorted, and each of several randomised subsets of the
 lexicon hashes the sorted terms that it holds. The subsets differ in density, so that
 short and long documents both have some that hold a few of their terms.
+
+A term is a 64-bit hash. Every random partition of the lexicon reads bits of that hash that
+no other partition and no slot of the lexicon's bit map reads, so partitions are independent
+of each other; the subsets of one partition are disjoint.
 """
 
 from __future__ import annotations
 
-import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from millrace.llm.common import materialize
+
 #: The lexicon is a bit map of fixed size: a term's slot is set if any term there is in the band.
-LEXICON_BITS = 1 << 20
+#: In the band are at most (terms of a document) / BAND[0] terms, whatever the corpus.
+SLOT_BITS = 22
+LEXICON_BITS = 1 << SLOT_BITS
 #: Document frequencies of the band, as shares of all documents: 1e-4 to 0.02 is an inverse
 #: document frequency of ln 50 to ln 10,000.
 BAND = (1e-4, 0.02)
-#: Subsets by density: one term in so many.
-DENSITIES = (4, 16, 64, 256, 1024)
+#: Random partitions of the lexicon: bits read (a partition has 2**bits parts), and how many
+#: partitions of this kind. Each density, one term in 2**bits, has SUBSETS subsets in all.
+PARTITIONS = ((2, 4), (4, 1), (6, 1), (8, 1), (10, 1))
 SUBSETS = 16
-MAX_BUCKETS = 1 << 16
 
 
 def terms(text: Column) -> Column:
@@ -50,7 +58,13 @@ def lexicon(docs: DataFrame, text_col: str, band: tuple[float, float] = BAND) ->
 
 
 def in_band(all_terms: Column, bits: Column) -> Column:
-    """The sorted terms in the lexicon; all terms if none is."""
+    """The sorted terms in the lexicon.
+
+    A text with no term in the lexicon (very short, or of another language than the corpus)
+    would have no fingerprint at all, so all its terms count instead: equal texts still agree,
+    and a term outside the band can't be shared by many documents that have only such terms,
+    unless they are alike. A text without terms has none.
+    """
 
     def found(t: Column) -> Column:
         slot = F.pmod(t, F.lit(LEXICON_BITS))
@@ -61,24 +75,40 @@ def in_band(all_terms: Column, bits: Column) -> Column:
 
 
 def subset_hashes(sorted_terms: Column) -> Column:
-    """A hash for each subset of the lexicon; null where it holds no term of the document."""
+    """A 64-bit hash for each subset of the lexicon; null where it holds no term of the document.
 
-    def of_subset(density: int, k: int) -> Column:
-        # A term is a 64-bit hash: its bits from a place of the subset's own decide.
-        held = F.filter(sorted_terms, lambda t: F.shiftrightunsigned(t, k * 54 // SUBSETS).bitwiseAND(F.lit(density - 1)) == 0)
-        return F.when(F.size(held) > 0, F.xxhash64(held).bitwiseAND(F.lit(0xFFFFFFFF)))
+    Sparse partitions are read from the few terms that lie in their first SUBSETS parts.
+    """
+
+    def where(terms: Column, shift: int, bits: int, parts: Callable[[Column], Column]) -> Column:
+        return F.filter(terms, lambda t: parts(F.shiftrightunsigned(t, shift).bitwiseAND(F.lit((1 << bits) - 1))))
 
-    return F.array(*[of_subset(density, k) for density in DENSITIES for k in range(SUBSETS)])
+    def equal(k: int) -> Callable[[Column], Column]:
+        return lambda part: part == k
+
+    out, shift = [], SLOT_BITS
+    for bits, times in PARTITIONS:
+        for _ in range(times):
+            few = where(sorted_terms, shift, bits, lambda part: part < SUBSETS) if 1 << bits > SUBSETS else sorted_terms
+            held = [where(few, shift, bits, equal(k)) for k in range(min(1 << bits, SUBSETS // times))]
+            out += [F.when(F.size(h) > 0, F.xxhash64(h)) for h in held]
+            shift += bits
+    return F.array(*out)
 
 
 def as_text(hashes: Column) -> Column:
-    return F.array_join(F.transform(hashes, lambda h: F.coalesce(F.lpad(F.lower(F.hex(h)), 8, "0"), F.lit("-"))), "")
+    return F.array_join(F.transform(hashes, lambda h: F.coalesce(F.lpad(F.lower(F.hex(h)), 16, "0"), F.lit("-"))), "")
 
 
 def likeness(one: Column, other: Column) -> Column:
     """0 to 1: of the subsets of some density that hold a term of either, the share whose hashes agree.
 
-    The best density counts; 1 for equal fingerprints.
+    The best density counts, since a subset agrees only if the edit hit none of its terms: with
+    d changed terms a subset of density 1/2**bits agrees with probability (1 - 2**-bits)**d, so
+    dense subsets see small edits of short texts, sparse ones large edits of long texts, and the
+    other densities tell nothing about the pair. Fewer than four such subsets count as four: an
+    agreement of one or two alone is likely between unrelated texts that share a term. 1 for
+    equal fingerprints.
     """
     agree = F.zip_with(one, other, lambda a, b: F.coalesce((a == b).cast("int"), F.lit(0)))
     either = F.zip_with(one, other, lambda a, b: (a.isNotNull() | b.isNotNull()).cast("int"))
@@ -86,34 +116,58 @@ def likeness(one: Column, other: Column) -> Column:
     def total(flags: Column, at: int) -> Column:
         return F.aggregate(F.slice(flags, at + 1, SUBSETS), F.lit(0), lambda x, y: x + y)
 
-    shares = [total(agree, i * SUBSETS) / F.greatest(total(either, i * SUBSETS), F.lit(4)) for i in range(len(DENSITIES))]
-    return F.when(one == other, 1.0).otherwise(F.greatest(*shares)) if len(shares) > 1 else shares[0]
+    shares = [total(agree, i * SUBSETS) / F.greatest(total(either, i * SUBSETS), F.lit(4)) for i in range(len(PARTITIONS))]
+    return F.when(one == other, 1.0).otherwise(F.greatest(*shares))
 
 
-def with_following(docs: DataFrame, id_col: str, carry: list[str], names: list[str]) -> DataFrame:
-    """Adds the columns ``carry`` of the next row by ``id_col`` as ``names``; after the last row comes the first.
+def previous_keys(keys: DataFrame) -> DataFrame:
+    """Adds ``p_id, p_a, p_b, p_n``, the row before, to each row of distinct keys ``(id, a, b, n)``.
 
-    Rows are dealt into ranges of ids; the first rows of each range are copied to the end of
-    the range before it, so one sort within each range finds every next row. Null ids come
-    first; equal ids are ordered by the carried columns. Ranges are of equal width, MAX_BUCKETS
-    at most, so the table of their first ids has a fixed bound and may be broadcast.
+    Before the first key comes the last. The keys, without their texts, are dealt into ranges of
+    equal size and written to the shared folder; each range is put in order by itself, and its
+    first row gets the last one of the range before it, from a table of one row a range. Null
+    ids come first; ids may be any integers.
+    """
+    ranged = materialize(keys.repartitionByRange(F.col("id").asc_nulls_first(), "a", "b").withColumn("range", F.spark_partition_id()), "keys")
+    row, within = F.struct("id", "a", "b", "n"), W.partitionBy("range").orderBy(F.col("id").asc_nulls_first(), "a", "b")
+    place = F.struct(F.col("id").isNotNull().alias("has"), F.coalesce("id", F.lit(0).cast("bigint")).alias("at"), "a", "b")
+    ends = ranged.groupBy(F.col("range").alias("of")).agg(F.max_by(row, place).alias("end"))
+    every, ring = W.orderBy("of"), W.orderBy("of").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    ends = ends.select("of", F.coalesce(F.lag("end").over(every), F.last("end").over(ring)).alias("end"))
+    led = ranged.withColumn("before", F.lag(row).over(within)).join(ends, F.col("range") == F.col("of"))
+    before = F.coalesce("before", "end")
+    return led.select("id", "a", "b", *[before[c].alias(f"p_{c}") for c in ("id", "a", "b", "n")])
+
+
+def _same(left: tuple[str, ...], right: tuple[str, ...]) -> Column:
+    out = F.lit(True)
+    for x, y in zip(left, right):
+        out = out & F.col(x).eqNullSafe(F.col(y))
+    return out
+
+
+def with_following(docs: DataFrame, id_col: str, text_col: str, carry: list[str], names: list[str]) -> DataFrame:
+    """``docs`` with the columns ``carry`` of the next row by ``id_col`` as ``names``, and ``__next``.
+
+    ``__next`` is as much of the beginning of the next row's text as half of this text is long;
+    after the last row comes the first. Equal ids are ordered by 96 bits of hashes of the text; rows
+    that agree in id and text count as one row here, and each of them is followed by the next
+    different row. Texts must not be null; columns but these are dropped.
+
+    Only keys are put in order. Each text is then shuffled once by its key, and of each the part
+    that its predecessor needs a second time; no key gathers other rows than its own copies.
     """
-    order = F.coalesce(F.col(id_col).cast("bigint"), F.lit(-(1 << 63)))
-    low, high, n = docs.agg(F.min(id_col), F.max(id_col), F.count(F.lit(1))).first()
-    buckets = max(1, min(MAX_BUCKETS, math.ceil(n / 2000)))
-    width = max(1, math.ceil(((high or 0) - (low or 0) + 1) / buckets))
-    bucket = F.coalesce(F.floor((F.col(id_col) - F.lit(low or 0)) / F.lit(width)).cast("int"), F.lit(-1))
-    keyed = docs.withColumns({"__order": order, "__bucket": bucket})
-    firsts = keyed.groupBy("__bucket").agg(F.min("__order").alias("__first"))
-    ends = W.orderBy("__bucket")
-    firsts = firsts.withColumn("__before", F.coalesce(F.lag("__bucket").over(ends), F.max("__bucket").over(ends.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))))
-    placed = keyed.join(F.broadcast(firsts), "__bucket")
-    copies = F.when(F.col("__order") == F.col("__first"), F.array(F.struct(F.col("__bucket").alias("b"), F.lit(False).alias("copy")), F.struct(F.col("__before").alias("b"), F.lit(True).alias("copy"))))
-    copies = copies.otherwise(F.array(F.struct(F.col("__bucket").alias("b"), F.lit(False).alias("copy"))))
-    placed = placed.withColumn("__at", F.explode(copies)).drop("__bucket", "__first", "__before")
-    within = W.partitionBy("__at.b").orderBy("__at.copy", "__order", *carry)
-    led = placed.withColumns({name: F.lead(c).over(within) for c, name in zip(carry, names)})
-    return led.filter(~F.col("__at.copy")).drop("__order", "__at")
+    mine, prior = ("__id", "__a", "__b"), ("p_id", "p_a", "p_b")
+    hashed = [F.col(id_col).cast("bigint").alias("__id"), F.xxhash64(text_col).alias("__a"), F.hash(text_col).alias("__b")]
+    keys = docs.select(*hashed, F.length(text_col).alias("n")).groupBy(*mine).agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("rows"))
+    keys = materialize(keys.select(*[F.col(c).alias(c[2:]) for c in mine], "n", "rows"), "rows")
+    before = materialize(previous_keys(keys.drop("rows")), "before")
+    own = docs.select(*hashed, F.col(text_col), *carry)
+    copies = own.join(before, _same(mine, ("id", "a", "b"))).select(*prior, F.substring(text_col, F.lit(1), F.floor(F.col("p_n") / 2).cast("int")).alias("__next"), *[F.col(c).alias(n) for c, n in zip(carry, names)])
+    if not keys.filter("rows > 1").isEmpty():
+        copies = copies.dropDuplicates(list(prior))
+    led = own.join(copies, _same(mine, prior))
+    return led.select(F.col("__id").cast(docs.schema[id_col].dataType).alias(id_col), text_col, *carry, "__next", *names)
 
 
 def fingerprints(docs: DataFrame, bits: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -131,15 +185,16 @@ def compare_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     The edited text has the last ``floor(n/2)`` code points replaced by the first as many (or
     all) of the next row by id; after the last comes the first, so a single row follows itself.
-    Edge cases are those of ``fingerprints`` and ``with_following``.
+    Ids are any integers; null ids come first, equal ids and repeated rows are ordered as in
+    ``with_following``. Null texts count as empty, texts of any length are read whole. Other
+    columns are not read. An empty table gives an empty one.
     """
     texts = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
     bits = lexicon(texts, "__text", band)
     own = texts.withColumn("__terms", in_band(terms(F.col("__text")), bits)).withColumn("__hashes", subset_hashes(F.col("__terms"))).drop("__terms")
-    led = with_following(own, id_col, ["__text", "__hashes"], ["__next", "__next_hashes"])
+    led = with_following(own, id_col, "__text", ["__hashes"], ["__next_hashes"])
     n = F.length("__text")
-    half = F.floor(n / 2).cast("int")
-    edited = led.withColumn("n_chars", n.cast("bigint")).withColumn("__edited", F.concat(F.substring("__text", F.lit(1), n - half), F.substring("__next", F.lit(1), half)))
+    edited = led.withColumn("n_chars", n.cast("bigint")).withColumn("__edited", F.concat(F.substring("__text", F.lit(1), n - F.floor(n / 2).cast("int")), F.col("__next")))
     edited = edited.select(id_col, "n_chars", "__edited", "__hashes", "__next_hashes").withColumn("__terms", in_band(terms(F.col("__edited")), bits))
     edited = edited.select(id_col, "n_chars", F.sha2("__edited", 256).alias("edited_sha256"), "__hashes", "__next_hashes", subset_hashes(F.col("__terms")).alias("__edited_hashes"))
     return edited.select(

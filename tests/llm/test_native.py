@@ -1,12 +1,18 @@
+import hashlib
 import json
 import os
+import random
+import struct
+from collections import Counter
 
 import duckdb
 import pytest
+import regex as re
+import xxhash
 from pyspark.sql import functions as F
 
 from millrace.llm import chat_format, mixing
-from millrace.llm.fingerprint import compare_edits, with_following
+from millrace.llm.fingerprint import compare_edits, previous_keys, with_following
 from millrace.llm.line_dedup import ORACLE as LINES
 from millrace.llm.line_dedup import drop_boilerplate
 
@@ -35,8 +41,6 @@ def test_fingerprints(spark, docs, prose):
     df = docs(rows)
     out = {r.doc_id: r for r in compare_edits(df).collect()}
     texts = [t or "" for _, t in rows]
-    import hashlib
-
     for k, (doc_id, text) in enumerate(rows):
         text, following = text or "", texts[(k + 1) % len(rows)]
         half = len(text) // 2
@@ -61,13 +65,88 @@ def test_fingerprints_find_most_edits(spark):
     assert sum(r.near_edited == 0 for r in found) <= 0.06 * len(found)
 
 
+def plain_hash(values):
+    """Spark's xxhash64 of an array: each element's hash seeds the next one."""
+    h = 42
+    for v in values:
+        h = xxhash.xxh64_intdigest(struct.pack("<q", v), seed=h)
+    return h
+
+
+def plain_terms(text):
+    words = {w for w in re.split(r"[^\p{L}\p{N}]+", text.lower()) if w}
+    return {struct.unpack("<q", struct.pack("<Q", xxhash.xxh64_intdigest(w.encode(), seed=42)))[0] for w in words}
+
+
+def plain_fingerprint(text, slots):
+    found = plain_terms(text)
+    found = sorted({t for t in found if t % (1 << 22) in slots} or found)
+    out, shift = [], 22
+    for bits, times in ((2, 4), (4, 1), (6, 1), (8, 1), (10, 1)):
+        for _ in range(times):
+            for k in range(min(1 << bits, 16 // times)):
+                held = [t for t in found if (t % (1 << 64) >> shift) % (1 << bits) == k]
+                out.append(f"{plain_hash(held):016x}" if held else "-")
+            shift += bits
+    return out
+
+
+def plain_likeness(one, other):
+    if one == other:
+        return 1.0
+    best = 0.0
+    for at in range(0, 80, 16):
+        pairs = list(zip(one[at : at + 16], other[at : at + 16]))
+        best = max(best, sum(x == y != "-" for x, y in pairs) / max(sum(x != "-" or y != "-" for x, y in pairs), 4))
+    return best
+
+
+def test_fingerprints_equal_a_plain_version(spark, docs, prose):
+    rnd = random.Random(8)
+    rows = [(rnd.randrange(-(2**63), 2**63), prose(i % 70, rnd.randint(1, 150)) + f" é漢{i % 9}") for i in range(150)]
+    rows += [(2**63 - 1, "edge of the ids"), (-(2**63), "other edge"), (7, "!!"), (8, None), (9, ""), (10, "alone " * 30_000 + prose(5, 60)), (11, "unheardof wordsonly"), (None, prose(3, 50))]
+    rows += [(12, prose(1, 40)), (12, prose(2, 40)), (12, prose(2, 40)), (None, prose(4, 60))]
+    texts = sorted(dict.fromkeys((i, t or "") for i, t in rows), key=lambda r: (r[0] is not None, r[0] or 0, *key_hashes(r[1])))
+    df = Counter(t for _, text in rows for t in plain_terms(text or ""))
+    low, high = max(2, 1e-4 * len(rows)), max(2, 0.02 * len(rows))
+    slots = {t % (1 << 22) for t, n in df.items() if low <= n <= high}
+    following = {r: texts[(k + 1) % len(texts)][1] for k, r in enumerate(texts)}
+    found = compare_edits(docs(rows).repartition(5)).collect()
+    assert len(found) == len(rows)
+    got = {(r.doc_id, r.edited_sha256): r for r in found}
+    for doc_id, text in texts:
+        half = len(text) // 2
+        edited = text[: len(text) - half] + following[(doc_id, text)][:half]
+        r = got[(doc_id, hashlib.sha256(edited.encode()).hexdigest())]
+        own, theirs, after = (plain_fingerprint(x, slots) for x in (text, edited, following[(doc_id, text)]))
+        assert (r.n_chars, r.fingerprint, r.edited_fingerprint) == (len(text), "".join(own), "".join(theirs))
+        assert abs(r.near_edited - plain_likeness(own, theirs)) < 1e-12 and abs(r.near_next - plain_likeness(own, after)) < 1e-12
+
+
+def key_hashes(text):
+    signed = lambda v, size, code: struct.unpack(code.lower(), struct.pack(code, v))[0]
+    return (signed(xxhash.xxh64_intdigest(text.encode(), seed=42), 8, "<Q"),)
+
+
 def test_following_over_many_ranges(spark):
     ids = [i * i for i in range(3000)]
-    df = spark.createDataFrame([(i, f"t{i}") for i in ids] + [(None, "none"), (16, "t16b")], "doc_id bigint, text string")
-    out = with_following(df, "doc_id", ["text"], ["next"]).select("doc_id", "text", "next").collect()
-    got = {(r.doc_id, r.text): r.next for r in out}
-    assert len(got) == 3002 and got[(None, "none")] == "t0" and got[(16, "t16")] == "t16b" and got[(16, "t16b")] == "t25" and got[(ids[-1], f"t{ids[-1]}")] == "none"
-    assert all(got[(a, f"t{a}")] == f"t{b}" for a, b in zip(ids, ids[1:]) if a != 16)
+    df = spark.createDataFrame([(i, f"t{i}") for i in ids] + [(None, "none"), (2**62, "far")], "doc_id bigint, text string")
+    out = with_following(df, "doc_id", "text", ["text"], ["next"]).select("doc_id", "text", "next", "__next").collect()
+    got = {r.doc_id: r for r in out}
+    assert len(out) == 3002 and got[None].next == "t0" and got[ids[-1]].next == "far" and got[2**62].next == "none"
+    assert all(got[a].next == f"t{b}" and got[a]["__next"] == f"t{b}"[: len(f"t{a}") // 2] for a, b in zip(ids, ids[1:]))
+
+
+def test_ranges_of_keys_are_even(spark):
+    keys = spark.range(20_000).select(F.when(F.col("id") == 5, F.lit(2**60)).otherwise(F.col("id")).alias("id"), F.col("id").alias("a"), F.lit(0).alias("b"), F.lit(1).alias("n"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        ranged = keys.repartitionByRange(F.col("id").asc_nulls_first(), "a", "b").groupBy(F.spark_partition_id()).count()
+        assert ranged.agg(F.max("count")).first()[0] < 10_000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    out = previous_keys(keys)
+    assert out.count() == 20_000 and out.filter(F.col("id") == 2**60).first().p_id == 19_999 and out.filter("id = 0").first().p_id == 2**60
 
 
 def test_line_dedup(spark, docs):
