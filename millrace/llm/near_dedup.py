@@ -3,11 +3,15 @@
 Each distinct shingle set is posted under the (coordinate, value) pairs of its MinHash
 signature. Two sets whose signatures agree in MATCHES coordinates share one of the rarest
 ``repeated - MATCHES + 1`` of their postings, so only this prefix is joined, and a set with
-fewer repeated postings is skipped. Candidates are confirmed on the full sets.
+fewer repeated postings is skipped. The collisions of each pair that meets in a list are
+counted: first those in the joined prefixes; a pair that has MATCHES of them is through, for
+the others the rest of the postings is merged. Pairs with MATCHES collisions or more are
+retained, all others dropped, and the retained ones are confirmed on the full sets.
 
 A posting list isn't expanded into all pairs: its most connected set is compared with the
-others first, and sets that are in one component by then need no further comparison. Lists
-that still hold several components are settled by a prefix join of their sets' shingles.
+others first, and sets that are in one component by then need no further comparison. Which
+pairs are still to be compared in lists that hold several components is found by a prefix
+join of their sets' shingles; these pairs' collisions are counted like those of the others.
 """
 
 from __future__ import annotations
@@ -25,7 +29,8 @@ from pyspark.sql import types as T
 from millrace.llm.common import materialize
 
 #: A coordinate's value joins GROUP MinHash values, so unrelated documents of a large corpus
-#: hardly share one; at a similarity of 0.8 it agrees with a probability of 0.8**4 = 0.41.
+#: hardly share one (a list of a single value grows with the corpus, and its pairs with the
+#: square of it); at a similarity of 0.8 it agrees with a probability of 0.8**4 = 0.41.
 #: Such a pair has fewer than 3 matches in 32 coordinates with a probability of 1.3e-5.
 GROUP, COORDINATES, MATCHES = 4, 32, 3
 #: Words whose hashes a Python worker remembers.
@@ -111,8 +116,8 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
-def _postings(nodes: DataFrame) -> DataFrame:
-    """``(token, node, score)``: each set's prefix of its repeated postings, rarest first.
+def _postings(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(token, node, score)``: each set's prefix of its repeated postings, rarest first; and ``(node, own)``, all of them.
 
     ``score`` sums the lengths of the set's posting lists: how connected it is.
     """
@@ -120,10 +125,21 @@ def _postings(nodes: DataFrame) -> DataFrame:
     # Written first: joined with an exchange of its own, a long list can be split.
     lengths = materialize(posted.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "lengths")
     repeated = posted.join(lengths, "token").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("own"))
-    repeated = repeated.filter(F.size("own") >= MATCHES)
     score = F.aggregate("own", F.lit(0).cast("bigint"), lambda total, x: total + x["n"])
+    repeated = materialize(repeated.filter(F.size("own") >= MATCHES).select("node", score.alias("score"), F.col("own.token").alias("own")), "collisions")
     prefix = F.slice("own", F.lit(1), F.size("own") - (MATCHES - 1))
-    return repeated.select("node", score.alias("score"), F.explode(prefix).alias("p")).select(F.col("p.token").alias("token"), "node", "score")
+    return repeated.select(F.explode(prefix).alias("token"), "node", "score"), repeated.select("node", "own")
+
+
+def retain(pairs: DataFrame, lists: DataFrame) -> DataFrame:
+    """Those of the pairs ``(a, b, found)`` whose signatures collide in MATCHES coordinates or more.
+
+    ``found`` counts the collisions met so far; only pairs that need more are merged.
+    """
+    of_a = lists.select(F.col("node").alias("a"), F.col("own").alias("own_a"))
+    of_b = lists.select(F.col("node").alias("b"), F.col("own").alias("own_b"))
+    merged = pairs.filter(F.col("found") < MATCHES).join(of_a, "a").join(of_b, "b").filter(F.size(F.array_intersect("own_a", "own_b")) >= MATCHES)
+    return pairs.filter(F.col("found") >= MATCHES).select("a", "b").unionAll(merged.select("a", "b"))
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -157,20 +173,24 @@ def components(edges: DataFrame) -> DataFrame:
     """``(node, root)`` for each node of ``edges (a, b)``; root is the component's smallest node.
 
     Every round links each node with the smallest node among its neighbours (large star, small
-    star), which halves distances at least; each round is written to the shared folder.
+    star), which halves distances at least. Edges and smallest nodes are written to the shared
+    folder in each round: a join with a written table can be split at nodes with many neighbours.
     """
+
+    def state(rows: DataFrame) -> tuple:
+        return tuple(rows.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first())
+
     current = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
+    now = state(current)
     while True:
         both = current.unionAll(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        # Written first: joined with an exchange of its own, a node with many neighbours can be split.
         low = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low")
-        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = materialize(both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")), "large")
+        low = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "low")
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").unionAll(low.select("u", F.col("m").alias("v")))
-        following = materialize(small.filter("u <> v").distinct(), "edges")
-        same = current.count() == following.count() and current.exceptAll(following).isEmpty()
-        current = following
-        if same:
+        current, before = materialize(small.filter("u <> v").distinct(), "edges"), now
+        now = state(current)
+        if now == before:
             break
     roots = current.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root")
     return roots.unionAll(current.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
@@ -223,8 +243,9 @@ def _crossing(labelled: DataFrame, texts: DataFrame, size: int, percent: int) ->
     return one.join(other, (F.col("s") == F.col("t")) & (F.col("la") < F.col("lb")) & enough).select("a", "b")
 
 
-def _ordered(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def _counted(pairs: DataFrame) -> DataFrame:
+    """``(a, b, found)``: each pair once, with how many lists it was met in."""
+    return pairs.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count(F.lit(1)).alias("found"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
@@ -236,34 +257,36 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     can be reached. Texts that are null, empty or blank have an empty set and link with
     nothing. Equal sets are handled once, whatever their number. Rows with a null id keep a
     null ``kept`` if they are alone; repeated rows share a component and, having the smallest
-    id, are all kept. Other columns are not read. An empty table gives an empty one.
+    id, are all kept. Texts of any length are read whole, one at a time. Other columns are not
+    read. An empty table gives an empty one.
     """
     rows = materialize(_sets(docs, id_col, text_col, size), "sets")
     nodes = rows.filter("node is not null").groupBy("node").agg(F.min("id").alias("id"), F.first("tokens").alias("tokens"))
     nodes = materialize(nodes, "nodes")
-    postings = materialize(_postings(nodes), "postings")
-    candidates = postings.select("node").distinct()
+    postings, lists = _postings(nodes)
+    postings = materialize(postings, "postings")
     # Copies are reduced to one before the shuffle.
     texts = rows.filter("node is not null").groupBy("node").agg(F.first("n_shingles").alias("n_shingles"), F.first("payload").alias("payload"))
-    texts = materialize(texts.join(candidates, "node", "left_semi"), "texts")
+    texts = materialize(texts.join(lists.select("node"), "node", "left_semi"), "texts")
 
     # Each list's most connected set against the rest.
     listed = _labelled(postings, None)
-    tried = materialize(_ordered(listed.filter(F.col("top.node") != F.col("node")).select(F.col("top.node").alias("a"), F.col("node").alias("b"))), "pairs")
-    edges = materialize(confirm(tried, texts, size, percent), "links")
+    tried = materialize(_counted(listed.filter(F.col("top.node") != F.col("node")).select(F.col("top.node").alias("a"), F.col("node").alias("b"))), "pairs")
+    edges = materialize(confirm(retain(tried, lists), texts, size, percent), "links")
     roots = components(edges)
     # Then that of the list's second component, and last whatever pairs can still join two components.
     for last in (False, True):
         listed = _labelled(postings, materialize(roots, "roots"))
         if last:
-            pairs = _crossing(listed.select("node", "label").distinct(), texts, size, percent)
+            # Its pairs are met by shingles, not in lists: none of their collisions is counted yet.
+            pairs = _counted(_crossing(listed.select("node", "label").distinct(), texts, size, percent)).withColumn("found", F.lit(0).cast("bigint"))
         else:
             second = listed.filter(F.col("label") != F.col("top.label")).groupBy("token").agg(F.max(F.struct("score", "node", "label")).alias("next"))
             second = materialize(second, "second")
-            pairs = listed.join(second, "token").filter(F.col("label") != F.col("next.label")).select(F.col("next.node").alias("a"), F.col("node").alias("b"))
-        new = materialize(_ordered(pairs).join(tried, ["a", "b"], "left_anti"), "pairs")
+            pairs = _counted(listed.join(second, "token").filter(F.col("label") != F.col("next.label")).select(F.col("next.node").alias("a"), F.col("node").alias("b")))
+        new = materialize(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         tried = tried.unionAll(new)
-        edges = materialize(edges.unionAll(confirm(new, texts, size, percent)), "links")
+        edges = materialize(edges.unionAll(confirm(retain(new, lists), texts, size, percent)), "links")
         roots = components(edges)
 
     named = nodes.select("node", "id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
