@@ -7,7 +7,8 @@ They are dealt into suffix buckets and one bucket is sorted at a time:
    smallest hash. Consecutive strings share an anchor, so a document has one record for
    about 35 bytes: the anchor's hash, and a hash of the context that its strings cover.
    Records are bucketed by the anchor's hash. An anchor that occurs once has no repeated
-   string; of equal contexts all but the first are repeats, without a look at their bytes.
+   string; of equal contexts all but the first are repeats, without a look at their bytes:
+   contexts are equal if two independent 64-bit hashes, seeded anew in each run, agree.
 2. Only the first contexts of anchors with several different contexts are left. Their bytes
    are dealt into buckets by anchor, and each bucket's suffixes are sorted with the ranks
    of a difference cover (``cover_sort``), bounded by the bucket, whatever the corpus.
@@ -15,12 +16,18 @@ They are dealt into suffix buckets and one bucket is sorted at a time:
 
 A frequent passage would send the contexts around it, which all differ, to one bucket. So an
 anchor with many contexts in one block, or in its bucket, is hot: its strings are dealt one by
-one, by a hash of the whole string, after each block has reduced equal ones to the first.
+one, by a hash of the whole string (128 bits as well), after each block has reduced equal ones
+to the first.
+
+There are as many buckets as the text needs, FAN groups of buckets at most are dealt out at
+once: with more buckets a second pass deals each group into its buckets. So a block is never
+cut into more pieces than FAN, and memory and work stay in proportion to the text.
 """
 
 from __future__ import annotations
 
 import pickle
+import secrets
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -48,6 +55,8 @@ class Limits:
     #: Suffixes that are sorted at once, and bytes of text for each bucket of records.
     bucket: int = 1_000_000
     bucket_text: int = 20 << 20
+    #: Pieces that a block is cut into at most; more buckets are dealt in two passes.
+    fan: int = 4096
     #: Different contexts of one anchor in a block, and in a bucket, beyond which the anchor is hot.
     hot_in_block: int = 64
     hot: int = 20_000
@@ -58,51 +67,77 @@ FIRST, REPEAT, SINGLY, MARK = 0, 1, 2, 3
 #: Longer texts are read in parts of so many bytes that overlap by a string.
 PART = 1 << 22
 _POSITION = np.uint64(PART * 2 - 1)
-_RNG = np.random.default_rng(2)
-_BYTE = _RNG.integers(0, 1 << 64, 256, dtype=np.uint64)
-_BASE = int(_RNG.integers(0, 1 << 62)) * 2 + 1
-_POWERS: list[np.ndarray] = []
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the hash's base and of its inverse modulo 2**64."""
-    if not _POWERS or len(_POWERS[0]) < n:
-        size = max(n, 1 << 17)
-        inverse = pow(_BASE, -1, 1 << 64)
-        _POWERS[:] = [np.cumprod(np.r_[np.uint64(1), np.full(size - 1, np.uint64(x), dtype=np.uint64)]) for x in (_BASE, inverse)]
-    return _POWERS[0], _POWERS[1]
-
-
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
     return x ^ (x >> np.uint64(29))
 
 
-def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """``(anchor hash, context hash, first start, last start)`` for each anchor of a text.
-
-    The context of an anchor reaches from the first to the end of the last of the strings
-    that it is the anchor of.
-    """
-    n = len(data)
-    up, down = _powers(n + 1)
-    codes = _BYTE[data]
-    sums = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(codes * up[:n], out=sums[1:])
-    grams = _mix((sums[GRAM:] - sums[:-GRAM]) * down[: n - GRAM + 1])
-    low = (grams & ~_POSITION) | np.arange(len(grams), dtype=np.uint64)
-    width = 1
-    while width * 2 <= SPAN:
-        low = np.minimum(low[:-width], low[width:])
-        width *= 2
-    rest = SPAN - width
-    low = np.minimum(low[: len(low) - rest], low[rest:]) if rest else low
-    at = (low & _POSITION).astype(np.int64)
-    first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-    last = np.r_[first[1:] - 1, len(at) - 1]
-    context = (sums[last + LENGTH] - sums[first]) * down[first]
-    shape = ((at[first] - first) << 8 | (last - first)).astype(np.uint64)
-    return grams[at[first]], _mix(context + shape * np.uint64(0xD6E8FEB86659FD93)), first, last
+class Hasher:
+    """Two independent polynomial hashes of byte strings, made from a run's seed."""
+
+    def __init__(self, seed: int):
+        rng = np.random.default_rng(seed)
+        self.bytes = rng.integers(0, 1 << 64, (2, 256), dtype=np.uint64)
+        self.bases = [int(x) * 2 + 1 for x in rng.integers(0, 1 << 62, 2)]
+        self._powers: list[list[np.ndarray]] = [[], []]
+
+    def powers(self, k: int, n: int) -> list[np.ndarray]:
+        """Powers of a hash's base and of its inverse modulo 2**64."""
+        if not self._powers[k] or len(self._powers[k][0]) < n:
+            size = max(n, 1 << 17)
+            found = (self.bases[k], pow(self.bases[k], -1, 1 << 64))
+            self._powers[k] = [np.cumprod(np.r_[np.uint64(1), np.full(size - 1, np.uint64(x), dtype=np.uint64)]) for x in found]
+        return self._powers[k]
+
+    def sums(self, k: int, data: np.ndarray) -> np.ndarray:
+        """From these the hash of any part of ``data`` is read."""
+        out = np.zeros(len(data) + 1, dtype=np.uint64)
+        np.cumsum(self.bytes[k][data] * self.powers(k, len(data) + 1)[0][: len(data)], out=out[1:])
+        return out
+
+    def anchors(self, data: np.ndarray) -> tuple[np.ndarray, ...]:
+        """``(anchor hash, context hash, other context hash, first start, last start)`` for each anchor of a text.
+
+        The context of an anchor reaches from the first to the end of the last of the strings
+        that it is the anchor of.
+        """
+        sums = self.sums(0, data)
+        down = self.powers(0, len(data) + 1)[1]
+        grams = _mix((sums[GRAM:] - sums[:-GRAM]) * down[: len(data) - GRAM + 1])
+        low = (grams & ~_POSITION) | np.arange(len(grams), dtype=np.uint64)
+        width = 1
+        while width * 2 <= SPAN:
+            low = np.minimum(low[:-width], low[width:])
+            width *= 2
+        rest = SPAN - width
+        low = np.minimum(low[: len(low) - rest], low[rest:]) if rest else low
+        at = (low & _POSITION).astype(np.int64)
+        first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+        last = np.r_[first[1:] - 1, len(at) - 1]
+        shape = ((at[first] - first) << 8 | (last - first)).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+        contexts = []
+        for k in (0, 1):
+            sums, down = (sums, down) if k == 0 else (self.sums(1, data), self.powers(1, len(data) + 1)[1])
+            contexts.append(_mix((sums[last + LENGTH] - sums[first]) * down[first] + shape))
+        return grams[at[first]], *contexts, first, last
+
+    def strings(self, data: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+        """Both hashes of the string at each place."""
+        out = []
+        for k in (0, 1):
+            sums, down = self.sums(k, data), self.powers(k, len(data) + 1)[1]
+            out.append(_mix((sums[at + LENGTH] - sums[at]) * down[at]))
+        return out
+
+
+_HASHERS: dict[int, Hasher] = {}
+
+
+def _hasher(seed: int) -> Hasher:
+    if seed not in _HASHERS:
+        _HASHERS.clear()
+        _HASHERS[seed] = Hasher(seed)
+    return _HASHERS[seed]
 
 
 def parts(data: bytes, size: int = PART) -> Iterator[tuple[int, np.ndarray]]:
@@ -130,32 +165,98 @@ def unpack(blob: bytes) -> list[np.ndarray]:
     return out
 
 
-def _of(hashes: np.ndarray, buckets: int) -> np.ndarray:
-    return (hashes >> np.uint64(33)).astype(np.int64) % buckets
+@dataclass(frozen=True)
+class Buckets:
+    """How hashes are dealt into ``n`` buckets: straight, or by ``fan`` groups of buckets first."""
+
+    n: int
+    fan: int
+
+    @property
+    def two_passes(self) -> bool:
+        return self.n > self.fan
+
+    def of(self, hashes: np.ndarray, last: bool = False) -> np.ndarray:
+        bucket = (hashes >> np.uint64(33)).astype(np.int64) % self.n
+        return bucket % self.fan if self.two_passes and not last else bucket
+
+
+def _present(labels: np.ndarray, *within: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each label that occurs, with its rows in the order of ``within``."""
+    order = np.lexsort((*within[::-1], labels))
+    found, first = np.unique(labels[order], return_index=True)
+    for label, a, b in zip(found.tolist(), first, np.r_[first[1:], len(order)]):
+        yield label, order[a:b]
+
+
+def _deal(hashes: np.ndarray, docs: np.ndarray, ids: np.ndarray, tids: np.ndarray, labels: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """A blob of records for each label, with a table of their documents."""
+    for label, rows in _present(labels, hashes):
+        held, index = np.unique(docs[rows], return_inverse=True)
+        yield label, pack(ids[held], tids[held], hashes[rows], index.astype(np.uint32), *[c[rows] for c in columns])
+
+
+def _deal_contexts(hashes: np.ndarray, docs: np.ndarray, ids: np.ndarray, tids: np.ndarray, labels: np.ndarray, first: np.ndarray, extent: np.ndarray, text: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """The same for contexts, whose bytes stand one after the other in ``text``."""
+    lengths = extent.astype(np.int64) + LENGTH
+    begins = np.cumsum(lengths) - lengths
+    for label, rows in _present(labels, hashes):
+        held, index = np.unique(docs[rows], return_inverse=True)
+        n = lengths[rows]
+        take = np.repeat(begins[rows] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        yield label, pack(ids[held], tids[held], hashes[rows], index.astype(np.uint32), first[rows].astype(np.uint32), extent[rows].astype(np.uint8), text[take])
 
 
-def _deal(hashes: np.ndarray, docs: np.ndarray, ids: np.ndarray, tids: np.ndarray, buckets: int, *columns: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    """A blob of records for each bucket, with a table of their documents."""
-    bucket = _of(hashes, buckets)
-    order = np.lexsort((hashes, bucket))
-    bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    for b in range(buckets):
-        rows = order[bounds[b] : bounds[b + 1]]
-        if len(rows):
-            held, index = np.unique(docs[rows], return_inverse=True)
-            yield b, pack(ids[held], tids[held], hashes[rows], index.astype(np.uint32), *[c[rows] for c in columns])
+def _place_of(ids: np.ndarray, tids: np.ndarray) -> np.ndarray:
+    return _mix(tids.view(np.uint64) ^ ids.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def _record_blobs(docs: DataFrame, buckets: int, limits: Limits) -> DataFrame:
+def _deal_told(columns: list[np.ndarray], labels: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    for label, rows in _present(labels, columns[0], columns[1], columns[3]):
+        yield label, pack(*[c[rows] for c in columns])
+
+
+def _blob_rows(dealt: Iterator[tuple[int, bytes]]) -> pa.RecordBatch:
+    found = list(dealt)
+    return pa.RecordBatch.from_arrays([pa.array([b for b, _ in found], pa.int32()), pa.array([x for _, x in found], pa.binary())], ["bucket", "blob"])
+
+
+def _redeal(batches: Iterator[pa.RecordBatch], buckets: Buckets, limits: Limits) -> Iterator[pa.RecordBatch]:
+    """The second pass: blobs of a group of buckets as blobs of its buckets."""
+
+    def rows(found: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        for size in sorted({len(f) for f in found}):
+            own = [f for f in found if len(f) == size]
+            if size == TOLD_COLUMNS:
+                columns = [np.concatenate([f[i] for f in own]) for i in range(size)]
+                yield _blob_rows(_deal_told(columns, buckets.of(_place_of(*columns[:2]), True)))
+                continue
+            ids, tids, hashes, docs, *columns = _joined(own)
+            deal = _deal_contexts if size == CONTEXT_COLUMNS else _deal
+            yield _blob_rows(deal(hashes, docs, ids, tids, buckets.of(hashes, True), *columns))
+
+    for blobs in _by_bucket(batches):
+        found, count = [], 0
+        for blob in blobs:
+            found.append(unpack(blob))
+            count += sum(x.nbytes for x in found[-1])
+            if count >= limits.block_bytes:
+                yield from rows(found)
+                found, count = [], 0
+        if found:
+            yield from rows(found)
+
+
+def _record_blobs(docs: DataFrame, buckets: Buckets, limits: Limits, seed: int) -> DataFrame:
     """``(bucket, blob)``: anchors' records. Within a block only the first of equal contexts is sent; repeats are sent as such."""
 
     def flush(found: list, ids: list, tids: list) -> Iterator[tuple[int, bytes]]:
-        hashes, contexts, first, last = (np.concatenate([f[i] for f in found]) for i in range(4))
-        docs = np.repeat([f[4] for f in found], [len(f[0]) for f in found])
+        hashes, contexts, others, first, last = (np.concatenate([f[i] for f in found]) for i in range(5))
+        docs = np.repeat([f[5] for f in found], [len(f[0]) for f in found])
         ids, tids = np.array(ids, dtype=np.int64), np.array(tids, dtype=np.int64)
-        order = np.lexsort((tids[docs], first, ids[docs], contexts, hashes))
-        h, c = hashes[order], contexts[order]
-        again = np.r_[False, (h[1:] == h[:-1]) & (c[1:] == c[:-1])]
+        order = np.lexsort((tids[docs], first, ids[docs], others, contexts, hashes))
+        h, c, o = hashes[order], contexts[order], others[order]
+        again = np.r_[False, (h[1:] == h[:-1]) & (c[1:] == c[:-1]) & (o[1:] == o[:-1])]
         lead = order[np.maximum.accumulate(np.where(again, 0, np.arange(len(order))))]
         # Rows repeated in the table are neither of them earlier.
         same = again & (ids[docs[order]] == ids[docs[lead]]) & (tids[docs[order]] == tids[docs[lead]]) & (first[order] == first[lead])
@@ -169,15 +270,11 @@ def _record_blobs(docs: DataFrame, buckets: int, limits: Limits) -> DataFrame:
         # What its bucket only passes on goes by its document, so that no anchor gathers it.
         passed = (kind == REPEAT) | (kind == SINGLY)
         place = np.where(passed, _mix(tids[docs[rows]].view(np.uint64) + first[rows].astype(np.uint64)), hashes[rows])
-        yield from _deal(place, docs[rows], ids, tids, buckets, contexts[rows], first[rows].astype(np.uint32), (last - first)[rows].astype(np.uint8), kind)
+        yield from _deal(place, docs[rows], ids, tids, buckets.of(place), contexts[rows], others[rows], first[rows].astype(np.uint32), (last - first)[rows].astype(np.uint8), kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, ids, tids, count = [], [], [], 0
-
-        def rows() -> pa.RecordBatch:
-            out = list(flush(found, ids, tids))
-            return pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], ["bucket", "blob"])
-
+        anchors = _hasher(seed).anchors
         for batch in batches:
             for i in range(batch.num_rows):
                 text = batch.column(2)[i].as_py()
@@ -185,16 +282,16 @@ def _record_blobs(docs: DataFrame, buckets: int, limits: Limits) -> DataFrame:
                 if len(data) < LENGTH:
                     continue
                 for at, part in parts(data):
-                    h, c, first, last = anchors(part)
-                    found.append((h, c, first + at, last + at, len(ids)))
+                    h, c, o, first, last = anchors(part)
+                    found.append((h, c, o, first + at, last + at, len(ids)))
                     count += len(h)
                 ids.append(batch.column(0)[i].as_py())
                 tids.append(batch.column(1)[i].as_py())
                 if count >= limits.block:
-                    yield rows()
+                    yield _blob_rows(flush(found, ids, tids))
                     found, ids, tids, count = [], [], [], 0
         if found:
-            yield rows()
+            yield _blob_rows(flush(found, ids, tids))
 
     return docs.mapInArrow(run, "bucket int, blob binary")
 
@@ -209,9 +306,12 @@ _SAID = T.StructType([
 
 
 class _Told:
-    """Gathers what buckets say and deals it out by document, in blobs: a row for each part of the documents, not for each document."""
+    """Gathers what buckets say and deals it out by document, in blobs: a row for each part of the documents, not for each document.
+
+    There are as many parts of the documents as buckets.
+    """
 
-    def __init__(self, parts: int):
+    def __init__(self, parts: Buckets):
         self.parts, self.found, self.count = parts, [], 0
 
     def add(self, ids: np.ndarray, tids: np.ndarray, repeats: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> None:
@@ -221,14 +321,8 @@ class _Told:
     def rows(self) -> Iterator[pa.RecordBatch]:
         if not self.count:
             return
-        columns = [np.concatenate([f[i] for f in self.found]) for i in range(6)]
-        ids, tids = columns[:2]
-        part = ((tids.view(np.uint64) ^ ids.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)).astype(np.int64) % self.parts
-        order = np.lexsort((columns[3], tids, ids, part))
-        bounds = np.searchsorted(part[order], np.arange(self.parts + 1))
-        full = [p for p in range(self.parts) if bounds[p] < bounds[p + 1]]
-        blobs = [pack(*[c[order[bounds[p] : bounds[p + 1]]] for c in columns]) for p in full]
-        yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
+        columns = [np.concatenate([f[i] for f in self.found]) for i in range(TOLD_COLUMNS)]
+        yield _blob_rows(_deal_told(columns, self.parts.of(_place_of(*columns[:2]))))
         self.found, self.count = [], 0
 
 
@@ -250,23 +344,16 @@ def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(ids[bounds[:-1]]), pa.array(tids[bounds[:-1]]), *[pa.array(x, pa.binary()) for x in said]], _SAID.names)
 
 
-#: Arrays in a blob of single strings; a blob of contexts has one more, which is empty.
-STRING_COLUMNS = 7
-
+#: Arrays in a blob of what documents are told, of contexts with their bytes, of single strings.
+TOLD_COLUMNS, CONTEXT_COLUMNS, STRING_COLUMNS = 6, 7, 8
 
-def _string_hashes(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """A hash of the string at each place."""
-    up, down = _powers(len(data) + 1)
-    sums = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(_BYTE[data] * up[: len(data)], out=sums[1:])
-    return _mix((sums[at + LENGTH] - sums[at]) * down[at])
 
-
-def _later(h: np.ndarray, ids: np.ndarray, at: np.ndarray, tids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """An order by hash and place, and in it which strings have an equal one before."""
-    order = np.lexsort((tids, at, ids, h))
-    h, ids, at, tids = h[order], ids[order], at[order], tids[order]
-    lead = np.maximum.accumulate(np.where(np.r_[True, h[1:] != h[:-1]][: len(h)], np.arange(len(h)), 0))
+def _later(h: np.ndarray, o: np.ndarray, ids: np.ndarray, at: np.ndarray, tids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order by both hashes and place, and in it which strings have an equal one before."""
+    order = np.lexsort((tids, at, ids, o, h))
+    h, o, ids, at, tids = h[order], o[order], ids[order], at[order], tids[order]
+    new = np.r_[True, (h[1:] != h[:-1]) | (o[1:] != o[:-1])][: len(h)]
+    lead = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
     return order, (ids != ids[lead]) | (at != at[lead]) | (tids != tids[lead])
 
 
@@ -296,20 +383,20 @@ def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
         yield blobs
 
 
-def _sort_records(batches: Iterator[pa.RecordBatch], parts: int, limits: Limits) -> Iterator[pa.RecordBatch]:
+def _sort_records(batches: Iterator[pa.RecordBatch], parts: Buckets, limits: Limits) -> Iterator[pa.RecordBatch]:
     out = _Told(parts)
     for blobs in _by_bucket(batches):
-        ids, tids, h, doc, c, first, extent, kind = _gather(blobs)
+        ids, tids, h, doc, c, o, first, extent, kind = _gather(blobs)
         first = first.astype(np.int64)
         last = first + extent
         on = (kind == REPEAT) | (kind == SINGLY)
         out.add(ids[doc[on]], tids[doc[on]], kind[on], first[on], last[on], np.zeros(on.sum(), dtype=np.uint64))
         marked = np.unique(h[kind == MARK])
         own = np.flatnonzero(kind == FIRST)
-        order = own[np.lexsort((tids[doc[own]], first[own], ids[doc[own]], c[own], h[own]))]
-        h, doc, c, first, last = h[order], doc[order], c[order], first[order], last[order]
+        order = own[np.lexsort((tids[doc[own]], first[own], ids[doc[own]], o[own], c[own], h[own]))]
+        h, doc, c, o, first, last = h[order], doc[order], c[order], o[order], first[order], last[order]
         start = np.r_[True, h[1:] != h[:-1]][: len(h)]
-        other = (np.r_[True, c[1:] != c[:-1]][: len(h)]) | start
+        other = (np.r_[True, (c[1:] != c[:-1]) | (o[1:] != o[:-1])][: len(h)]) | start
         group = np.cumsum(start) - 1
         lead = np.maximum.accumulate(np.where(other, np.arange(len(h)), 0))
         same = (ids[doc] == ids[doc[lead]]) & (tids[doc] == tids[doc[lead]]) & (first == first[lead])
@@ -323,43 +410,27 @@ def _sort_records(batches: Iterator[pa.RecordBatch], parts: int, limits: Limits)
     yield from out.rows()
 
 
-def _context_blobs(batches: Iterator[pa.RecordBatch], buckets: int, limits: Limits) -> Iterator[pa.RecordBatch]:
+def _context_blobs(batches: Iterator[pa.RecordBatch], buckets: Buckets, limits: Limits, seed: int) -> Iterator[pa.RecordBatch]:
     """``(bucket, blob)``: the bytes of wanted contexts, by anchor; hashes of single strings, by themselves."""
     expand = zstandard.ZstdDecompressor().decompress
+    string_hashes = _hasher(seed).strings
     ids, tids, docs, hashes, ranges, texts, size = [], [], [], [], [], [], 0
-    single: list[tuple[int, np.ndarray, np.ndarray]] = []
+    single: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = []
 
     def strings() -> pa.RecordBatch:
         """Of equal strings of the block the first; the others are repeats, which go by their document."""
         d = np.repeat([x[0] for x in single], [len(x[1]) for x in single])
-        at, h = np.concatenate([x[1] for x in single]), np.concatenate([x[2] for x in single])
+        at, h, o = (np.concatenate([x[k] for x in single]) for k in (1, 2, 3))
         i, t = np.array(ids, dtype=np.int64), np.array(tids, dtype=np.int64)
-        order, repeat = _later(h, i[d], at, t[d])
-        d, at, h = d[order], at[order], h[order]
+        order, repeat = _later(h, o, i[d], at, t[d])
+        d, at, h, o = d[order], at[order], h[order], o[order]
         place = np.where(repeat, _mix(t[d].view(np.uint64) + at.astype(np.uint64)), h)
-        found = list(_deal(place, d, i, t, buckets, h, at.astype(np.uint32), repeat.astype(np.uint8)))
-        return pa.RecordBatch.from_arrays([pa.array([b for b, _ in found], pa.int32()), pa.array([x for _, x in found], pa.binary())], ["bucket", "blob"])
+        return _blob_rows(_deal(place, d, i, t, buckets.of(place), h, o, at.astype(np.uint32), repeat.astype(np.uint8)))
 
     def rows() -> pa.RecordBatch:
         h, r = np.concatenate(hashes), np.concatenate(ranges)
-        d = np.repeat(docs, [len(x) for x in hashes])
-        lengths = r[:, 1] - r[:, 0] + LENGTH
-        begins = np.cumsum(lengths) - lengths
-        text = np.concatenate(texts)
-        out_b, out_x = [], []
         i, t = np.array(ids, dtype=np.int64), np.array(tids, dtype=np.int64)
-        bucket = _of(h, buckets)
-        order = np.lexsort((h, bucket))
-        bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        for b in range(buckets):
-            own = order[bounds[b] : bounds[b + 1]]
-            if len(own):
-                held, index = np.unique(d[own], return_inverse=True)
-                n = lengths[own]
-                take = np.repeat(begins[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                out_b.append(b)
-                out_x.append(pack(i[held], t[held], h[own], index.astype(np.uint32), r[own, 0].astype(np.uint32), (r[own, 1] - r[own, 0]).astype(np.uint8), text[take], text[:0]))
-        return pa.RecordBatch.from_arrays([pa.array(out_b, pa.int32()), pa.array(out_x, pa.binary())], ["bucket", "blob"])
+        return _blob_rows(_deal_contexts(h, np.repeat(docs, [len(x) for x in hashes]), i, t, buckets.of(h), r[:, 0], r[:, 1] - r[:, 0], np.concatenate(texts)))
 
     for batch in batches:
         for row in batch.to_pylist():
@@ -368,8 +439,8 @@ def _context_blobs(batches: Iterator[pa.RecordBatch], buckets: int, limits: Limi
                 r = np.frombuffer(row["singly"], dtype=np.int32).reshape(-1, 2).astype(np.int64)
                 n = r[:, 1] - r[:, 0] + 1
                 at = np.repeat(r[:, 0] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                single.append((len(ids), at, _string_hashes(data, at)))
-                size += 16 * len(at)
+                single.append((len(ids), at, *string_hashes(data, at)))
+                size += 24 * len(at)
             said = row["wanted"] or b""
             n = len(said) // 16
             r = np.frombuffer(said, dtype=np.int32, offset=8 * n).reshape(n, 2).astype(np.int64)
@@ -388,23 +459,23 @@ def _context_blobs(batches: Iterator[pa.RecordBatch], buckets: int, limits: Limi
     yield from (f() for f, x in ((rows, ranges), (strings, single)) if any(map(len, x)))
 
 
-def _sort_contexts(batches: Iterator[pa.RecordBatch], parts: int, limits: Limits) -> Iterator[pa.RecordBatch]:
+def _sort_contexts(batches: Iterator[pa.RecordBatch], parts: Buckets, limits: Limits) -> Iterator[pa.RecordBatch]:
     out = _Told(parts)
     for found in _by_bucket(batches):
         blobs = [unpack(b) for b in found]
         single = [b for b in blobs if len(b) == STRING_COLUMNS]
         if single:
-            ids, tids, _, doc, h, at, repeat = _joined(single)
+            ids, tids, _, doc, h, o, at, repeat = _joined(single)
             at = at.astype(np.int64)
             on = repeat == 1
             own = np.flatnonzero(~on)
-            order, later = _later(h[own], ids[doc[own]], at[own], tids[doc[own]])
+            order, later = _later(h[own], o[own], ids[doc[own]], at[own], tids[doc[own]])
             gone = np.r_[np.flatnonzero(on), own[order][later]]
             out.add(ids[doc[gone]], tids[doc[gone]], np.full(len(gone), REPEAT), at[gone], at[gone], np.zeros(len(gone), dtype=np.uint64))
         blobs = [b for b in blobs if len(b) != STRING_COLUMNS]
         if not blobs:
             continue
-        ids, tids, h, doc, first, extent, text, _ = _joined(blobs)
+        ids, tids, h, doc, first, extent, text = _joined(blobs)
         first, extent = first.astype(np.int64), extent.astype(np.int64)
         lengths = extent + LENGTH
         begins = np.cumsum(lengths) - lengths
@@ -466,28 +537,34 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     A byte is removed if a string of LENGTH bytes covers it that also starts earlier: in a row
     with a smaller id, or before in the same text. ``spans`` are the maximal removed runs
     (start, end), ``kept`` the bytes that are left. A null text counts as empty; texts below
-    LENGTH bytes lose nothing. A null id comes before all others. Different texts under one id
-    are ordered by a hash of the text; rows repeated as a whole all keep what one of them
-    would keep. Ids are integers; other columns are not read. An empty table gives an empty one.
+    LENGTH bytes lose nothing; texts beyond PART bytes are hashed and sorted in parts that overlap
+    by a string. A null id counts as the smallest integer. Different texts under one id are
+    ordered by a hash of the text; rows repeated as a whole all keep what one of them would
+    keep. Ids are integers; other columns are not read. An empty table gives an empty one.
     """
     nothing = -(1 << 63)
-    keyed = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(nothing)).alias("id"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("tid"), F.col(text_col).alias("text"))
+    missing = F.col(id_col).isNull()
+    keyed = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(nothing)).alias("id"), F.xxhash64(F.coalesce(text_col, F.lit("")), missing).alias("tid"), missing.alias("missing"), F.col(text_col).alias("text"))
     total = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(1, -(-total // limits.bucket_text))
-    tasks = min(buckets, max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    buckets = Buckets(max(1, -(-total // limits.bucket_text)), limits.fan)
+    tasks = min(buckets.n, max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    seed = secrets.randbits(63)
 
     def by_bucket(blobs: DataFrame) -> DataFrame:
+        if buckets.two_passes:
+            groups = blobs.repartition(tasks, "bucket").sortWithinPartitions("bucket")
+            blobs = groups.mapInArrow(lambda it: _redeal(it, buckets, limits), "bucket int, blob binary")
         return blobs.repartition(tasks, "bucket").sortWithinPartitions("bucket")
 
     blob = "bucket int, blob binary"
-    records = by_bucket(_record_blobs(keyed.filter(F.octet_length("text") >= LENGTH), buckets, limits))
-    told = by_bucket(records.mapInArrow(lambda it: _sort_records(it, tasks, limits), blob))
+    records = by_bucket(_record_blobs(keyed.filter(F.octet_length("text") >= LENGTH).select("id", "tid", "text"), buckets, limits, seed))
+    told = by_bucket(records.mapInArrow(lambda it: _sort_records(it, buckets, limits), blob))
     said = materialize(told.mapInArrow(_by_document, _SAID), "repeats")
 
-    texts = keyed.select("id", "tid", _payload(F.col("text")).alias("payload"))
+    texts = keyed.select("id", "tid", "missing", _payload(F.col("text")).alias("payload"))
     contexts = said.filter("wanted is not null or singly is not null").join(texts, ["id", "tid"]).select("id", "tid", "payload", "wanted", "singly")
-    contexts = by_bucket(contexts.mapInArrow(lambda it: _context_blobs(it, buckets, limits), blob))
-    told = by_bucket(contexts.mapInArrow(lambda it: _sort_contexts(it, tasks, limits), blob))
+    contexts = by_bucket(contexts.mapInArrow(lambda it: _context_blobs(it, buckets, limits, seed), blob))
+    told = by_bucket(contexts.mapInArrow(lambda it: _sort_contexts(it, buckets, limits), blob))
     more = materialize(told.mapInArrow(_by_document, _SAID), "repeats")
 
     repeats = said.select("id", "tid", "repeats").unionAll(more.select("id", "tid", "repeats")).filter("repeats is not null")
@@ -508,11 +585,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 for row in batch.slice(at, 200).to_pylist():
                     data = expand(row["payload"])
                     runs = removed_spans(len(data), row["repeats"] or [])
-                    ids.append(None if row["id"] == nothing else row["id"])
+                    ids.append(None if row["missing"] else row["id"])
                     sizes.append(len(data))
                     spans.append([{"start": a, "end": b} for a, b in runs])
                     bounds = [0, *[x for run in runs for x in run], len(data)]
                     kept.append(b"".join(data[a:b] for a, b in zip(bounds[::2], bounds[1::2])))
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(spans, span), pa.array(kept, pa.binary())], schema.names)
 
-    return texts.join(repeats, ["id", "tid"], "left").select("id", "payload", "repeats").mapInArrow(cut, schema)
+    return texts.join(repeats, ["id", "tid"], "left").select("id", "missing", "payload", "repeats").mapInArrow(cut, schema)

@@ -59,7 +59,7 @@ def test_against_brute_force(spark, docs, prose):
 SMALL = {"block": 50, "block_bytes": 4000, "bucket": 500, "bucket_text": 8000}
 
 
-@pytest.mark.parametrize("more", [{}, {"hot_in_block": 2}, {"hot": 3}, {"hot_in_block": 0, "hot": 0}, {"block": 300, "hot_in_block": 5, "hot": 10}])
+@pytest.mark.parametrize("more", [{}, {"hot_in_block": 2}, {"hot": 3}, {"hot_in_block": 0, "hot": 0}, {"block": 300, "hot_in_block": 5, "hot": 10}, {"fan": 3}, {"fan": 2, "hot_in_block": 2, "hot": 3}])
 def test_small_blocks_and_hot_anchors(spark, docs, prose, more):
     rows = fixture(prose)
     out = {r.doc_id: bytes(r.kept) for r in sd.remove_repeats(docs(rows).repartition(3), limits=sd.Limits(**SMALL | more)).collect()}
@@ -68,11 +68,12 @@ def test_small_blocks_and_hot_anchors(spark, docs, prose, more):
 
 def test_parts_of_a_long_text(prose):
     data = prose(1, 3000).encode()
-    whole = sd.anchors(np.frombuffer(data, dtype=np.uint8))
-    assert (whole[2][0], whole[3][-1]) == (0, len(data) - 100)
-    assert all(whole[2][1:] == whole[3][:-1] + 1)
+    anchors = sd.Hasher(1).anchors
+    whole = anchors(np.frombuffer(data, dtype=np.uint8))
+    assert (whole[3][0], whole[4][-1]) == (0, len(data) - 100)
+    assert all(whole[3][1:] == whole[4][:-1] + 1)
     for size in (101, 1000, 5000):
-        starts = [at + i for at, part in sd.parts(data, size) for a, b in zip(*sd.anchors(part)[2:]) for i in range(a, b + 1)]
+        starts = [at + i for at, part in sd.parts(data, size) for a, b in zip(*anchors(part)[3:]) for i in range(a, b + 1)]
         assert starts == list(range(len(data) - 99))
 
 
@@ -83,6 +84,28 @@ def test_edge_rows(spark, docs, prose):
     assert found == [(-1, len(text)), (5, 0), (5, 0), (6, 0)]
     assert sd.remove_repeats(docs([(5, text), (5, text)])).agg(F.sum(F.octet_length("kept"))).first()[0] == 2 * len(text)
     assert sd.remove_repeats(docs([])).count() == 0
+    low = sd.remove_repeats(docs([(-(2**63), text), (None, prose(2, 60)), (2**63 - 1, text)])).collect()
+    assert {(r.doc_id, len(r.kept) > 0) for r in low} == {(-(2**63), True), (None, True), (2**63 - 1, False)}
+
+
+def test_a_text_of_more_than_one_part(spark, docs, prose):
+    own = prose(1, 400_000)
+    assert len(own) > sd.PART / 2
+    passage = prose(5, 100)
+    text = own + passage + prose(6, 500_000) + passage + own[:300]
+    assert len(text) > sd.PART
+    rows = [(1, text), (2, prose(7, 50) + own[-500:] + prose(8, 50))]
+    out = {r.doc_id: r for r in sd.remove_repeats(docs(rows)).collect()}
+    for (doc_id, text), (kept, spans) in zip(rows, brute(rows)):
+        assert bytes(out[doc_id].kept) == kept and len(out[doc_id].spans) == spans and len(kept) < len(text)
+
+
+def test_buckets_in_two_passes():
+    buckets = sd.Buckets(10_000_000, 4096)
+    hashes = np.random.default_rng(1).integers(0, 1 << 64, 50_000, dtype=np.uint64)
+    assert len(np.unique(buckets.of(hashes))) <= 4096 and (buckets.of(hashes, True) % 4096 == buckets.of(hashes)).all()
+    dealt = list(sd._present(buckets.of(hashes, True), hashes))
+    assert sum(len(rows) for _, rows in dealt) == len(hashes) and len(dealt) < len(hashes) + 1
 
 
 def test_query(spark, docs, prose, tmp_path):
