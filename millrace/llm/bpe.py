@@ -258,7 +258,9 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
     package). A null or empty text gives no ids and no bytes; a null id stays null;
     repeated rows give repeated rows; an empty table gives an empty one. Other columns
     are not carried, so their names can't clash. No shuffle; memory is one Arrow batch
-    and a bounded memory of pieces.
+    and a bounded memory of pieces. A text of any length is encoded whole. A vocabulary that
+    lacks a byte of a text, or has a token that merges of its other tokens can't reach, raises
+    ValueError: no byte-level BPE training gives one.
     """
     id_type = docs.schema[id_col].dataType
     schema = T.StructType([T.StructField(id_col, id_type), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.BinaryType())])

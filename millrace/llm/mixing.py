@@ -85,7 +85,7 @@ def order_key(id_col: str, epoch: Column, seed: int) -> Column:
 
 
 def _of_leaf(left: str, plan: DataFrame) -> Column:
-    return F.col(f"{left}domain").eqNullSafe(plan["p_domain"]) & F.col(f"{left}lang").eqNullSafe(plan["p_lang"]) & F.col(f"{left}source").eqNullSafe(plan["p_source"])
+    return F.col(f"{left}domain").eqNullSafe(plan["__p_domain"]) & F.col(f"{left}lang").eqNullSafe(plan["__p_lang"]) & F.col(f"{left}source").eqNullSafe(plan["__p_source"])
 
 
 def mix(
@@ -97,6 +97,7 @@ def mix(
     domain: str = DOMAIN,
     id_col: str = "doc_id",
     text_col: str = "text",
+    tokens: str | None = None,
 ) -> DataFrame:
     """The rows of ``docs`` that the mixture takes, with ``epoch`` (from 1), ``domain`` and ``n_tokens`` added.
 
@@ -106,39 +107,45 @@ def mix(
     languages and sources are nodes of their own; texts without tokens are taken if the order
     puts them before the end of the prefix; leaves without tokens give nothing. Columns of the
     input named epoch, domain or n_tokens are replaced, names that begin with two underscores
-    are reserved. An empty table gives an empty one.
+    are reserved. Texts of any length are counted whole. An empty table gives an empty one.
+
+    ``domain`` is an SQL expression over the columns (a column's name, or the host of a page's
+    address). ``tokens`` is one that gives a document's tokens, such as the size of its BPE ids
+    if they are there already; without it, words are counted (encoding every text for its count
+    alone would cost several times the whole mixing). Documents with null tokens have none.
 
     Texts are never shuffled as long as the leaves are few (their size is checked): a first
     pass counts tokens, and all that the plan has for a leaf is one last key.
     """
     weights = weights or {"domain": DOMAIN_WEIGHTS, "lang": LANG_WEIGHTS}
-    slim = docs.select(F.col(id_col).alias("__id"), F.expr(domain).alias("domain"), F.col("lang"), F.col("source"), n_tokens(F.col(text_col)).alias("tokens"))
+    counted = n_tokens(F.col(text_col)) if tokens is None else F.coalesce(F.expr(tokens).cast("bigint"), F.lit(0).cast("bigint"))
+    slim = docs.select(F.col(id_col).alias("__id"), F.expr(domain).alias("domain"), F.col("lang"), F.col("source"), counted.alias("tokens"))
     slim = materialize(slim, "mix")
     leaves = leaf_plan(slim, budget_share, max_epochs, weights)
-    plan = materialize(leaves.select(*[F.col(c).alias(f"p_{c}") for c in ("domain", "lang", "source")], "whole", "rest"), "mix-leaves")
-    names = ["p_domain", "p_lang", "p_source"]
-    partial = join_checked(slim, plan.filter("rest > 0"), _of_leaf("", plan), "inner")
-    keyed = partial.withColumn("__key", order_key("__id", F.col("whole") + 1, seed)).withColumn("__part", F.substring("__key", 1, PART_DIGITS))
-    parts = keyed.groupBy(*names, "rest", "__part").agg(F.sum("tokens").cast("double").alias("sum"))
+    plan = materialize(leaves.select(*[F.col(c).alias(f"__p_{c}") for c in ("domain", "lang", "source")], F.col("whole").alias("__whole"), F.col("rest").alias("__rest")), "mix-leaves")
+    names = ["__p_domain", "__p_lang", "__p_source"]
+    partial = join_checked(slim, plan.filter("__rest > 0"), _of_leaf("", plan), "inner")
+    keyed = partial.withColumn("__key", order_key("__id", F.col("__whole") + 1, seed)).withColumn("__part", F.substring("__key", 1, PART_DIGITS))
+    parts = keyed.groupBy(*names, "__rest", "__part").agg(F.sum("tokens").cast("double").alias("sum"))
     running = W.partitionBy(*names).orderBy("__part").rowsBetween(W.unboundedPreceding, 0)
-    parts = parts.withColumn("upto", F.sum("sum").over(running)).filter((F.col("upto") - F.col("sum") < F.col("rest")) & (F.col("upto") >= F.col("rest")))
+    parts = parts.withColumn("upto", F.sum("sum").over(running)).filter((F.col("upto") - F.col("sum") < F.col("__rest")) & (F.col("upto") >= F.col("__rest")))
     parts = materialize(parts.select(*[F.col(c).alias(f"c{c}") for c in names], F.col("__part").alias("c_part"), (F.col("upto") - F.col("sum")).alias("start")), "mix-parts")
     same = F.col("__part") == F.col("c_part")
     for c in names:
         same = same & F.col(c).eqNullSafe(F.col(f"c{c}"))
-    last = join_checked(keyed, parts, same, "inner").groupBy(*names, "rest", "start", "__key").agg(F.sum("tokens").cast("double").alias("sum"))
+    last = join_checked(keyed, parts, same, "inner").groupBy(*names, "__rest", "start", "__key").agg(F.sum("tokens").cast("double").alias("sum"))
     running = W.partitionBy(*names).orderBy("__key").rowsBetween(W.unboundedPreceding, 0)
-    taken = last.withColumn("upto", F.col("start") + F.sum("sum").over(running)).filter(F.col("upto") - F.col("sum") < F.col("rest"))
+    taken = last.withColumn("upto", F.col("start") + F.sum("sum").over(running)).filter(F.col("upto") - F.col("sum") < F.col("__rest"))
     cuts = taken.groupBy(*[F.col(c).alias(f"k{c}") for c in names]).agg(F.max("__key").alias("__last"))
     same = F.lit(True)
     for c in names:
         same = same & F.col(c).eqNullSafe(F.col(f"k{c}"))
     final = materialize(plan.join(cuts, same, "left").drop(*[f"k{c}" for c in names]), "mix-cuts")
-    rows = docs.withColumns({"domain": F.expr(domain), "n_tokens": n_tokens(F.col(text_col))})
+    rows = docs.withColumns({"domain": F.expr(domain), "n_tokens": counted})
     rows = join_checked(rows, final, _of_leaf("", final), "inner")
-    more = F.coalesce((order_key(id_col, F.col("whole") + 1, seed) <= F.col("__last")).cast("int"), F.lit(0))
-    rows = rows.withColumn("__epochs", F.col("whole") + more).filter("__epochs > 0").withColumn("epoch", F.explode(F.sequence(F.lit(1), F.col("__epochs"))))
-    return rows.drop(*names, "whole", "rest", "__last", "__epochs")
+    more = F.coalesce((order_key(id_col, F.col("__whole") + 1, seed) <= F.col("__last")).cast("int"), F.lit(0))
+    rows = rows.withColumn("__epochs", F.col("__whole") + more).filter("__epochs > 0").withColumn("epoch", F.explode(F.sequence(F.lit(1), F.col("__epochs"))))
+    return rows.drop(*names, "__whole", "__rest", "__last", "__epochs")
 
 
 def oracle(budget_share: float, max_epochs: int, seed: int = 7) -> str:

@@ -65,3 +65,11 @@ def test_edge_rows(spark, docs):
 @pytest.mark.parametrize("bad", [b""])
 def test_empty_table_has_no_tokens(bad):
     assert PrefixTable(ENCODER.vocabulary, bad).tokens() == []
+
+
+def test_vocabularies_that_cannot_encode():
+    with pytest.raises(ValueError, match="no token for byte"):
+        PrefixTable(Encoder({b"a": 0}, P.PATTERN).vocabulary, b"ab")
+    unreachable = Encoder({b"a": 0, b"b": 1, b"c": 2, b"abc": 3}, P.PATTERN)
+    with pytest.raises(ValueError, match="reached by merges"):
+        PrefixTable(unreachable.vocabulary, b"abcabc")

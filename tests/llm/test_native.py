@@ -6,12 +6,14 @@ import struct
 from collections import Counter
 
 import duckdb
+import public_tokenizers as P
 import pytest
 import regex as re
 import xxhash
 from pyspark.sql import functions as F
 
 from millrace.llm import chat_format, mixing
+from millrace.llm.bpe import encode_documents
 from millrace.llm.fingerprint import compare_edits, previous_keys, with_following
 from millrace.llm.line_dedup import ORACLE as LINES
 from millrace.llm.line_dedup import drop_boilerplate
@@ -192,6 +194,27 @@ def test_mixing(spark, docs, prose):
     assert mixing.mix(odd, 1.0).count() == 3 and mixing.mix(docs([]), 1.0).count() == 0
 
 
+def test_mixing_with_clashing_columns_and_own_counts(spark, docs, prose):
+    rows = [(i, prose(i, 10 + i % 40), f"src{i % 7}", "en" if i % 3 else "de") for i in range(200)]
+    plain = mixing.mix(docs(rows), 0.4).select("doc_id", "epoch")
+    more = docs(rows).withColumns({c: F.lit("x") for c in ("whole", "rest", "p_domain", "p_lang", "p_source", "sum", "upto", "start", "tokens", "budget", "weight", "node", "Epoch")})
+    out = mixing.mix(more, 0.4)
+    assert here(out.select("doc_id", "epoch")) == here(plain) and {"whole", "rest", "p_domain", "tokens"} <= set(out.columns)
+    # Counts of its own: every document has one token, and a null has none.
+    counted = docs(rows).withColumn("n_bpe", F.when(F.col("doc_id") != 3, F.lit(1)))
+    out = mixing.mix(counted, 0.5, tokens="n_bpe", domain="source")
+    assert out.agg(F.sum("n_tokens")).first()[0] in range(85, 101) and {r.domain for r in out.select("domain").distinct().collect()} <= {f"src{i}" for i in range(7)}
+
+
+def test_mixing_by_bpe_tokens(spark, docs, prose):
+    rows = [(i, prose(i, 10 + i % 40), f"src{i % 5}", "en") for i in range(60)]
+    encoded = encode_documents(docs(rows), P.path("byte_bpe_50k.tiktoken"), P.PATTERN).select("doc_id", F.size("ids").alias("n_bpe"))
+    total = encoded.agg(F.sum("n_bpe")).first()[0]
+    out = mixing.mix(docs(rows).join(encoded, "doc_id"), 0.5, tokens="n_bpe")
+    taken = {r.doc_id: r.n_tokens for r in out.collect()}
+    assert taken == {r.doc_id: r.n_bpe for r in encoded.collect() if r.doc_id in taken} and 0.5 * total <= sum(taken.values()) + 15 < 0.8 * total
+
+
 SCHEMAS = {"add": {"a": {"type": "integer", "required": True}, "b": {"type": "number"}, "note": {"type": "string", "max_length": 3}}}
 
 
@@ -225,6 +248,61 @@ def test_chats(spark):
     assert chat_format.format_chats(spark.createDataFrame([], schema), SCHEMAS).count() == 0
 
 
+CHATS = "conv_id bigint, turn bigint, role string, text string, call_id string, call_name string, arguments string, result_of string"
+
+
+def test_arguments_of_odd_names(spark):
+    schemas = {"t": {"a.b c": {"type": "integer", "required": True}, "it's": {"type": "string"}, 'x"y': {"type": "boolean"}, "$[0]": {"type": "number"}, "": {"type": "array"}}}
+    right = ['{"a.b c": 1}', '{"a.b c": 1, "it\'s": "q", "x\\"y": true, "$[0]": 1.5, "": []}']
+    wrong = ['{"a": {"b c": 1}}', '{"a.b c": "1"}', '{"a.b c": 1, "it\'s": 2}', '{"a.b c": 1, "x\\"y": 1}', "{}", "[]", "3", "null", "", '{"a.b c": 1', '{"a.b c": null}']
+    rows = [(1, i, "assistant", None, f"c{i}", "t", a, None) for i, a in enumerate(right + wrong)]
+    out = chat_format.format_chats(spark.createDataFrame(rows, CHATS), schemas).orderBy("turn").collect()
+    assert [r.valid for r in out] == [True] * len(right) + [False] * len(wrong)
+
+
+def test_chains_of_calls(spark):
+    at = lambda turn, call, of, conv=1: (conv, turn, "tool", f"m{turn}", call, "t" if call else None, "{}" if call else None, of)
+    # 5 calls a; 3 answers a and calls b; 2 answers b and calls c; 9 answers c and calls d; 4 answers d; 7 is plain.
+    rows = [at(5, "a", None), at(3, "b", "a"), at(2, "c", "b"), at(9, "d", "c"), at(4, None, "d"), at(7, None, None), at(11, "z", "nothing")]
+    rows += [at(1, "x", "y", 2), at(2, "y", "x", 2), at(3, "w", "y", 2), at(0, None, "w", 2)]  # a circle, and what hangs on it
+    rows += [at(100 - i, f"n{i}", f"n{i - 1}" if i else None, 3) for i in range(100)]  # a chain told backwards
+    df = spark.createDataFrame(rows, CHATS).repartition(5)
+    found = chat_format.format_chats(df, {"t": {}})
+    assert not python_nodes(found)
+    got = {(r.conv_id, r.turn): r for r in found.collect()}
+    place = lambda conv: {t: (r.order_turn, r.order_part) for (c, t), r in got.items() if c == conv}
+    assert place(1) == {5: (5, 0), 3: (5, 1), 2: (5, 2), 9: (9, 0), 4: (9, 1), 7: (7, 0), 11: (11, 0)}
+    assert place(3) == {100 - i: (100, i) for i in range(100)}
+    assert got[(1, 3)].link == "result,call" and got[(1, 11)].link == "orphan_result,open_call" and got[(1, 5)].link == "call" and got[(1, 4)].link == "result"
+    both = json.loads(got[(1, 3)].json)
+    assert both["tool_call_id"] == "a" and both["tool_call"]["id"] == "b"
+    assert len(place(2)) == 4 and got[(2, 1)].link == "result,call"
+
+
+def test_invented_calls_in_sql(spark):
+    """Early results, orphans, shared identifiers and bad JSON, against SQL."""
+    rnd = random.Random(9)
+    rows = []
+    for conv in range(60):
+        for turn in range(rnd.randint(1, 12)):
+            kind, other = rnd.random(), f"c{rnd.randint(0, 6)}"
+            call = kind < 0.4
+            arguments = rnd.choice(['{"a": 1}', '{"a":1, "note":"abc"}', '{"a": "x"}', "nonsense", '{"note": "y"}', '{"a": 1, "note": "too long"}', None]) if call else None
+            rows.append((conv, turn, rnd.choice(["user", "assistant"]), rnd.choice([None, "", "text \"q\"", "é" * 5000]), other if call else None, rnd.choice(["add", "other"]) if call else None, arguments, other if 0.4 <= kind < 0.8 else None))
+    df = spark.createDataFrame(rows, CHATS)
+    out = chat_format.format_chats(df, SCHEMAS).select("conv_id", "turn", "order_turn", "order_part", "link", "valid")
+    sql = """WITH calls AS (SELECT conv_id, call_id, min(turn) AS call_turn FROM m WHERE call_id IS NOT NULL GROUP BY ALL),
+    answers AS (SELECT DISTINCT conv_id, result_of FROM m WHERE result_of IS NOT NULL)
+    SELECT m.conv_id, m.turn, CASE WHEN m.turn <= call_turn THEN call_turn ELSE m.turn END AS order_turn, CASE WHEN m.turn <= call_turn THEN 1 ELSE 0 END AS order_part,
+      CASE WHEN m.call_id IS NOT NULL THEN CASE WHEN a.result_of IS NOT NULL THEN 'call' ELSE 'open_call' END
+        WHEN m.result_of IS NOT NULL THEN CASE WHEN call_turn IS NOT NULL THEN 'result' ELSE 'orphan_result' END ELSE 'none' END AS link,
+      CASE WHEN m.call_id IS NOT NULL THEN coalesce(call_name = 'add' AND json_valid(arguments) AND json_type(arguments, '$.a') IN ('UBIGINT', 'BIGINT')
+        AND (json_type(arguments, '$.note') IS NULL OR length(json_extract_string(arguments, '$.note')) <= 3), FALSE) END AS valid
+    FROM m LEFT JOIN calls c ON m.conv_id = c.conv_id AND m.result_of = c.call_id LEFT JOIN answers a ON m.conv_id = a.conv_id AND m.call_id = a.result_of"""
+    sql = sql.replace("json_type(arguments,", "json_type(CASE WHEN json_valid(arguments) THEN arguments END,").replace("json_extract_string(arguments,", "json_extract_string(CASE WHEN json_valid(arguments) THEN arguments END,")
+    assert here(out) == duck(sql, m=df)
+
+
 def test_chat_query_in_sql(spark):
     rows = [(1, 0, "system", "s"), (1, 1, "user", "q \"x\"\té"), (1, 2, "assistant", "a"), (1, 3, "assistant", "b"), (2, 0, "assistant", "c"), (2, 1, "user", "x" * 400), (2, 2, "user", "")]
     df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")

@@ -8,6 +8,7 @@ import pandas as pd
 import public_tokenizers as P
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
 from millrace.llm import mixing
@@ -90,6 +91,20 @@ def test_stages_keep_nulls_from_crashing(spark):
     assert {r.doc_id for r in docs.collect()} == {1}
 
 
+def test_stages_with_long_texts_ties_and_more_columns(spark, prose):
+    schema = spark.read.parquet(f"{DATA}/documents.parquet").schema
+    long = prose(1, 80_000)
+    rows = [(1, long, "en", "s", 0), (2, long, "en", "s", 0), (3, prose(3, 60), "en", "s", 0), (4, prose(3, 60), "en", "s", 0), (5, prose(5, 60), "de", "t", 0)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").select(*schema.names)
+    more = docs.withColumns({"kept": F.lit(True), "host": F.lit("x"), "tokens": F.lit(1), "whole": F.lit(2), "component_id": F.lit(9), "token": F.lit("t")})
+    for name, stage in cp.STAGES[:-1]:
+        plain, wide = stage(spark, docs, DATA), stage(spark, more, DATA)
+        assert wide.columns == more.columns and sorted(r.doc_id for r in wide.collect()) == sorted(r.doc_id for r in plain.collect()), name
+        if name == "near dedup":
+            assert sorted(r.doc_id for r in plain.collect()) == [1, 3, 5]
+    assert cp.tokens(spark, more, DATA).count() == 5
+
+
 def test_near_dedup_keeps_one_row_of_each_component(spark):
     schema = spark.read.parquet(f"{DATA}/documents.parquet").schema
     text = lambda name: " ".join(f"{name}{i}" for i in range(40))
