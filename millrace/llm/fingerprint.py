@@ -12,8 +12,6 @@ of each other; the subsets of one partition are disjoint.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -31,6 +29,8 @@ BAND = (1e-4, 0.02)
 #: partitions of this kind. Each density, one term in 2**bits, has SUBSETS subsets in all.
 PARTITIONS = ((2, 4), (4, 1), (6, 1), (8, 1), (10, 1))
 SUBSETS = 16
+#: What xxhash64 gives for an empty array: its seed.
+EMPTY = 42
 
 
 def terms(text: Column) -> Column:
@@ -57,43 +57,45 @@ def lexicon(docs: DataFrame, text_col: str, band: tuple[float, float] = BAND) ->
     return F.split(F.lit(found), ",").cast("array<bigint>")
 
 
-def in_band(all_terms: Column, bits: Column) -> Column:
-    """The sorted terms in the lexicon.
-
-    A text with no term in the lexicon (very short, or of another language than the corpus)
-    would have no fingerprint at all, so all its terms count instead: equal texts still agree,
-    and a term outside the band can't be shared by many documents that have only such terms,
-    unless they are alike. A text without terms has none.
-    """
+def _masked(terms: Column, mask: int, value: int) -> Column:
+    return F.filter(terms, lambda t: t.bitwiseAND(F.lit(mask)) == F.lit(value))
 
-    def found(t: Column) -> Column:
-        slot = F.pmod(t, F.lit(LEXICON_BITS))
-        return F.getbit(F.get(bits, F.shiftright(slot, 6).cast("int")), (slot % 64).cast("int")) == 1
 
-    kept = F.filter(all_terms, found)
-    return F.array_sort(F.when(F.size(kept) > 0, kept).otherwise(all_terms))
+def with_hashes(docs: DataFrame, text_col: str, bits: Column, name: str) -> DataFrame:
+    """Adds ``name``: for each subset of the lexicon a 64-bit hash of the text's sorted terms in it.
 
+    Null where a subset holds no term. A text with no term in the lexicon (very short, or of
+    another language than the corpus) would have no fingerprint at all, so all its terms count
+    instead: equal texts still agree, and its hashes can't meet those of texts inside the band
+    but by the same terms. A text without terms has none.
 
-def subset_hashes(sorted_terms: Column) -> Column:
-    """A 64-bit hash for each subset of the lexicon; null where it holds no term of the document.
-
-    Sparse partitions are read from the few terms that lie in their first SUBSETS parts.
+    Each array that several subsets read is a column of its own, computed once: partitions into
+    16 parts are split by their first two bits before, sparse ones are read from the few terms
+    in their first SUBSETS parts. The hash of no term is the seed, which stands for null.
     """
 
-    def where(terms: Column, shift: int, bits: int, parts: Callable[[Column], Column]) -> Column:
-        return F.filter(terms, lambda t: parts(F.shiftrightunsigned(t, shift).bitwiseAND(F.lit((1 << bits) - 1))))
-
-    def equal(k: int) -> Callable[[Column], Column]:
-        return lambda part: part == k
+    def found(t: Column) -> Column:
+        slot = F.pmod(t, F.lit(LEXICON_BITS))
+        return F.getbit(F.get(bits, F.shiftright(slot, 6).cast("int")), (slot % 64).cast("int")) == 1
 
-    out, shift = [], SLOT_BITS
-    for bits, times in PARTITIONS:
+    df = docs.withColumn("__every", terms(F.col(text_col))).withColumn("__kept", F.filter("__every", found))
+    df = df.withColumn("__sorted", F.array_sort(F.when(F.size("__kept") > 0, F.col("__kept")).otherwise(F.col("__every"))))
+    coarse, held, shift = {}, [], SLOT_BITS
+    for i, (width, times) in enumerate(PARTITIONS):
         for _ in range(times):
-            few = where(sorted_terms, shift, bits, lambda part: part < SUBSETS) if 1 << bits > SUBSETS else sorted_terms
-            held = [where(few, shift, bits, equal(k)) for k in range(min(1 << bits, SUBSETS // times))]
-            out += [F.when(F.size(h) > 0, F.xxhash64(h)) for h in held]
-            shift += bits
-    return F.array(*out)
+            of = F.col("__sorted")
+            if 1 << width > SUBSETS:
+                coarse[f"__few{i}"] = _masked(of, ((1 << width) - SUBSETS) << shift, 0)
+                of = F.col(f"__few{i}")
+            for k in range(min(1 << width, SUBSETS // times)):
+                if 1 << width == SUBSETS:
+                    coarse[f"__part{i}_{k % 4}"] = _masked(F.col("__sorted"), 3 << shift, (k % 4) << shift)
+                    of = F.col(f"__part{i}_{k % 4}")
+                held.append(F.xxhash64(_masked(of, ((1 << width) - 1) << shift, k << shift)))
+            shift += width
+    raw = F.array(*held)
+    out = df.withColumns(coarse).withColumn(name, F.transform(raw, lambda h: F.when(h != EMPTY, h)))
+    return out.drop("__every", "__kept", "__sorted", *coarse)
 
 
 def as_text(hashes: Column) -> Column:
@@ -176,8 +178,8 @@ def fingerprints(docs: DataFrame, bits: Column, id_col: str = "doc_id", text_col
     A null text counts as empty; a text without terms has no hash. Equal texts have equal
     fingerprints. Repeated rows and null ids each get a row; other columns are not read.
     """
-    found = docs.select(id_col, in_band(terms(F.col(text_col)), bits).alias("__terms"))
-    return found.select(id_col, subset_hashes(F.col("__terms")).alias("hashes")).withColumn("fingerprint", as_text(F.col("hashes")))
+    found = with_hashes(docs.select(id_col, F.col(text_col).alias("__text")), "__text", bits, "hashes")
+    return found.select(id_col, "hashes").withColumn("fingerprint", as_text(F.col("hashes")))
 
 
 def compare_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", band: tuple[float, float] = BAND) -> DataFrame:
@@ -191,12 +193,12 @@ def compare_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     texts = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
     bits = lexicon(texts, "__text", band)
-    own = texts.withColumn("__terms", in_band(terms(F.col("__text")), bits)).withColumn("__hashes", subset_hashes(F.col("__terms"))).drop("__terms")
+    own = with_hashes(texts, "__text", bits, "__hashes")
     led = with_following(own, id_col, "__text", ["__hashes"], ["__next_hashes"])
     n = F.length("__text")
     edited = led.withColumn("n_chars", n.cast("bigint")).withColumn("__edited", F.concat(F.substring("__text", F.lit(1), n - F.floor(n / 2).cast("int")), F.col("__next")))
-    edited = edited.select(id_col, "n_chars", "__edited", "__hashes", "__next_hashes").withColumn("__terms", in_band(terms(F.col("__edited")), bits))
-    edited = edited.select(id_col, "n_chars", F.sha2("__edited", 256).alias("edited_sha256"), "__hashes", "__next_hashes", subset_hashes(F.col("__terms")).alias("__edited_hashes"))
+    edited = with_hashes(edited.select(id_col, "n_chars", "__edited", "__hashes", "__next_hashes"), "__edited", bits, "__edited_hashes")
+    edited = edited.select(id_col, "n_chars", F.sha2("__edited", 256).alias("edited_sha256"), "__hashes", "__next_hashes", "__edited_hashes")
     return edited.select(
         id_col, "n_chars", "edited_sha256",
         as_text(F.col("__hashes")).alias("fingerprint"),
