@@ -85,7 +85,7 @@ def _execute(args: argparse.Namespace, program, base: str) -> int:
 
     spark = session(args.master or os.environ.get("SPARK_MASTER") or "local[*]", **{"spark.ui.showConsoleProgress": "false"})
     spark.sparkContext.setLogLevel("ERROR")
-    result = run(program, spark, base, write=args.verb == "run", single=not args.parts)
+    result = run(program, spark, base, write=args.verb == "run", single=False if args.parts else None)
     if args.verb == "explain":
         print(to_source(program))
         print(mermaid(program))

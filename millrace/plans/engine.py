@@ -155,8 +155,8 @@ def _check_names(scope: Scope) -> None:
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, base: str = "", single: bool = True):
-        self.spark, self.base, self.single = spark, base, single
+    def __init__(self, spark: SparkSession, base: str = "", single: bool | None = None):
+        self.spark, self.base, self.single = spark, base, sinks.one_file(spark) if single is None else single
         self.ledger = Ledger()
         self.scopes: dict[str, DataFrame] = {}
         self.steps: dict[str, list[Step]] = {}
@@ -505,5 +505,5 @@ def _unpacked(path: str) -> str:
     return out
 
 
-def run(program: Program | str, spark: SparkSession, base: str = "", write: bool = True, single: bool = True) -> RunResult:
+def run(program: Program | str, spark: SparkSession, base: str = "", write: bool = True, single: bool | None = None) -> RunResult:
     return Engine(spark, base, single).run(program, write)

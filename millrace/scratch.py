@@ -12,11 +12,13 @@ def scratch_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
     Read from ``spark.checkpoint.dir``; a folder of our own is used only where it
-    is unset, as in tests on one machine.
+    is unset and the session runs on one machine, as in tests.
     """
     conf = spark.sparkContext.getConf()
     folder = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         folder = f"file://{tempfile.mkdtemp(prefix='millrace-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")

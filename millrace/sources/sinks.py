@@ -5,9 +5,10 @@ from __future__ import annotations
 import re
 import sys
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,7 +41,8 @@ def _json_lines(df: DataFrame) -> DataFrame:
 
 
 def _write(df: DataFrame, fmt: str, path: str, by: list[str] | None = None) -> None:
-    writer = df.write.mode("overwrite")
+    # A limit of rows a file, which a session may set, would split a task's file.
+    writer = df.write.mode("overwrite").option("maxRecordsPerFile", 0)
     if by:
         writer = writer.partitionBy(*by)
     if fmt in ("csv", "tsv"):
@@ -50,7 +52,24 @@ def _write(df: DataFrame, fmt: str, path: str, by: list[str] | None = None) -> N
     elif by:
         writer.option("ignoreNullFields", "false").json(path)
     else:
-        _json_lines(df).write.mode("overwrite").text(path)
+        lines = _json_lines(df)
+        (lines if fmt != "json" else lines.mapInArrow(_array_parts, "value string")).write.mode("overwrite").option("maxRecordsPerFile", 0).text(path)
+
+
+def _array_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's JSON lines as one array."""
+    lead = "["
+    for batch in batches:
+        if batch.num_rows:
+            lines = batch.column(0).to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array([lead + lines[0], *["," + x for x in lines[1:]]], pa.string())], ["value"])
+            lead = ","
+    yield pa.RecordBatch.from_arrays([pa.array(["[]" if lead == "[" else "]"], pa.string())], ["value"])
+
+
+def one_file(spark: SparkSession) -> bool:
+    """Whether a sink is one file by default: on one machine; a cluster writes parts."""
+    return spark.sparkContext.master.startswith("local")
 
 
 def _fs(df: DataFrame, path: str):
@@ -68,11 +87,12 @@ def _move(fs, new_path: Callable, old: str, new: str) -> None:
         raise OSError(f"could not write {new}")
 
 
-def save(df: DataFrame, path: str, fmt: str | None = None, order_by: list | None = None, single: bool = True) -> None:
+def save(df: DataFrame, path: str, fmt: str | None = None, order_by: list | None = None, single: bool | None = None) -> None:
     """Write ``df`` as csv, tsv, json (one array), jsonl or parquet.
 
     ``single`` gives one file, as a shell user expects; without it each task writes its own part
-    below ``path``, as a cluster should. ``-`` and ``stdout`` print. Rows are streamed, never collected.
+    (of json: its own array) below ``path``, as a cluster should. By default the session's master
+    decides. ``-`` and ``stdout`` print. Rows are streamed by the tasks, never collected.
     """
     fmt = {"ndjson": "jsonl", "json": "json", "jsonl": "jsonl"}.get(fmt or "", fmt) or ("jsonl" if re.search(r"\.(jsonl|ndjson)$", path) else format_of(path))
     df = shown(df)
@@ -81,18 +101,22 @@ def save(df: DataFrame, path: str, fmt: str | None = None, order_by: list | None
         for line in _lines(ordered, fmt):
             sys.stdout.write(line + "\n")
         return
-    if fmt == "json":
-        _save_array(ordered, path)
-    elif single:
-        stage = f"{path}.{uuid.uuid4().hex}"
-        _write(ordered.coalesce(1), fmt, stage)
-        fs, new_path = _fs(df, stage)
-        parts = [s.getPath().toString() for s in fs.globStatus(new_path(f"{stage}/part-*"))]
-        if parts:
-            _move(fs, new_path, parts[0], path)
-        fs.delete(new_path(stage), True)
-    else:
+    if not (one_file(df.sparkSession) if single is None else single):
         _write(ordered, fmt, path)
+        return
+    stage = f"{path}.{uuid.uuid4().hex}"
+    _write(ordered.coalesce(1), fmt, stage)
+    fs, new_path = _fs(df, stage)
+    parts = [s.getPath().toString() for s in fs.globStatus(new_path(f"{stage}/part-*"))]
+    if len(parts) > 1:
+        raise OSError(f"{path} was written in {len(parts)} parts, which are left in {stage}")
+    if parts:
+        _move(fs, new_path, parts[0], path)
+    else:
+        out = fs.create(new_path(path), True)
+        out.write(bytearray({"csv": ",".join(df.columns) + "\n", "tsv": "\t".join(df.columns) + "\n", "json": "[]\n"}.get(fmt, "").encode()))
+        out.close()
+    fs.delete(new_path(stage), True)
 
 
 def _lines(df: DataFrame, fmt: str):
@@ -120,16 +144,6 @@ def _lines(df: DataFrame, fmt: str):
         yield r[0]
 
 
-def _save_array(df: DataFrame, path: str) -> None:
-    fs, new_path = _fs(df, path)
-    out = fs.create(new_path(path), True)
-    try:
-        for line in _lines(df, "json"):
-            out.write(bytearray((line + "\n").encode()))
-    finally:
-        out.close()
-
-
 def escaped(c: Column) -> Column:
     """A value as a path segment: unsafe characters percent-escaped, null as the null partition."""
     text = c.cast("string")
@@ -139,16 +153,27 @@ def escaped(c: Column) -> Column:
     return F.coalesce(text, F.lit(NULL_PARTITION))
 
 
+def _glob_safe(path: str) -> str:
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
+
+
+def _numbered(relative: str, n: int) -> str:
+    """The name of a file's part: ``=`` is escaped in values, so no value gives such a name."""
+    stem, dot, ending = relative.rpartition(".")
+    return relative if n == 0 else f"{stem}={n:05d}.{ending}" if dot and "/" not in ending else f"{relative}={n:05d}"
+
+
 def route(df: DataFrame, target: Column, folder: str, fmt: str) -> list[str]:
     """Write each row to the file that ``target`` names below ``folder``; returns the files' names.
 
     Rows go through Spark's partitioned writer into a staging folder (bounded memory, one open
     file at a time for each task after a sort), then finished files are moved. Rows are dealt by
-    target first, so every file is written by one task.
+    target, and Spark splits a target that has too many rows for one task: its further parts are
+    ``name=00001.ext`` and so on, beside ``name.ext``. Files of an earlier run are replaced.
     """
     df = shown(df).withColumn("__path", target)
     stage = f"{folder.rstrip('/')}/.staging-{uuid.uuid4().hex}"
-    _write(df.repartition("__path"), fmt, stage, ["__path"])
+    _write(df.hint("rebalance", "__path"), fmt, stage, ["__path"])
     fs, new_path = _fs(df, stage)
     unescape = df.sparkSession._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName
     written = []
@@ -157,9 +182,12 @@ def route(df: DataFrame, target: Column, folder: str, fmt: str) -> list[str]:
         if not name.startswith("__path="):
             continue
         relative = unescape(name.removeprefix("__path="))
-        for part in fs.globStatus(new_path(f"{status.getPath().toString()}/part-*")):
-            _move(fs, new_path, part.getPath().toString(), f"{folder.rstrip('/')}/{relative}")
-            written.append(relative)
+        old = _numbered(f"{folder.rstrip('/')}/{relative}", 1)
+        for earlier in fs.globStatus(new_path("=[0-9][0-9][0-9][0-9][0-9]".join(map(_glob_safe, old.rsplit("=00001", 1))))) or []:
+            fs.delete(earlier.getPath(), True)
+        for n, part in enumerate(fs.globStatus(new_path(f"{_glob_safe(status.getPath().toString())}/part-*"))):
+            written.append(_numbered(relative, n))
+            _move(fs, new_path, part.getPath().toString(), f"{folder.rstrip('/')}/{written[-1]}")
     fs.delete(new_path(stage), True)
     return sorted(written)
 

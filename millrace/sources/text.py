@@ -20,6 +20,12 @@ NO_NULL = "\u0002"
 LANES = ("int", "float", "bool", "date", "time", "datetime")
 
 
+def _well_formed(raw: DataFrame) -> DataFrame:
+    """Rows that could be parsed. The second condition never holds; it only has a count read a real column, which Spark asks for."""
+    marker = F.col(f"`{raw.columns[0]}`").cast("string") == F.lit(NO_NULL * 2) if raw.columns[0] != BAD else F.lit(False)
+    return raw.filter(F.col(BAD).isNull() | marker).drop(BAD)
+
+
 def first_line(spark: SparkSession, path: str) -> str:
     row = spark.read.text(path).limit(1).first()
     return (row[0] if row else "").removeprefix("﻿")
@@ -87,7 +93,7 @@ def read_csv(
     raw = spark.read.option("columnPruning", "false").csv(path, schema=raw_type, header=header, sep=sep, nullValue=NO_NULL, quote='"', escape='"', mode="PERMISSIVE", columnNameOfCorruptRecord=BAD, enforceSchema=True)
     if ledger is not None:
         raw = ledger.watch(raw, scope, {"arity": (Severity.ERROR, "{n} row(s) with a wrong number of cells were skipped", F.col(BAD).isNotNull())})
-    raw = raw.filter(F.col(BAD).isNull()).drop(BAD)
+    raw = _well_formed(raw)
     declared = {n: kind for n, kind in schema or [] if kind}
     lanes = infer(raw, [n for n in names if n not in declared]) | declared
     return typed(raw, {n: lanes[n] for n in names}, ledger, scope)
@@ -156,7 +162,7 @@ def read_json(spark: SparkSession, path: str | list[str], ledger: Ledger | None
     raw = spark.read.json(path, schema=schema, multiLine=array, columnNameOfCorruptRecord=BAD)
     if ledger is not None:
         raw = ledger.watch(raw, scope, {"json": (Severity.ERROR, "{n} line(s) that are no JSON object were skipped", F.col(BAD).isNotNull())})
-    return raw.filter(F.col(BAD).isNull()).drop(BAD)
+    return _well_formed(raw)
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
