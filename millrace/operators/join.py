@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.functions.temporal import micros, span_us
+from millrace.operators.ranges import handed_on, ranged
+
+#: Rows of one key that one task may sort in an as-of join.
+HOT_ROWS = 5_000_000
 
 
 def join(left: DataFrame, right: DataFrame, on: list[str | tuple[str, str]], how: str = "inner") -> DataFrame:
@@ -46,7 +52,7 @@ def join(left: DataFrame, right: DataFrame, on: list[str | tuple[str, str]], how
     return joined.select(*out)
 
 
-def asof(left: DataFrame, right: DataFrame, on: list[str | tuple[str, str]], by: str, within: str | None = None, right_order: list[str] | None = None, left_id: list[str] | None = None) -> DataFrame:
+def asof(left: DataFrame, right: DataFrame, on: list[str | tuple[str, str]], by: str, within: str | None = None, right_order: list[str] | None = None, hot: int = HOT_ROWS) -> DataFrame:
     """Each left row with the nearest right row of its key at or before its time.
 
     Left-outer. Among right rows at the same time the last by ``right_order`` counts; a match
@@ -54,7 +60,8 @@ def asof(left: DataFrame, right: DataFrame, on: list[str | tuple[str, str]], by:
     returned, other clashing names get ``_r``. Null keys and null times match nothing.
 
     Both sides are put in one stream by key and time, so rows are shuffled and sorted once and
-    never multiplied.
+    never multiplied. Without keys, or if a key has more than ``hot`` rows, the stream is cut into
+    ranges of (key, time) instead, and each range is handed the last right row before it.
     """
     pairs = [(k, k) if isinstance(k, str) else k for k in on]
     gone = {by, *[rk for _, rk in pairs]}
@@ -69,8 +76,17 @@ def asof(left: DataFrame, right: DataFrame, on: list[str | tuple[str, str]], by:
         r_rows = r_rows.filter(F.col(f"__k{i}").isNotNull())
     both = l_rows.unionByName(r_rows, allowMissingColumns=True)
     keys = [f"__k{i}" for i in range(len(pairs))]
-    frame = W.partitionBy(*keys).orderBy("__ts", "__side", "__tie").rowsBetween(W.unboundedPreceding, 0)
-    matched = both.withColumn("__m", F.last("__r", ignorenulls=True).over(frame)).filter("__side = 1")
+    in_time = ["__ts", "__side", "__tie"]
+    if keys and both.groupBy(*keys).count().filter(F.col("count") > hot).isEmpty():
+        frame = W.partitionBy(*keys).orderBy(*in_time).rowsBetween(W.unboundedPreceding, 0)
+        matched = both.withColumn("__m", F.last("__r", ignorenulls=True).over(frame)).filter("__side = 1")
+    else:
+        whole = F.struct(*keys, *in_time)
+        rows = handed_on(ranged(both, [*keys, *in_time]), F.max_by(F.struct(*keys, "__r"), F.when(F.col("__side") == 0, whole)))
+        frame = W.partitionBy("__range", *keys).orderBy(*in_time).rowsBetween(W.unboundedPreceding, 0)
+        own = reduce(lambda x, y: x & y, [F.col(f"__carry.{k}") == F.col(k) for k in keys], F.lit(True))
+        near = F.coalesce(F.last("__r", ignorenulls=True).over(frame), F.when(own, F.col("__carry.__r")))
+        matched = rows.withColumn("__m", near).filter("__side = 1")
     usable = F.col("__ts").isNotNull()
     for k in keys:
         usable = usable & F.col(k).isNotNull()

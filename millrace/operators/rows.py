@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from millrace.events import ContractHalted, Ledger, Severity
 from millrace.functions import scalar as s
-from millrace.scratch import materialize
+from millrace.operators.ranges import columns_of, handed_on, percentiles, ranged
 
 
 def where(df: DataFrame, *conditions: Column) -> DataFrame:
@@ -76,29 +76,18 @@ def bfill(df: DataFrame, column: str, order_by: list, by: list[str] | None = Non
 def ordered_fill(df: DataFrame, column: str, order_by: list, forward: bool) -> DataFrame:
     """Fill over one global order without a window that holds all rows in one task.
 
-    Rows are dealt into ranges and written to the shared folder, so that the ranges stay as they
-    are whatever is read again. Each range is filled by itself, and a cell before the range's
-    first value gets the last value of the ranges before it, from a table of one row a range.
+    Each range of the order is filled by itself, and a cell before the range's first value gets
+    the last value of the ranges before it (see ``ranges``).
     """
     c = F.col(column)
     known = F.when(c != "", c) if isinstance(df.schema[column].dataType, T.StringType) else c
-    keys = [k if isinstance(k, Column) else F.col(k) for k in order_by]
-    ranged = materialize(df.repartitionByRange(*keys).withColumn("__range", F.spark_partition_id()), "ranges")
-    frame = W.partitionBy("__range").orderBy(*keys)
+    place = F.when(known.isNotNull(), F.struct(*columns_of(order_by)))
+    frame = W.partitionBy("__range").orderBy(*order_by)
     if forward:
-        near = F.last(known, ignorenulls=True).over(frame.rowsBetween(W.unboundedPreceding, 0))
-        edge = F.max_by("__k", "__o")
-        span = W.orderBy("__range").rowsBetween(W.unboundedPreceding, -1)
-        carry = F.last("__edge", ignorenulls=True).over(span)
+        near, edge = F.last(known, ignorenulls=True).over(frame.rowsBetween(W.unboundedPreceding, 0)), F.max_by(known, place)
     else:
-        near = F.first(known, ignorenulls=True).over(frame.rowsBetween(0, W.unboundedFollowing))
-        edge = F.min_by("__k", "__o")
-        span = W.orderBy("__range").rowsBetween(1, W.unboundedFollowing)
-        carry = F.first("__edge", ignorenulls=True).over(span)
-    near_rows = ranged.withColumn("__near", near)
-    edges = ranged.select("__range", known.alias("__k"), F.struct(*keys).alias("__o")).filter("__k is not null").groupBy("__range").agg(edge.alias("__edge"))
-    every = ranged.select("__range").distinct().join(edges, "__range", "left").withColumn("__carry", carry).select("__range", "__carry")
-    joined = near_rows.join(every, "__range", "left")
+        near, edge = F.first(known, ignorenulls=True).over(frame.rowsBetween(0, W.unboundedFollowing)), F.min_by(known, place)
+    joined = handed_on(ranged(df, order_by), edge, forward).withColumn("__near", near)
     return joined.withColumn(column, F.coalesce("__near", "__carry", c)).select(*df.columns)
 
 
@@ -110,7 +99,7 @@ def fill_statistic(df: DataFrame, column: str, statistic: str) -> DataFrame:
     c = F.col(column)
     is_text = isinstance(df.schema[column].dataType, T.StringType)
     number = s.to_float(c) if is_text else c.cast("double")
-    value = df.agg((F.avg(number) if statistic == "mean" else F.percentile(number, 0.5)).alias("v")).scalar()
+    value = (df.agg(F.avg(number).alias("v")) if statistic == "mean" else percentiles(df, [], number, {"v": 0.5})).scalar()
     if not is_text:
         return df.withColumn(column, F.coalesce(number, value))
     shown = F.when(value == F.floor(value), F.floor(value).cast("string")).otherwise(value.cast("string"))

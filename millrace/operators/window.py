@@ -1,7 +1,8 @@
 """Row windows: lag, lead, differences, rolling aggregates and sessions.
 
 Each adds one column. ``by`` are the partitions, ``order_by`` the order within them. Nulls
-and empty texts in ``by`` are one partition.
+and empty texts in ``by`` are one partition. Without ``by`` there is one order over all rows,
+which is cut into blocks that overlap as far as the window looks (see ``ranges``).
 """
 
 from __future__ import annotations
@@ -12,11 +13,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.functions.temporal import interval, interval_us, micros, span_us
+from millrace.operators.ranges import columns_of, handed_on, in_blocks, ranged
 
 
 def _spec(df: DataFrame, by: list[str], order_by: list) -> WindowSpec:
     parts = [F.coalesce(F.col(c), F.lit("")) if isinstance(df.schema[c].dataType, T.StringType) else F.col(c) for c in by]
-    return W.partitionBy(*(parts or [F.lit(0)])).orderBy(*order_by)
+    return W.partitionBy(*parts).orderBy(*order_by)
 
 
 def shifted(df: DataFrame, kind: str, column: str, n: int, by: list[str], order_by: list) -> Column:
@@ -54,7 +56,10 @@ def with_session(df: DataFrame, name: str, ts: str, gap: str, by: list[str], ord
     limit = span_us(gap)
     if limit is None:
         raise ValueError(f"no span: {gap}")
-    spec = _spec(df, [*by], order_by or [ts])
+    order = order_by or [ts]
+    if not by and not df.isStreaming:
+        return _sessions_of_all(df, name, ts, limit, order)
+    spec = _spec(df, [*by], order)
     last_known = F.last(F.col(ts), ignorenulls=True).over(spec.rowsBetween(W.unboundedPreceding, -1))
     fresh = F.col(ts).isNotNull() & (last_known.isNull() | (micros(F.col(ts)) - micros(last_known) > limit))
     marked = df.withColumn("__start", F.when(fresh, F.col(ts)))
@@ -62,7 +67,24 @@ def with_session(df: DataFrame, name: str, ts: str, gap: str, by: list[str], ord
     return marked.withColumn(name, F.when(F.col(ts).isNotNull(), start)).drop("__start")
 
 
+def _sessions_of_all(df: DataFrame, name: str, ts: str, limit: int, order: list) -> DataFrame:
+    """Sessions over one order: each range is handed the last time, then the last start, of those before it."""
+    t, place = F.col(ts), F.struct(*columns_of(order))
+    spec = W.partitionBy("__range").orderBy(*order)
+    rows = handed_on(ranged(df, order), F.max_by(t, F.when(t.isNotNull(), place)))
+    last_known = F.coalesce(F.last(t, ignorenulls=True).over(spec.rowsBetween(W.unboundedPreceding, -1)), F.col("__carry"))
+    fresh = t.isNotNull() & (last_known.isNull() | (micros(t) - micros(last_known) > limit))
+    marked = rows.withColumn("__start", F.when(fresh, t)).drop("__carry")
+    rows = handed_on(marked, F.max_by("__start", F.when(F.col("__start").isNotNull(), place)))
+    start = F.coalesce(F.last("__start", ignorenulls=True).over(spec.rowsBetween(W.unboundedPreceding, 0)), F.col("__carry"))
+    return rows.withColumn("__session", F.when(t.isNotNull(), start)).drop("__start", "__carry", "__range").withColumn(name, F.col("__session")).drop("__session")
+
+
 def with_window(df: DataFrame, name: str, kind: str, column: str, n: int = 1, by: list[str] = (), order_by: list = ()) -> DataFrame:
     """Adds ``name`` (``name_r`` if it is taken) with a shifted or rolling value."""
-    value = (rolling if kind.startswith("rolling_") else shifted)(df, kind, column, n, list(by), list(order_by))
-    return df.withColumn(f"{name}_r" if name in df.columns else name, value)
+    make, out = rolling if kind.startswith("rolling_") else shifted, f"{name}_r" if name in df.columns else name
+    if by or df.isStreaming:
+        return df.withColumn(out, make(df, kind, column, n, list(by), list(order_by)))
+    blocks = in_blocks(df, list(order_by), n - 1 if kind.startswith("rolling_") else n, kind == "lead").withColumn("__block", F.col("__at.block"))
+    valued = blocks.withColumn("__value", make(blocks, kind, column, n, ["__block"], ["__pos"]))
+    return valued.filter(~F.col("__at.copy")).drop("__at", "__block", "__pos").withColumnRenamed("__value", out)

@@ -180,11 +180,12 @@ class Engine:
                 self.save(label, df, step)
         sunk = {label for label, _, _ in self.sinks}
         leaves = [n for n in self.scopes if n not in self.used and n not in sunk]
-        outputs = {n: self.visible(df) for n, df in self.scopes.items()}
+        outputs = {n: self.visible(df, self.single or self.sorted.get(n, False)) for n, df in self.scopes.items()}
         return RunResult(outputs, self.ledger, leaves, self.hooks)
 
-    def visible(self, df: DataFrame) -> DataFrame:
-        return (df.orderBy(ORDER) if ORDER in df.columns else df).select(*[F.col(f"`{c}`") for c in columns(df)])
+    def visible(self, df: DataFrame, in_order: bool) -> DataFrame:
+        """The columns a user sees; a cluster sorts only what the program sorts."""
+        return (df.orderBy(ORDER) if in_order and ORDER in df.columns else df).select(*[F.col(f"`{c}`") for c in columns(df)])
 
     def path(self, path: str) -> str:
         return path if "://" in path or path.startswith("/") or not self.base else f"{self.base}/{path}"
@@ -322,6 +323,8 @@ class Engine:
             out = g.group(df, keys, aggregates, self.order_of(df) or None)
             names = [k.split(".")[-1] for k in keys]
             text_key = F.concat_ws("\u0001", *[F.coalesce(F.col(f"`{k}`").cast("string"), F.lit("")) for k in names])
+            if not (self.ordered or self.single):
+                return out
             return out.withColumn(ORDER, F.struct(text_key.alias("a"), F.lit(0).cast("bigint").alias("b"), F.lit(0).cast("bigint").alias("c")))
         if op == "take" and df.isStreaming:
             return self.bounded(df, a["n"])
@@ -445,14 +448,14 @@ class Engine:
             return
         try:
             if path == "-":
-                sinks.save(self.visible(df), "-", fmt or "csv")
+                sinks.save(self.visible(df, True), "-", fmt or "csv")
             elif "{" in path:
                 views: dict = {}
-                bare = self.visible(df)
+                bare = self.visible(df, self.single)
                 compiler = Compiler(bare, views, self.ledger, label)
                 sinks.save_template(bare, self.path(path), lambda e: compiler(_expression(e))[0], fmt)
             elif a.get("by"):
-                bare = self.visible(df)
+                bare = self.visible(df, self.single)
                 sinks.save_by(bare, self.path(path), {k: F.col(f"`{k}`") for k in a["by"]}, fmt or "csv", "flat" if a.get("flat") else "hive")
             else:
                 if (fmt or files.format_of(path)) == "parquet":
