@@ -38,6 +38,7 @@ def main(argv: list[str] | None = None) -> int:
         sub.add_argument("-c", "--command", dest="command_text")
         sub.add_argument("--json", action="store_true")
         sub.add_argument("--master")
+        sub.add_argument("--telemetry", action="store_true", help="report the rows that leave each step")
         sub.add_argument("--parts", action="store_true", help="let every task write its own part file")
         sub.add_argument("-w", "--write", action="store_true")
         for ignored in ("--chunk-size", "--memory"):
@@ -60,6 +61,9 @@ def main(argv: list[str] | None = None) -> int:
             text = f"Main: open stdin {text} save stdout as csv ;"
         program = parse(text)
         if args.verb == "check":
+            from millrace.plans.engine import check
+
+            check(program)
             print("ok", file=sys.stderr)
             return 0
         if args.verb == "fmt":
@@ -85,7 +89,7 @@ def _execute(args: argparse.Namespace, program, base: str) -> int:
 
     spark = session(args.master or os.environ.get("SPARK_MASTER") or "local[*]", **{"spark.ui.showConsoleProgress": "false"})
     spark.sparkContext.setLogLevel("ERROR")
-    result = run(program, spark, base, write=args.verb == "run", single=False if args.parts else None)
+    result = run(program, spark, base, write=args.verb == "run", single=False if args.parts else None, telemetry=args.telemetry)
     if args.verb == "explain":
         print(to_source(program))
         print(mermaid(program))
@@ -98,6 +102,8 @@ def _execute(args: argparse.Namespace, program, base: str) -> int:
     for e in result.events:
         line = {"severity": e.severity.name.lower(), "scope": e.scope, "message": e.message, "count": e.count}
         print(json.dumps(line) if args.json else f"[{line['severity']}] {e.scope}: {e.message}", file=sys.stderr)
+    for scope, step, count in result.telemetry:
+        print(json.dumps({"scope": scope, "step": step, "rows": count}) if args.json else f"{scope} {step}: {count} row(s)", file=sys.stderr)
     if args.json:
         print(json.dumps({"summary": True, "mode": result.mode, "scopes": sorted(result.outputs)}), file=sys.stderr)
     return 3 if result.mode == "halted" else 0

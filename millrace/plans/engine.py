@@ -3,14 +3,12 @@
 from __future__ import annotations
 
 import difflib
-import os
 import re
 import sys
-import tempfile
 import uuid
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,6 +36,13 @@ class RunResult:
     ledger: Ledger
     leaves: list[str] = field(default_factory=list)
     hooks: list[tuple[str, Step]] = field(default_factory=list)
+    counters: list[tuple[str, str, Observation]] = field(default_factory=list)
+
+    @property
+    def telemetry(self) -> list[tuple[str, str, int]]:
+        """``(scope, step, rows)`` of each step that finished actions have run."""
+        self.ledger.collect()
+        return [(scope, step, seen.get["rows"]) for scope, step, seen in self.counters if getattr(seen, "_jo", None) and seen._jo.future().isCompleted()]
 
     @property
     def events(self) -> list[Event]:
@@ -124,7 +129,7 @@ def check(program: Program) -> None:
 
 
 def _check_names(scope: Scope) -> None:
-    """Names against a declared schema, as far as it can be followed."""
+    """Names in filters against a declared schema, followed through the steps that change names."""
     if scope.head.op != "open" or not scope.head.args.get("schema") or scope.head.args.get("with"):
         return
     have = [n for n, _ in scope.head.args["schema"]]
@@ -148,14 +153,25 @@ def _check_names(scope: Scope) -> None:
         if s.op == "filter":
             for p in s.args["predicates"]:
                 walk(p)
-        elif s.op in ("validate", "sort", "take", "dropna", "fill", "distinct", "print", "save", "on"):
-            continue
-        else:
-            return  # names change from here on
+        elif s.op == "project":
+            if any(i["kind"] == "column" and i["column"].split(".")[0] not in (*have, "source") for i in s.args["items"]):
+                return  # such a projection is passed over, with a warning
+            names = [[*have] if i["kind"] == "all" else [i.get("alias") or i["column"].split(".")[-1]] if i["kind"] == "column" else [i["name"], f"{i['name']}_r"] for i in s.args["items"]]
+            have = [n for own in names for n in own]
+        elif s.op == "rename":
+            have = [s.args["names"].get(n, n) for n in have]
+        elif s.op == "drop":
+            have = [n for n in have if n not in s.args["columns"]]
+        elif s.op == "group":
+            have = [k.split(".")[-1] for k in s.args["keys"]] + ["count"] + [f"{f}_{c.replace('.', '_')}" for f, c in s.args["aggregates"]]
+        elif s.op == "describe":
+            have = ["column", "type", "count", "min", "max", "mean"]
+        elif s.op not in ("validate", "sort", "take", "dropna", "fill", "distinct", "print", "save", "on", "cast", "reorder", "explode", "branch"):
+            return  # reused steps and read files bring names that aren't known here
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, base: str = "", single: bool | None = None):
+    def __init__(self, spark: SparkSession, base: str = "", single: bool | None = None, telemetry: bool = False):
         self.spark, self.base, self.single = spark, base, sinks.one_file(spark) if single is None else single
         self.ledger = Ledger()
         self.scopes: dict[str, DataFrame] = {}
@@ -166,6 +182,8 @@ class Engine:
         self.used: set[str] = set()
         self.ordered = False
         self.sorted: dict[str, bool] = {}
+        self.telemetry = telemetry
+        self.counters: list[tuple[str, str, Observation]] = []
 
     def run(self, program: Program | str, write: bool = True) -> RunResult:
         program = parse(program) if isinstance(program, str) else program
@@ -181,7 +199,7 @@ class Engine:
         sunk = {label for label, _, _ in self.sinks}
         leaves = [n for n in self.scopes if n not in self.used and n not in sunk]
         outputs = {n: self.visible(df, self.single or self.sorted.get(n, False)) for n, df in self.scopes.items()}
-        return RunResult(outputs, self.ledger, leaves, self.hooks)
+        return RunResult(outputs, self.ledger, leaves, self.hooks, self.counters)
 
     def visible(self, df: DataFrame, in_order: bool) -> DataFrame:
         """The columns a user sees; a cluster sorts only what the program sorts."""
@@ -208,6 +226,10 @@ class Engine:
 
             if head.op == "watch":
                 return sources.watch(self.spark, self.path(a["path"]))
+            if a.get("schema"):
+                return sources.subscribe_fields(self.spark, a["path"], a["schema"], a.get("format") or "csv")
+            if a.get("format"):
+                self.ledger.add(Severity.WARNING, label, f"subscribe as {a['format']} has no field list (name:type …): lines stay as they are, in value")
             return sources.subscribe(self.spark, a["path"])
         if head.op == "stream":
             if a["name"] in self.scopes:
@@ -241,17 +263,13 @@ class Engine:
     def open(self, label: str, a: dict) -> DataFrame:
         path = a["path"]
         if path == "-":
-            # Standard input is one process's pipe: it is put into a file first.
-            path = os.path.join(tempfile.mkdtemp(), "stdin." + {"jsonl": "json", "ndjson": "json"}.get(a.get("format", ""), a.get("format") or "csv"))
-            with open(path, "wb") as out:
-                for block in iter(lambda: sys.stdin.buffer.read(1 << 20), b""):
-                    out.write(block)
+            path = files.piped(self.spark, sys.stdin.buffer, {"jsonl": "json", "ndjson": "json"}.get(a.get("format", ""), a.get("format") or "csv"))
         if path.startswith(("http://", "https://")):
-            path = files.fetch(path)
+            path = files.fetch(self.spark, path)
         path = self.path(path)
         fmt = {"jsonl": "json", "ndjson": "json"}.get(a.get("format", ""), a.get("format")) or files.format_of(path)
         if re.search(r"\.zstd?$", path):
-            path = _unpacked(path)
+            path = files.unpacked(self.spark, path)
         if fmt in ("csv", "tsv"):
             df = text.read_csv(self.spark, path, not a.get("noheader"), a.get("schema"), "\t" if fmt == "tsv" else ",", self.ledger, label)
         elif fmt == "json":
@@ -265,7 +283,9 @@ class Engine:
         block = F.input_file_block_start() if plain else F.lit(0).cast("bigint")
         df = self.with_order(df, F.struct(origin.alias("a"), block.alias("b"), F.monotonically_increasing_id().alias("c")))
         if a.get("with"):
-            df = df.withColumn(SOURCE, F.lit(a["path"]))
+            # One file goes by the name it was opened with, of several each row by its own.
+            several = plain and (re.search(r"[*?\[{]", a["path"]) or not re.search(r"\.[^/.]+$", a["path"])) and a["path"] not in ("-", "stdin")
+            df = df.withColumn(SOURCE, origin if several else F.lit(a["path"]))
             if a["with"] == "filename":
                 df = df.withColumn("filename_r" if "filename" in df.columns else "filename", F.col(SOURCE))
         return df
@@ -275,6 +295,7 @@ class Engine:
     def body(self, label: str, df: DataFrame, steps: list[Step]) -> None:
         self.sorted[label] = any(s.op == "sort" for s in steps)
         views: dict[str, dict] = {}
+        df = self.counted(label, "source", df)
         for step in steps:
             if step.op == "branch":
                 self.used.add(label)
@@ -289,9 +310,17 @@ class Engine:
                 for s in self.steps[step.args["name"]]:
                     df = self.step(label, df, _bound(s, step.args["bindings"]), views)
             else:
-                df = self.step(label, df, step, views)
+                df = self.counted(label, step.op, self.step(label, df, step, views))
         self.scopes[label] = df
 
+    def counted(self, label: str, step: str, df: DataFrame) -> DataFrame:
+        """With telemetry, counts the rows that leave a step in the data's own pass."""
+        if not self.telemetry or df.isStreaming:
+            return df
+        seen = Observation()
+        self.counters.append((label, step, seen))
+        return df.observe(seen, F.count(F.lit(1)).alias("rows"))
+
     def order_of(self, df: DataFrame) -> list:
         return [ORDER] if ORDER in df.columns else []
 
@@ -496,17 +525,5 @@ def _bound(step: Step, values: dict) -> Step:
     return Step(step.op, inner(step.args)) if values else step
 
 
-def _unpacked(path: str) -> str:
-    """A zstd file as plain text beside the session: Spark's own codec needs a native library."""
-    import pyarrow as pa
-
-    bare = re.sub(r"\.zstd?$", "", os.path.basename(path))
-    out = os.path.join(tempfile.mkdtemp(), bare)
-    with pa.OSFile(path) as raw, pa.CompressedInputStream(raw, "zstd") as stream, open(out, "wb") as target:
-        while block := stream.read(1 << 20):
-            target.write(block)
-    return out
-
-
-def run(program: Program | str, spark: SparkSession, base: str = "", write: bool = True, single: bool | None = None) -> RunResult:
-    return Engine(spark, base, single).run(program, write)
+def run(program: Program | str, spark: SparkSession, base: str = "", write: bool = True, single: bool | None = None, telemetry: bool = False) -> RunResult:
+    return Engine(spark, base, single, telemetry).run(program, write)

@@ -76,7 +76,7 @@ class Compiler:
     def _lit(self, value):
         if isinstance(value, float):
             # A written fraction is exact where it meets a decimal and a double elsewhere.
-            return F.lit(value), T.DoubleType()
+            return F.lit(float(value)), T.DoubleType()
         if isinstance(value, bool):
             return F.lit(value), T.BooleanType()
         return (F.lit(value).cast("bigint"), T.LongType()) if isinstance(value, int) else (F.lit(value), T.StringType())
@@ -160,7 +160,7 @@ class Compiler:
         if op in _MIRROR:
             for mine, other, side in ((a, ky, "x"), (b, kx, "y")):
                 if mine.kind == "lit" and isinstance(mine.args[0], float) and isinstance(other, T.DecimalType):
-                    exact = F.lit(Decimal(str(mine.args[0])))
+                    exact = F.lit(Decimal(getattr(mine.args[0], "text", str(mine.args[0]))))
                     x, y = (exact, y) if side == "x" else (x, exact)
             return s.compare(op, x, y, kx, ky, self.as_filter), T.BooleanType()
         return self._arithmetic(op, x, kx, y, ky)

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import os
 import re
-import tempfile
 import urllib.parse
-import urllib.request
+import uuid
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.events import Ledger, Severity
+from millrace.scratch import scratch_dir
 from millrace.sources import text
 
 # Binary field types and their numpy codes.
@@ -70,20 +71,62 @@ def ls(spark: SparkSession, glob: str, ledger: Ledger | None = None, scope: str
     return found.select("path", F.regexp_extract("path", r"([^/]*)$", 1).alias("name"), "size", "mtime")
 
 
-def fetch(url: str, most: int = 1 << 30, seconds: float = 60.0) -> str:
-    """A web file as a local one, at most ``most`` bytes; hosts may be restricted by MILLRACE_HOSTS."""
-    host = urllib.parse.urlsplit(url).hostname or ""
-    allowed = [h for h in os.environ.get("MILLRACE_HOSTS", "").split(",") if h]
-    if allowed and host not in allowed:
-        raise PermissionError(f"{host} isn't among MILLRACE_HOSTS")
-    path = os.path.join(tempfile.mkdtemp(), os.path.basename(urllib.parse.urlsplit(url).path) or "page")
-    size = 0
-    with urllib.request.urlopen(url, timeout=seconds) as response, open(path, "wb") as out:  # noqa: S310
-        while block := response.read(1 << 20):
-            size += len(block)
-            if size > most:
-                raise ValueError(f"{url} has more than {most} bytes")
-            out.write(block)
+def _file_system(spark: SparkSession, path: str):
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    conf = spark._jsc.hadoopConfiguration()
+    return hadoop.Path(path).getFileSystem(conf), hadoop.Path, conf
+
+
+def _shared(spark: SparkSession, name: str) -> str:
+    """A new file's path in the folder that executors can read."""
+    return f"{scratch_dir(spark)}/{uuid.uuid4().hex}/{name}"
+
+
+def fetch(spark: SparkSession, url: str, seconds: float = 60.0) -> str:
+    """A web file as one in the shared folder, streamed; hosts may be restricted by MILLRACE_HOSTS.
+
+    A redirect isn't followed if hosts are restricted, as it may lead to another one.
+    """
+    from millrace.streaming.sources import allow_host
+
+    allow_host(urllib.parse.urlsplit(url).hostname or "")
+    path = _shared(spark, os.path.basename(urllib.parse.urlsplit(url).path) or "page")
+    connection = spark._jvm.java.net.URI(url).toURL().openConnection()
+    connection.setConnectTimeout(int(seconds * 1000))
+    connection.setReadTimeout(int(seconds * 1000))
+    connection.setInstanceFollowRedirects(not os.environ.get("MILLRACE_HOSTS"))
+    if connection.getResponseCode() != 200:
+        raise OSError(f"{url} answered {connection.getResponseCode()}")
+    fs, new_path, conf = _file_system(spark, path)
+    spark._jvm.org.apache.hadoop.io.IOUtils.copyBytes(connection.getInputStream(), fs.create(new_path(path)), conf, True)
+    return path
+
+
+def unpacked(spark: SparkSession, path: str) -> str:
+    """zstd files (a glob may name several) as plain ones in the shared folder: Spark's own codec needs a native library.
+
+    The stream is unpacked by the JVM, block by block, and never held.
+    """
+    fs, new_path, conf = _file_system(spark, path)
+    folder, names = _shared(spark, ""), []
+    for status in fs.globStatus(new_path(path)) or []:
+        names.append(folder + re.sub(r"\.zstd?$", "", status.getPath().getName()))
+        target = _file_system(spark, names[-1])[0]
+        stream = spark._jvm.com.github.luben.zstd.ZstdInputStream(fs.open(status.getPath()))
+        spark._jvm.org.apache.hadoop.io.IOUtils.copyBytes(stream, target.create(new_path(names[-1])), conf, True)
+    if not names:
+        raise FileNotFoundError(path)
+    return names[0] if len(names) == 1 else folder
+
+
+def piped(spark: SparkSession, stream: BinaryIO, ending: str) -> str:
+    """A pipe's bytes as a file in the shared folder: a pipe belongs to one process."""
+    path = _shared(spark, f"stdin.{ending}")
+    fs, new_path, _ = _file_system(spark, path)
+    out = fs.create(new_path(path))
+    while block := stream.read(1 << 20):
+        out.write(bytearray(block))
+    out.close()
     return path
 
 
@@ -191,7 +234,9 @@ def read_binary(spark: SparkSession, path: str, fields: list[tuple[str, str]], b
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = np.frombuffer(b"".join(batch.column(0).to_pylist()), dtype=kind)
+            cells = batch.column(0).cast(pa.large_binary())  # records stand one after the other in its buffer
+            at = cells.offset * kind.itemsize
+            rows = np.frombuffer(cells.buffers()[2], dtype=kind, count=len(cells), offset=at) if len(cells) else np.zeros(0, dtype=kind)
             out = []
             for name, k in fields:
                 column = rows[name]
@@ -206,5 +251,7 @@ def read_binary(spark: SparkSession, path: str, fields: list[tuple[str, str]], b
                     out.append(pa.array(column.astype(np.int64)))
             yield pa.RecordBatch.from_arrays(out, [n for n, _ in fields])
 
-    records = spark.sparkContext.binaryRecords(path, kind.itemsize).map(lambda b: (bytearray(b),))
-    return spark.createDataFrame(records, "record binary").mapInArrow(decode, ", ".join(f"`{n}` {t}" for n, t in lanes.items()))
+    # The JVM cuts the file into records; no Python runs for a single one.
+    jvm, context = spark._jvm, spark._jsc.sc()
+    records = spark._jsparkSession.createDataset(context.binaryRecords(path, kind.itemsize, context.hadoopConfiguration()), jvm.org.apache.spark.sql.Encoders.BINARY())
+    return DataFrame(records.toDF(), spark).mapInArrow(decode, ", ".join(f"`{n}` {t}" for n, t in lanes.items()))

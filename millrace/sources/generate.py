@@ -6,7 +6,7 @@ import json
 from collections.abc import Iterator
 
 MASK = (1 << 64) - 1
-COUNTRIES = ("JP", "US", "DE", "FR", "BR")
+COUNTRIES = ("CA", "IN", "KE", "NO", "PE", "VN")
 
 
 def random_numbers(seed: int) -> Iterator[int]:
@@ -23,7 +23,7 @@ def _rows(n: int, seed: int) -> Iterator[dict]:
     numbers = random_numbers(seed)
     for i in range(n):
         age, score, country, active = (next(numbers) for _ in range(4))
-        yield {"id": i, "name": f"user{i}", "age": age % 90, "score": round(score % 10_000 / 100, 2), "country": COUNTRIES[country % len(COUNTRIES)], "active": bool(active & 1)}
+        yield {"id": i, "name": f"person-{i:05d}", "age": age % 90, "score": round(score % 10_000 / 100, 2), "country": COUNTRIES[country % len(COUNTRIES)], "active": bool(active & 1)}
 
 
 def generate(shape: str, rows: int = 1000, seed: int = 42, ratio: float = 0.1) -> Iterator[str]:

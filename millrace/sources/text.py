@@ -151,13 +151,12 @@ def read_json(spark: SparkSession, path: str | list[str], ledger: Ledger | None
     except ValueError:
         pass
     if array:
-        text = spark.read.text(path, wholetext=True).select(F.substring("value", 1, 1 << 16)).first()[0]
-        found = json.JSONDecoder(object_pairs_hook=lambda p: dict(p))
-        try:
-            sample, _ = found.raw_decode(text[text.index("{") :])
-            keys = [k for k in sample if k in by_name]
-        except ValueError:
-            pass
+        ordered = spark.read.text(path, wholetext=True).limit(1).select(F.json_object_keys(F.get_json_object("value", "$[0]"))).first()
+        if ordered and ordered[0]:
+            keys = [k for k in ordered[0] if k in by_name]
+    left_out = [n for n in by_name if n != BAD and n not in keys]
+    if left_out and ledger is not None:
+        ledger.add(Severity.WARNING, scope, f"column(s) {', '.join(left_out)} are not in the first object and were left out", len(left_out))
     schema = T.StructType([by_name[k] for k in keys] + [T.StructField(BAD, T.StringType())])
     raw = spark.read.json(path, schema=schema, multiLine=array, columnNameOfCorruptRecord=BAD)
     if ledger is not None:

@@ -20,10 +20,22 @@ class NotAllowed(PermissionError):
     """A path or host outside the allowed ones."""
 
 
-def _allowed(value: str, variable: str) -> None:
-    allowed = [p for p in os.environ.get(variable, "").split(",") if p]
-    if allowed and not any(value.startswith(p) for p in allowed):
-        raise NotAllowed(f"{value} isn't among {variable}")
+def _listed(variable: str) -> list[str]:
+    return [p for p in os.environ.get(variable, "").split(",") if p]
+
+
+def allow_host(host: str) -> None:
+    """A host has to be one of MILLRACE_HOSTS, not merely begin like one."""
+    if _listed("MILLRACE_HOSTS") and host.lower() not in {h.lower() for h in _listed("MILLRACE_HOSTS")}:
+        raise NotAllowed(f"{host} isn't among MILLRACE_HOSTS")
+
+
+def allow_path(path: str) -> None:
+    """A path has to be one of MILLRACE_WATCH_PATHS or lie below one."""
+    plain = os.path.normpath(path.removeprefix("file://"))
+    folders = [os.path.normpath(p.removeprefix("file://")) for p in _listed("MILLRACE_WATCH_PATHS")]
+    if folders and not any(plain == f or plain.startswith(f.rstrip("/") + "/") for f in folders):
+        raise NotAllowed(f"{path} isn't below MILLRACE_WATCH_PATHS")
 
 
 def watch(spark: SparkSession, glob: str, files_per_trigger: int = 1000) -> DataFrame:
@@ -32,7 +44,7 @@ def watch(spark: SparkSession, glob: str, files_per_trigger: int = 1000) -> Data
     Files that change after they were seen aren't seen again. ``files_per_trigger`` bounds a batch.
     """
     root = _root(glob)
-    _allowed(root, "MILLRACE_WATCH_PATHS")
+    allow_path(root)
     found = spark.readStream.schema("path string, modificationTime timestamp, length bigint, content binary").format("binaryFile").option("recursiveFileLookup", "true").option("maxFilesPerTrigger", str(files_per_trigger)).load(root)
     found = found.select(plain(F.col("path")).alias("path"), F.col("length").alias("size"), F.col("modificationTime").cast("timestamp_ntz").alias("mtime"))
     found = found.filter(F.col("path").rlike(path_pattern(glob)))
@@ -44,7 +56,7 @@ def subscribe(spark: SparkSession, url: str, schema: str | None = None, fmt: str
     m = re.fullmatch(r"tcp://([^:/]+):(\d+)", url)
     if not m:
         raise ValueError(f"expected tcp://host:port, found {url}")
-    _allowed(m[1], "MILLRACE_HOSTS")
+    allow_host(m[1])
     lines = spark.readStream.format("socket").option("host", m[1]).option("port", m[2]).load()
     if schema is None:
         return lines
@@ -53,6 +65,14 @@ def subscribe(spark: SparkSession, url: str, schema: str | None = None, fmt: str
     return lines.select(F.from_csv("value", schema, {"sep": "\t" if fmt == "tsv" else ","}).alias("r")).select("r.*")
 
 
+def subscribe_fields(spark: SparkSession, url: str, fields: list[tuple[str, str | None]], fmt: str = "csv") -> DataFrame:
+    """The same with the flow language's types: cells that don't fit become null."""
+    from millrace.sources.text import typed
+
+    raw = subscribe(spark, url, ", ".join(f"`{n}` string" for n, _ in fields), fmt)
+    return typed(raw, {n: kind or "str" for n, kind in fields})
+
+
 def read_stream(spark: SparkSession, folder: str, schema: str, fmt: str = "csv", **options: str) -> DataFrame:
     """Rows of the files that arrive in a folder."""
     return spark.readStream.schema(schema).format({"tsv": "csv", "jsonl": "json"}.get(fmt, fmt)).options(**({"sep": "\t"} if fmt == "tsv" else {}), **options).load(folder)

@@ -241,3 +241,60 @@ def test_stdout_and_hooks(spark, folder, capsys):
     assert capsys.readouterr().out == '[\n{"name":"chie","age":45,"country":"JP"}\n]\nname\ndora\n'
     logged = run('X: ls "nothing/*.csv" on error severity >= warning: log "seen" ; ;', spark, str(folder))
     assert [e.message for e in logged.events][-1] == "seen"
+
+
+def test_fractions_keep_their_digits(spark, folder):
+    (folder / "w.csv").write_text("a\n0.123456789012345678\n0.123456789012345679\n")
+    assert len(flow(spark, folder, "X: open w.csv (a:decimal(18)) |? a > 0.123456789012345678 ;")) == 1
+    source = "X: open w.csv (a:decimal(18)) |? a > 0.123456789012345678 ;"
+    assert "0.123456789012345678" in to_source(parse(source)) and parse(to_source(parse(source))) == parse(source)
+
+
+def test_rows_of_several_files_name_their_own(spark, folder):
+    (folder / "p1.csv").write_text("a\n1\n")
+    (folder / "p2.csv").write_text("a\n2\n")
+    found = flow(spark, folder, f'X: open "{folder}/p*.csv" with filename |> a filename (source.uri) as u ;')
+    assert sorted(found) == [(i, f"{folder}/p{i}.csv", f"{folder}/p{i}.csv") for i in (1, 2)]
+    assert flow(spark, folder, "X: open p1.csv with filename ;") == [(1, "p1.csv")]
+
+
+def test_zstd_over_a_glob(spark, folder):
+    import pyarrow as pa
+
+    for i in range(3):
+        with pa.CompressedOutputStream(str(folder / f"z{i}.csv.zst"), "zstd") as f:
+            f.write(USERS.encode() * 1)
+    assert len(flow(spark, folder, 'X: open "z*.csv.zst" |? age > 20 ;')) == 6
+
+
+def test_json_arrays_of_long_objects(spark, folder):
+    import json
+
+    (folder / "l.json").write_text(json.dumps([{"z": "x" * 100_000, "b": 1, "a": 2}, {"a": 3, "more": 1}]))
+    result = run("X: open l.json |> b a ; Y: open l.json ;", spark, str(folder))
+    assert result.outputs["Y"].columns == ["z", "b", "a"] and rows(result, "X") == [(1, 2), (None, 3)]
+    assert any("more" in e.message for e in result.events)
+
+
+def test_telemetry(spark, folder):
+    result = run("X: open users.csv |? age > 20 |> name take 1 ;", spark, str(folder), telemetry=True)
+    result.outputs["X"].collect()
+    assert result.telemetry[0] == ("X", "source", 4) and [s for _, s, _ in result.telemetry] == ["source", "filter", "project", "take"]
+
+
+def test_gate_follows_names(spark, folder):
+    good = "X: open a.csv (id:int v:float) |> id (v * 2) as w rename id key |? key > 1, w > 2 |# key sum:w |? sum_w > 3 ;"
+    from millrace.plans.engine import check
+
+    check(parse(good))
+    for bad in (good.replace("key > 1", "id > 1"), good.replace("sum_w", "sum_v"), good.replace("w > 2", "v > 2")):
+        with pytest.raises(FlowError):
+            check(parse(bad))
+
+
+def test_binary_of_many_records(spark, folder):
+    import struct
+
+    (folder / "big.bin").write_bytes(b"".join(struct.pack("<qf", i, i / 4) for i in range(20_011)))
+    result = run("X: open big.bin as bin (id:i64 v:f32) ;", spark, str(folder)).outputs["X"]
+    assert result.selectExpr("count(*)", "sum(id)", "sum(v)").first() == (20_011, sum(range(20_011)), sum(range(20_011)) / 4)

@@ -64,6 +64,40 @@ def test_watch_is_confined(spark, tmp_path, monkeypatch):
         sources.watch(spark, f"{tmp_path}/*.csv")
 
 
+def test_allowlists_take_whole_names(spark, tmp_path, monkeypatch):
+    monkeypatch.setenv("MILLRACE_WATCH_PATHS", str(tmp_path / "in"))
+    monkeypatch.setenv("MILLRACE_HOSTS", "example.org")
+    for name in ("in", "inner"):
+        (tmp_path / name).mkdir()
+    sources.watch(spark, f"{tmp_path}/in/*.csv")
+    for path in (f"{tmp_path}/inner/*.csv", f"{tmp_path}/in/../inner/*.csv"):
+        with pytest.raises(PermissionError):
+            sources.watch(spark, path)
+    for url in ("tcp://example.org.evil:1", "tcp://sub.example.org:1"):
+        with pytest.raises(PermissionError):
+            sources.subscribe(spark, url)
+
+
+def test_subscribe_in_a_flow(spark):
+    import socket
+    import threading
+
+    from millrace.plans.engine import run
+
+    for fmt, lines in (("csv", b"1,x\nbad,y\n"), ("tsv", b"1\tx\nbad\ty\n"), ("json", b'{"a":"1","b":"x"}\n{"a":"bad","b":"y"}\n')):
+        server = socket.create_server(("127.0.0.1", 0))
+
+        def serve(server=server, lines=lines):
+            client, _ = server.accept()
+            with client:
+                client.sendall(lines)
+                threading.Event().wait(8)
+
+        threading.Thread(target=serve, daemon=True).start()
+        out = run(f'X: subscribe "tcp://127.0.0.1:{server.getsockname()[1]}" as {fmt} (a:int b) take 2 ;', spark).outputs["X"]
+        assert sorted(map(tuple, out.collect()), key=str) == [(1, "x"), (None, "y")]
+
+
 def test_command_line(tmp_path):
     program = tmp_path / "p.flow"
     program.write_text("X:   open a.csv |? a >= 1 # why\n ;")
@@ -71,6 +105,7 @@ def test_command_line(tmp_path):
     out = run("fmt", str(program))
     assert out.returncode == 0 and parse(out.stdout) == parse(program.read_text()) and "# why" in out.stdout
     assert run("check", "-c", "X: nothing").returncode == 2
+    assert run("check", "-c", "X: open a.csv (id:int) |? idd > 1 ;").returncode == 2 and run("check", "-c", "X: open a.csv (id:int) |? id > 1 ;").returncode == 0
     assert len(run("gen", "clean", "--rows", "5").stdout.splitlines()) == 6
 
 
