@@ -493,7 +493,7 @@ class Engine:
                 sinks.save(ordered.select(*[F.col(f"`{c}`") for c in columns(df)]), self.path(path), fmt, single=self.single)
         except Exception as e:
             if "ContractHalted" in str(e):
-                found = re.search(r"ContractHalted: ([^\n]*)", str(e))
+                found = re.search(r"ContractHalted: ([^\n]*?)(?: SQLSTATE: \w+)?$", str(e), re.MULTILINE)
                 self.ledger.add(Severity.FATAL, label, f"halted: {found[1] if found else ''}")
                 return
             raise

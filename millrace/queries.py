@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from millrace.events import Ledger
 from millrace.functions import scalar as s
 from millrace.functions import temporal as t
 from millrace.operators import group as g
@@ -14,6 +17,7 @@ from millrace.operators import join as j
 from millrace.operators import rows as r
 from millrace.operators import shape
 from millrace.operators import window as w
+from millrace.scratch import materialize, scratch_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -116,9 +120,7 @@ def sub_views(spark, d):
 
 @query("SELECT n_nationkey AS a, n_name AS b FROM nation WHERE n_regionkey = 2")
 def positional_field(spark, d):
-    df = read(spark, d, "nation")
-    c = df.columns
-    return df.filter(F.col(c[2]) == 2).select(F.col(c[0]).alias("a"), F.col(c[1]).alias("b"))
+    return _flow(spark, d, 'X: open "@/nation.parquet" |? $_[2] == 2 |> ($_[0]) as a ($_[1]) as b ;').withColumn("a", F.col("a").cast("int"))
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice >= 1000 AND o_totalprice <= 150000")
@@ -127,9 +129,22 @@ def validate_reject(spark, d):
     return r.validate(df, F.col("o_totalprice") <= 150000, "reject").select("o_orderkey", "o_totalprice")
 
 
-@query("SELECT count(*) AS n FROM orders")
+@query("SELECT o_orderkey, o_totalprice, (SELECT count(*) FROM orders WHERE NOT o_totalprice > 50000) AS warned FROM orders")
 def validate_warn(spark, d):
-    return r.validate(read(spark, d, "orders"), F.col("o_totalprice") > 50000, "warn").agg(F.count(F.lit(1)).alias("n"))
+    """All rows stay, and the ledger has the number of those that broke the rule."""
+    ledger = Ledger()
+    out = materialize(r.validate(read(spark, d, "orders").select("o_orderkey", "o_totalprice"), F.col("o_totalprice") > 50000, "warn", ledger=ledger), "warned")
+    return out.withColumn("warned", F.lit(sum(e.count for e in ledger.collect())).cast("bigint"))
+
+
+@query("SELECT TRUE AS halted, 'o_totalprice > 50000' AS rule")
+def validate_halt(spark, d):
+    """The first row that breaks the rule ends the action."""
+    from millrace.plans.engine import run
+
+    result = run(f'X: open "{d}/orders.parquet" |! o_totalprice > 50000 halt save "{scratch_dir(spark)}/halt-{uuid.uuid4().hex}.csv" ;', spark)
+    rule = result.events[-1].message.removeprefix("halted: ")
+    return spark.createDataFrame([(result.mode == "halted", rule)], "halted boolean, rule string")
 
 
 @query("SELECT event_id, CASE WHEN event_id % 7 = 0 THEN NULL ELSE value END AS v FROM events WHERE event_id % 7 <> 0")
@@ -181,32 +196,64 @@ def fill_median(spark, d):
     return r.fill_statistic(df, "v", "median").withColumn("v", F.round("v", 4))
 
 
-@query("""SELECT 'o_orderkey' AS "column", 'i64' AS type, count(*) AS count, CAST(min(o_orderkey) AS VARCHAR) AS min, CAST(max(o_orderkey) AS VARCHAR) AS max FROM orders
-UNION ALL SELECT 'o_custkey', 'i64', count(*), CAST(min(o_custkey) AS VARCHAR), CAST(max(o_custkey) AS VARCHAR) FROM orders
-UNION ALL SELECT 'o_orderstatus', 'str', count(*), NULL, NULL FROM orders""")
-def describe(spark, d):
-    return shape.describe(read(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")).drop("mean")
+def _described(column: str, kind: str) -> str:
+    numbers = f"CAST(min({column}) AS DOUBLE) AS min, CAST(max({column}) AS DOUBLE) AS max, round(avg({column}), 4) AS mean" if kind in ("i64", "f64") else "NULL AS min, NULL AS max, NULL AS mean"
+    return f"""SELECT '{column}' AS "column", '{kind}' AS type, count(*) AS count, {numbers} FROM orders"""
 
 
-@query("SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings WHERE vec_id < 50")
-def explode(spark, d):
-    df = read(spark, d, "embeddings").filter("vec_id < 50").select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
-    return shape.explode(df, "x")
+_ORDERS = {"o_orderkey": "i64", "o_custkey": "i64", "o_orderstatus": "str", "o_totalprice": "f64", "o_orderdate": "datetime", "o_orderpriority": "str"}
+
+
+@query(" UNION ALL ".join(_described(c, kind) for c, kind in _ORDERS.items()))
+def describe(spark, d):
+    out = shape.describe(read(spark, d, "orders"))
+    return out.withColumns({c: F.round(F.col(c).cast("double"), 4) for c in ("min", "max", "mean")})
 
 
 @query("SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings")
-def explode_all(spark, d):
+def explode(spark, d):
     return shape.explode(read(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x")), "x")
 
 
+def _as_json(spark, d) -> str:
+    """Events with their properties as a nested object and a list, as JSON lines in the shared folder."""
+    path = f"{scratch_dir(spark)}/{uuid.uuid4().hex}.jsonl"
+    rows = events(spark, d).select("event_id", F.from_json("props", "k bigint").alias("props"), F.array("user_id", "event_id").alias("ids"))
+    rows.write.json(path)
+    return path
+
+
+_K = "CAST(json_extract(props, '$.k') AS BIGINT)"
+
+
 @query("SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS first, CAST(embedding[100000] AS DOUBLE) AS missing FROM embeddings")
 def list_index(spark, d):
-    return read(spark, d, "embeddings").select("vec_id", F.get("embedding", F.lit(0)).cast("double").alias("first"), F.get("embedding", F.lit(99999)).cast("double").alias("missing"))
+    rows, views = read(spark, d, "embeddings"), {}
+    at = lambda i: _compiled(rows, f"embedding[{i}]", views).cast("double")
+    return rows.select("vec_id", at(0).alias("first"), at(99999).alias("missing"))
 
 
-@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+@query(f"SELECT event_id, {_K} AS k, {_K} AS deep, user_id AS first, CAST(NULL AS BIGINT) AS missing FROM events")
 def nested_path(spark, d):
-    return events(spark, d).select("event_id", F.from_json("props", "k bigint").alias("p")).select("event_id", F.col("p.k").alias("k"))
+    return _flow(spark, d, f'X: open "{_as_json(spark, d)}" |> event_id (props.k) as k ($_..k) as deep (ids[0]) as first (ids[7]) as missing ;')
+
+
+@query("SELECT event_id, event_id AS item, user_id AS up, event_type FROM events")
+def field_forms(spark, d):
+    return _flow(spark, d, 'X: open "@/events.parquet" |> event_id (item("event_id")) as item ($_:1.user_id) as up event_type ;')
+
+
+@query(f"SELECT e.event_id, n.n_name FROM (SELECT event_id, {_K} AS k FROM events) e JOIN nation n ON e.k = n.n_nationkey")
+def join_nested_key(spark, d):
+    rows = events(spark, d).select("event_id", F.from_json("props", "k bigint").alias("props"))
+    return j.join(rows, read(spark, d, "nation").select(F.col("n_nationkey").cast("bigint").alias("nk"), "n_name"), [("props.k", "nk")]).select("event_id", "n_name")
+
+
+@query("SELECT c_custkey, c_name, CAST(NULL AS BIGINT) AS n_regionkey FROM customer")
+def join_absent_side(spark, d):
+    """A left join with a side that has no rows keeps that side's columns."""
+    text = 'C: open "@/customer.parquet" ; N: open "@/nation.parquet" |? n_nationkey < 0 ; X: C &left N on c_nationkey:n_nationkey |> c_custkey c_name n_regionkey ;'
+    return _flow(spark, d, text)
 
 
 @query("""SELECT CAST(json_extract(props, '$.k') AS BIGINT) AS k, count(*) AS count FROM events GROUP BY 1""")
@@ -238,14 +285,18 @@ def join_left(spark, d):
     return j.join(read(spark, d, "documents").select("doc_id", "lang"), read(spark, d, "labels"), ["doc_id"], "left")
 
 
-@query("SELECT coalesce(n.n_nationkey, s.s_nationkey) AS n_nationkey, n.n_name, s.s_suppkey FROM (SELECT * FROM nation WHERE n_regionkey < 2) n RIGHT JOIN supplier s ON n.n_nationkey = s.s_nationkey")
+@query("SELECT n.k, n.n_name, s.s_suppkey FROM (SELECT CASE WHEN n_regionkey < 2 THEN n_nationkey ELSE n_nationkey + 100 END AS k, n_name FROM nation) n RIGHT JOIN supplier s ON n.k = s.s_nationkey".replace("n.k,", "coalesce(n.k, s.s_nationkey) AS k,"))
 def join_right(spark, d):
-    return j.join(read(spark, d, "nation").filter("n_regionkey < 2").select("n_nationkey", "n_name"), read(spark, d, "supplier").select("s_suppkey", "s_nationkey"), [("n_nationkey", "s_nationkey")], "right")
+    """Three regions' keys are shifted, so that their suppliers find no nation."""
+    nation = read(spark, d, "nation").select(F.when(F.col("n_regionkey") < 2, F.col("n_nationkey")).otherwise(F.col("n_nationkey") + 100).alias("k"), "n_name")
+    return j.join(nation, read(spark, d, "supplier").select("s_suppkey", "s_nationkey"), [("k", "s_nationkey")], "right")
 
 
-@query("SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, a.quality, b.lang FROM (SELECT doc_id, quality FROM labels WHERE doc_id % 3 = 0) a FULL JOIN (SELECT doc_id, lang FROM documents WHERE doc_id % 2 = 0) b ON a.doc_id = b.doc_id")
+@query("SELECT coalesce(a.k, b.doc_id) AS k, a.quality, b.lang FROM (SELECT CASE WHEN doc_id % 3 = 0 THEN doc_id ELSE -1 - doc_id END AS k, quality FROM labels) a FULL JOIN (SELECT doc_id, lang FROM documents) b ON a.k = b.doc_id")
 def join_full(spark, d):
-    return j.join(read(spark, d, "labels").filter("doc_id % 3 = 0").select("doc_id", "quality"), read(spark, d, "documents").filter("doc_id % 2 = 0").select("doc_id", "lang"), ["doc_id"], "full")
+    """Two thirds of the labels' ids are made negative, so that both sides have rows without a match."""
+    labels = read(spark, d, "labels").select(F.when(F.col("doc_id") % 3 == 0, F.col("doc_id")).otherwise(-1 - F.col("doc_id")).alias("k"), "quality")
+    return j.join(labels, read(spark, d, "documents").select("doc_id", "lang"), [("k", "doc_id")], "full")
 
 
 @query("SELECT l.l_orderkey, l.l_linenumber, l.l_quantity, r.l_tax FROM lineitem l JOIN lineitem r ON l.l_orderkey = r.l_orderkey AND l.l_linenumber = r.l_linenumber WHERE r.l_tax > 0.05")
@@ -286,6 +337,14 @@ def asof_within(spark, d):
     return _asof(spark, d, "1h")
 
 
+@query("""SELECT l.event_id, r.value AS value_r FROM (SELECT * FROM events WHERE event_type = 'purchase') l
+ASOF LEFT JOIN (SELECT ts, max_by(value, event_id) AS value FROM events WHERE event_type = 'click' GROUP BY 1) r ON l.ts >= r.ts""")
+def asof_without_keys(spark, d):
+    df = events(spark, d)
+    trades, quotes = df.filter("event_type = 'purchase'").select("event_id", "ts", "value"), df.filter("event_type = 'click'").select("ts", "value", F.col("event_id").alias("quote_id"))
+    return j.asof(trades, quotes, [], "ts", None, ["quote_id"]).select("event_id", "value_r")
+
+
 # Groups
 
 
@@ -349,16 +408,15 @@ def group_min_max_datetime(spark, d):
 # Order, distinct
 
 
-@query("SELECT event_id, v FROM (SELECT event_id, CASE WHEN event_id % 7 = 0 THEN NULL ELSE value END AS v FROM events) ORDER BY v DESC NULLS FIRST, event_id LIMIT 2000")
+@query("SELECT event_id, v, row_number() OVER (ORDER BY v DESC NULLS FIRST, event_id) - 1 AS place FROM (SELECT event_id, CASE WHEN event_id % 7 = 0 THEN NULL ELSE value END AS v FROM events)")
 def sort_nulls_first(spark, d):
+    """The whole table in order, written in parts and read again: each row with the place it has there."""
     df = events(spark, d).select("event_id", F.when(F.col("event_id") % 7 != 0, F.col("value")).alias("v"))
-    return r.take(r.sort(df, ("v", "desc"), order_by=["event_id"]), 2000)
-
-
-@query("SELECT event_id, v FROM (SELECT event_id, CASE WHEN event_id % 7 = 0 THEN NULL ELSE value END AS v FROM events) ORDER BY v DESC NULLS FIRST, event_id")
-def sort_nulls_first_all(spark, d):
-    df = events(spark, d).select("event_id", F.when(F.col("event_id") % 7 != 0, F.col("value")).alias("v"))
-    return r.sort(df, ("v", "desc"), order_by=["event_id"])
+    parts = materialize(r.sort(df, ("v", "desc"), order_by=["event_id"]).withColumn("at", F.monotonically_increasing_id()), "sorted")
+    counts = parts.groupBy(F.shiftright("at", 33).alias("part")).agg(F.count(F.lit(1)).alias("n"))
+    before = counts.select("part", (F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, 0)) - F.col("n")).alias("before"))
+    placed = parts.withColumn("part", F.shiftright("at", 33)).join(before, "part")
+    return placed.select("event_id", "v", (F.col("before") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).alias("place"))
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10")
@@ -407,6 +465,18 @@ for _of in ("sum", "avg", "min", "max"):
     ORACLES[f"rolling_{_of}"] = f"SELECT event_id, round(CASE WHEN count(*) OVER w = 5 THEN {_of}(value) OVER w END, 4) AS x FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS 4 PRECEDING)"
 
 
+_ALL = "(ORDER BY ts, event_id)"
+
+
+@query(f"SELECT event_id, lag(value, 2) OVER {_ALL} AS prev, lead(value) OVER {_ALL} AS next, round(CASE WHEN count(*) OVER w = 4 THEN sum(value) OVER w END, 4) AS s FROM events WINDOW w AS (ORDER BY ts, event_id ROWS 3 PRECEDING)")
+def windows_of_all_rows(spark, d):
+    """Without keys: one order over the whole table, in blocks."""
+    df = events(spark, d).select("event_id", "ts", "value")
+    for name, kind, n in (("prev", "lag", 2), ("next", "lead", 1), ("s", "rolling_sum", 4)):
+        df = w.with_window(df, name, kind, "value", n, [], BY_TIME)
+    return df.select("event_id", "prev", "next", F.round("s", 4).alias("s"))
+
+
 @query(f"SELECT event_id, epoch_us(ts) - lag(epoch_us(ts)) OVER {_W} AS gap FROM events")
 def diff_datetime(spark, d):
     out = w.with_window(events(spark, d), "gap", "diff", "ts", 1, ["user_id"], BY_TIME)
@@ -422,6 +492,11 @@ def session(spark, d):
     return w.with_session(events(spark, d), "session", "ts", "30m", ["user_id"], BY_TIME).select("user_id", "event_id", "session")
 
 
+@query(_SESSION.replace("PARTITION BY user_id ", "") + "SELECT event_id, session FROM b")
+def session_of_all_rows(spark, d):
+    return w.with_session(events(spark, d), "session", "ts", "30m", [], BY_TIME).select("event_id", "session")
+
+
 @query(_SESSION + "SELECT user_id, session, count(*) AS count, max(ts) AS max_ts FROM b GROUP BY 1, 2")
 def session_group(spark, d):
     return g.group(w.with_session(events(spark, d), "session", "ts", "30m", ["user_id"], BY_TIME), ["user_id", "session"], [("max", "ts")])
@@ -448,8 +523,12 @@ def date_bin_origin(spark, d):
 
 @query("""SELECT w, count(*) AS count, round(avg(value), 4) AS avg_value FROM (SELECT value, unnest(generate_series(time_bucket(INTERVAL 1 MINUTE, ts) - INTERVAL 4 MINUTE, time_bucket(INTERVAL 1 MINUTE, ts), INTERVAL 1 MINUTE)) AS w FROM events) GROUP BY 1""")
 def hops_group(spark, d):
-    out = g.group(shape.explode(events(spark, d).select(t.hops(F.col("ts"), "5m", "1m").alias("w"), "value"), "w"), ["w"], [("avg", "value")])
-    return out.withColumn("avg_value", F.round("avg_value", 4))
+    return g.hop_group(events(spark, d), "ts", "5m", "1m", [], [("avg", "value")]).withColumn("avg_value", F.round("avg_value", 4))
+
+
+@query("SELECT event_id, unnest(generate_series(time_bucket(INTERVAL 1 HOUR, ts) - INTERVAL 2 HOUR, time_bucket(INTERVAL 1 HOUR, ts), INTERVAL 1 HOUR)) AS w FROM events")
+def hops(spark, d):
+    return shape.explode(events(spark, d).select("event_id", t.hops(F.col("ts"), "3h", "1h").alias("w")), "w")
 
 
 @query("SELECT event_id, date_trunc('day', ts) AS day, date_trunc('hour', ts) AS hour, date_trunc('month', ts) AS month, date_trunc('second', ts) AS second FROM events")
@@ -539,10 +618,28 @@ def num_functions(spark, d):
     return events(spark, d).select("event_id", s.whole("abs", v - 50).alias("a"), s.whole("round", v).alias("r"), s.whole("floor", v).alias("f"), s.whole("ceil", v).alias("c"))
 
 
-@query("SELECT d.doc_id, coalesce(l.quality, l.toxic, -1) AS q FROM documents d LEFT JOIN labels l USING (doc_id)")
+@query("SELECT d.doc_id, CAST(coalesce(l.quality, l.toxic, -1) AS BIGINT) AS q FROM documents d LEFT JOIN labels l USING (doc_id)")
 def coalesce(spark, d):
-    df = j.join(read(spark, d, "documents").select("doc_id"), read(spark, d, "labels"), ["doc_id"], "left")
-    return df.select("doc_id", F.coalesce("quality", "toxic", F.lit(-1)).alias("q"))
+    return _flow(spark, d, 'D: open "@/documents.parquet" ; L: open "@/labels.parquet" ; X: D &left L on doc_id |> doc_id (coalesce(quality, toxic, -1)) as q ;')
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE CAST(round(CAST(o_totalprice AS DECIMAL(38,9)), 2) AS DECIMAL(18,2)) >= 150000.25")
+def decimal_literal(spark, d):
+    out = _flow(spark, d, 'X: open "@/orders.parquet" cast o_totalprice:decimal(2) |? o_totalprice >= 150000.25 |> o_orderkey o_totalprice ;')
+    return out.withColumn("o_totalprice", F.col("o_totalprice").cast("double"))
+
+
+@query(r"SELECT page_id, url AS handle, url AS cast_url, regexp_extract(url, '^([a-z]+)://', 1) AS scheme FROM pages")
+def resource(spark, d):
+    out = _flow(spark, d, 'X: open "@/pages.parquet" |> page_id (resource(url)) as handle (url:resource) as cast_url ;')
+    return out.withColumn("scheme", s.scheme(F.col("handle")))
+
+
+@query("SELECT k, count(*) AS count, sum(v) AS sum_v, avg(v) AS avg_v, min(v) AS min_v, count(v) AS count_v FROM (SELECT event_type AS k, CASE WHEN event_type <> 'click' THEN CAST(user_id AS BIGINT) END AS v FROM events) GROUP BY 1".replace("sum(v)", "CAST(sum(v) AS BIGINT)").replace("avg(v)", "round(avg(v), 4)"))
+def group_all_null(spark, d):
+    """One group has no value at all."""
+    rows = events(spark, d).select(F.col("event_type").alias("k"), F.when(F.col("event_type") != "click", F.col("user_id")).alias("v"))
+    return g.group(rows, ["k"], [("sum", "v"), ("avg", "v"), ("min", "v"), ("count", "v")]).withColumn("avg_v", F.round("avg_v", 4))
 
 
 # Whole flows
@@ -567,6 +664,13 @@ def filter_join_group(spark, d):
 # The same through the language, and through files
 
 
+def _compiled(df: DataFrame, expression: str, views: dict) -> Column:
+    from millrace.plans.engine import _expression
+    from millrace.plans.expressions import Compiler
+
+    return Compiler(df, views)(_expression(expression))[0]
+
+
 def _flow(spark: SparkSession, d: str, program: str, label: str = "X") -> DataFrame:
     from millrace.plans.engine import run
 
@@ -629,9 +733,6 @@ def _round_trip(fmt: str, **options) -> Query:
     """Supplier written as ``fmt`` into the shared folder and read again, types inferred."""
 
     def run(spark: SparkSession, d: str) -> DataFrame:
-        import uuid
-
-        from millrace.scratch import scratch_dir
         from millrace.sources import sinks, text
 
         path = f"{scratch_dir(spark)}/{uuid.uuid4().hex}.{fmt}"
@@ -654,27 +755,258 @@ ORACLES["round_trip_csv_parts"] = ORACLES["round_trip_csv"]
 @query("SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name, CAST(n_regionkey AS BIGINT) AS n_regionkey FROM nation")
 def partitioned_save_and_read(spark, d):
     """Files by region, found again by ``ls`` and united by ``read``."""
-    import uuid
+    return _routed(spark, read(spark, d, "nation"), "hive")
 
-    from millrace.scratch import scratch_dir
+
+_NATION = "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name, CAST(n_regionkey AS BIGINT) AS n_regionkey FROM nation"
+
+
+def _routed(spark, df: DataFrame, layout: str) -> DataFrame:
     from millrace.sources import files, sinks
 
     folder = f"{scratch_dir(spark)}/{uuid.uuid4().hex}".removeprefix("file://")
-    sinks.save_by(read(spark, d, "nation"), folder, {"n_regionkey": F.col("n_regionkey")})
+    if layout == "template":
+        sinks.save_template(df, f"{folder}/r{{n_regionkey}}/{{n_name}}.csv", lambda e: F.substring(F.col(e).cast("string"), 1, 1))
+    else:
+        sinks.save_by(df, folder, {"n_regionkey": F.col("n_regionkey")}, layout=layout)
     return files.read(files.ls(spark, f"{folder}/**/*.csv"), "path", "csv")
 
 
+@query(_NATION)
+def save_flat(spark, d):
+    return _routed(spark, read(spark, d, "nation"), "flat")
+
+
+@query(_NATION)
+def save_template(spark, d):
+    return _routed(spark, read(spark, d, "nation"), "template")
+
+
+def _put(spark: SparkSession, name: str, data: bytes) -> str:
+    """Bytes as a file in the shared folder."""
+    from io import BytesIO
+
+    from millrace.sources import files
+
+    return files.piped(spark, BytesIO(data), name)
+
+
+def _nation_lines(spark, d, sep: str = ",") -> list[str]:
+    rows = read(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey").collect()
+    return [sep.join(map(str, r)) for r in rows]
+
+
+_LINES = "SELECT CAST(n_nationkey AS BIGINT) AS c0, n_name AS c1, CAST(n_regionkey AS BIGINT) AS c2 FROM nation"
+
+
+@query(_LINES)
+def open_noheader(spark, d):
+    path = _put(spark, "csv", "\n".join(_nation_lines(spark, d)).encode())
+    return _flow(spark, d, f'X: open "{path}" noheader ;')
+
+
+@query("SELECT CAST(n_nationkey AS VARCHAR) AS id, n_name AS name, CAST(n_regionkey AS DOUBLE) AS region FROM nation")
+def open_declared(spark, d):
+    path = _put(spark, "tsv", "\n".join(["x\ty\tz", *_nation_lines(spark, d, "\t")]).encode())
+    return _flow(spark, d, f'X: open "{path}" (id:str name region:float) ;')
+
+
+@query("SELECT event_id, date_trunc('second', ts) AS at FROM events")
+def open_datetime_format(spark, d):
+    path = f"{scratch_dir(spark)}/{uuid.uuid4().hex}.csv"
+    events(spark, d).select("event_id", F.date_format("ts", "yyMMddHHmmss").alias("at")).write.csv(path, header=True)
+    return _flow(spark, d, f'X: open "{path}" (event_id:int at:datetime("yyMMddHHmmss")) ;')
+
+
+@query("SELECT event_id, user_id FROM events")
+def open_gzip(spark, d):
+    path = f"{scratch_dir(spark)}/{uuid.uuid4().hex}.csv"
+    events(spark, d).select("event_id", "user_id").write.csv(path, header=True, compression="gzip")
+    return _flow(spark, d, f'X: open "{path}/*.csv.gz" ;')
+
+
+@query(_LINES)
+def open_zstd(spark, d):
+    import pyarrow as pa
+
+    data = pa.compress("\n".join(_nation_lines(spark, d)).encode(), "zstd", asbytes=True)
+    return _flow(spark, d, f'X: open "{_put(spark, "csv.zst", data)}" noheader ;')
+
+
+@query(_LINES)
+def open_stdin(spark, d):
+    import io
+    import sys
+    from unittest import mock
+
+    with mock.patch.object(sys, "stdin", io.TextIOWrapper(io.BytesIO("\n".join(_nation_lines(spark, d)).encode()))):
+        return _flow(spark, d, "X: open stdin as csv noheader ;")
+
+
+@query(_LINES)
+def open_web(spark, d):
+    import http.server
+    import threading
+
+    body = "\n".join(_nation_lines(spark, d)).encode()
+
+    class Page(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):  # noqa: N802
+            self.send_response(200)
+            self.send_header("Content-Length", str(len(body)))
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Page)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        return _flow(spark, d, f'X: open "http://127.0.0.1:{server.server_address[1]}/n.csv" noheader ;')
+    finally:
+        server.shutdown()
+
+
+@query("SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, 'n_regionkey=' || n_regionkey AS folder, 'file' AS scheme, TRUE AS same FROM nation")
+def open_with_filename(spark, d):
+    from millrace.sources import sinks
+
+    folder = f"{scratch_dir(spark)}/{uuid.uuid4().hex}".removeprefix("file://")
+    sinks.save_by(read(spark, d, "nation"), folder, {"n_regionkey": F.col("n_regionkey")})
+    out = _flow(spark, d, f'X: open "{folder}/*/*.csv" as csv with filename |> n_nationkey filename (source.uri) as uri (source.scheme) as scheme ;')
+    return out.select("n_nationkey", F.element_at(F.split("filename", "/"), -2).alias("folder"), F.coalesce(F.nullif("scheme", F.lit("")), F.lit("file")).alias("scheme"), (F.col("filename") == F.col("uri")).alias("same"))
+
+
+@query("SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name FROM nation")
+def watch_files(spark, d):
+    """A stream of files that ends by take, each read as it comes."""
+    folder = f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
+    read(spark, d, "nation").select("n_nationkey", "n_name").repartition(3, "n_nationkey").write.csv(folder, header=True)
+    n = spark.read.format("binaryFile").load(f"{folder}/*.csv").count()
+    return _flow(spark, d, f'X: watch "{folder.removeprefix("file://")}/*.csv" take {n} read as csv ;')
+
+
+@query("SELECT '' AS value WHERE FALSE")
+def stream_stub(spark, d):
+    return _flow(spark, d, "X: stream nothing ;")
+
+
+@query("SELECT range AS id, printf('person-%05d', range) AS name FROM range(5000)")
+def generated(spark, d):
+    from millrace.sources.generate import generate
+
+    path = _put(spark, "csv", "\n".join(generate("clean", 5000)).encode())
+    return _flow(spark, d, f'X: open "{path}" |> id name ;')
+
+
+@query("SELECT n_nationkey || ',' || n_name AS line FROM nation UNION ALL SELECT 'n_nationkey,n_name'")
+def save_stdout(spark, d):
+    import contextlib
+    import io
+
+    from millrace.plans.engine import run
+
+    out = io.StringIO()
+    with contextlib.redirect_stdout(out):
+        run(f'X: open "{d}/nation.parquet" |> n_nationkey n_name save stdout as csv ;', spark)
+    return spark.createDataFrame([(x,) for x in out.getvalue().splitlines()], "line string")
+
+
+_REFUSED = {
+    "parquet sink": ('X: open "@/nation.parquet" save "x.parquet" ;', "parquet"),
+    "blocking step of a stream": ('X: watch "/x/*.csv" sort name ;', "unbounded"),
+    "unknown scope": ("X: Nothing ;", "isn't defined"),
+    "unknown column": ("X: open a.csv (id:int) |? idd > 1 ;", "unknown column"),
+    "route hook": ('X: open a.csv on error severity >= error: route "b.csv" ; ;', "route"),
+    "retired spelling": ("X: open a.csv limit 3 ;", "retired"),
+}
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{k}', TRUE)" for k in _REFUSED) + ") AS v(program, refused)")
+def refusals(spark, d):
+    """Programs that are refused before anything runs, each with its reason."""
+    from millrace.plans.engine import run
+    from millrace.plans.ir import FlowError
+
+    def refused(text: str, reason: str) -> bool:
+        try:
+            run(text.replace("@", d), spark)
+        except FlowError as e:
+            return reason in str(e)
+        return False
+
+    return spark.createDataFrame([(name, refused(*case)) for name, case in _REFUSED.items()], "program string, refused boolean")
+
+
+@query("SELECT TRUE AS printed, TRUE AS literate, count(*) AS rows FROM nation WHERE n_regionkey = 1")
+def program_forms(spark, d):
+    """A program printed, parsed again, and taken from a document gives the same plan."""
+    from millrace.plans.engine import run
+    from millrace.plans.ir import to_source
+    from millrace.plans.literate import flow_of
+    from millrace.plans.parser import parse
+
+    text = f'A: open "{d}/nation.parquet" ; X: A! |? n_regionkey == 1 ;'
+    program = parse(text)
+    document = f"# Title\n\n```flow\n{text}\n```\n"
+    rows = run(parse(to_source(program)), spark, write=False).outputs["X"]
+    return rows.agg(F.lit(parse(to_source(program)) == program).alias("printed"), F.lit(parse(flow_of(document)) == program).alias("literate"), F.count(F.lit(1)).alias("rows"))
+
+
+@query("SELECT 'degraded' AS mode, count(*) FILTER (o_totalprice <= 50000) AS lost FROM orders")
+def hooks(spark, d):
+    """A hook changes the run's mode once rows have been lost."""
+    from millrace.plans.engine import run
+
+    text = f'X: open "{d}/orders.parquet" |! o_totalprice > 50000 reject on error severity >= error: transition degraded ; save "{scratch_dir(spark)}/{uuid.uuid4().hex}.csv" ;'
+    result = run(text, spark)
+    lost = sum(e.count for e in result.events)
+    return spark.createDataFrame([(result.mode, lost)], "mode string, lost bigint")
+
+
+@query("SELECT 'X' AS scope, 'source' AS step, count(*) AS rows FROM orders UNION ALL SELECT 'X', 'filter', count(*) FROM orders WHERE o_totalprice > 50000 UNION ALL SELECT 'X', 'project', count(*) FROM orders WHERE o_totalprice > 50000")
+def telemetry(spark, d):
+    from millrace.plans.engine import run
+
+    result = run(f'X: open "{d}/orders.parquet" |? o_totalprice > 50000 |> o_orderkey ;', spark, write=False, telemetry=True)
+    materialize(result.outputs["X"], "counted")
+    return spark.createDataFrame(result.telemetry, "scope string, step string, rows bigint")
+
+
+_WINDOWS = {
+    "stream_tumbling": ("tumbling", ("1 hour",), "time_bucket(INTERVAL 1 HOUR, ts)"),
+    "stream_sliding": ("sliding", ("2 hours", "1 hour"), "unnest([time_bucket(INTERVAL 1 HOUR, ts), time_bucket(INTERVAL 1 HOUR, ts) - INTERVAL 1 HOUR])"),
+}
+
+
+def _streamed(name: str, kind: str, sizes: tuple[str, ...]) -> Query:
+    """The table as a stream of its files, windowed in the stream, and what the sink has at its end."""
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        from millrace.streaming import windows
+
+        rows = spark.readStream.schema(events(spark, d).schema).parquet(f"{d}/events.parq*")
+        out = getattr(windows, kind)(rows, "ts", *sizes, ["event_type"], [F.count(F.lit(1)).alias("n")], lateness=None)
+        table = f"{name}_{uuid.uuid4().hex}"
+        out.writeStream.outputMode("complete").format("memory").queryName(table).option("checkpointLocation", f"{scratch_dir(spark)}/{table}").trigger(availableNow=True).start().awaitTermination()
+        return spark.table(table)
+
+    return run
+
+
+for _name, (_kind, _sizes, _sql) in _WINDOWS.items():
+    QUERIES[_name] = _streamed(_name, _kind, _sizes)
+    ORACLES[_name] = f"SELECT window_start, event_type, count(*) AS n FROM (SELECT {_sql} AS window_start, event_type FROM events) GROUP BY ALL"
+
+
 @query("SELECT CAST(n_nationkey AS BIGINT) AS id, CAST(n_regionkey AS DOUBLE) / 2 AS half, n_regionkey > 1 AS big FROM nation")
 def binary_records(spark, d):
     """Fixed-width records written by the byte and decoded."""
-    import os
     import struct
-    import tempfile
 
     from millrace.sources import files
 
     rows = read(spark, d, "nation").select("n_nationkey", "n_regionkey").collect()
-    path = os.path.join(tempfile.mkdtemp(), "nation.bin")
-    with open(path, "wb") as out:
-        out.writelines(struct.pack("<idB", k, r / 2, r > 1) for k, r in rows)
+    path = _put(spark, "bin", b"".join(struct.pack("<idB", k, r / 2, r > 1) for k, r in rows))
     return files.read_binary(spark, path, [("id", "i32"), ("half", "f64"), ("big", "bool")])
