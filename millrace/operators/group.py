@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.functions.temporal import bucket, hops, span_us
-from millrace.operators.ranges import percentiles
+from millrace.operators.ranges import percentiles, small
 
 FUNCTIONS = ("count", "sum", "avg", "min", "max", "std", "first", "last", "median", "count_distinct", "nunique", "array_agg", "list_agg", "arr")
 
@@ -81,8 +81,14 @@ def group(df: DataFrame, keys: list[str], aggregates: list[tuple[str, str]] = ()
             ranks.setdefault(c, {})[title(f, c)] = rank
     picked = {name for wanted in ranks.values() for name in wanted}
     found = [aggregate(f, c, types[c], order_by).alias(title(f, c)) for f, c in aggregates if title(f, c) not in picked]
-    out = df.groupBy(*[F.col(k).alias(names[k]) for k in keys]).agg(F.count(F.lit(1)).alias("count"), *found)
     keyed = df.select(*[F.col(k).alias(f"__g{i}") for i, k in enumerate(keys)], *[F.col(c).alias(f"__c{i}") for i, c in enumerate(ranks)])
+    rows = df.groupBy(*[F.col(k).alias(names[k]) for k in keys])
+    if ranks and small(keyed):
+        # All percentiles of a column from one map, in the same pass as the other aggregates.
+        at_once = [F.percentile(F.col(c).cast("double"), F.array(*map(F.lit, wanted.values()))).alias(f"__p{i}") for i, (c, wanted) in enumerate(ranks.items())]
+        out = rows.agg(F.count(F.lit(1)).alias("count"), *found, *at_once)
+        return out.select(*names.values(), "count", *[F.get(f"__p{list(ranks).index(c)}", F.lit(list(ranks[c]).index(title(f, c)))).alias(title(f, c)) if title(f, c) in picked else F.col(f"`{title(f, c)}`") for f, c in aggregates])
+    out = rows.agg(F.count(F.lit(1)).alias("count"), *found)
     for i, wanted in enumerate(ranks.values()):
         own = percentiles(keyed, [f"__g{k}" for k in range(len(keys))], F.col(f"__c{i}"), wanted)
         same = reduce(lambda x, y: x & y, [F.col(f"`{names[k]}`").eqNullSafe(F.col(f"__g{n}")) for n, k in enumerate(keys)])

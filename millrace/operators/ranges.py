@@ -15,6 +15,16 @@ from millrace.scratch import materialize
 
 #: Rows that a window over positions handles at once, unless it looks further back than that.
 BLOCK = 100_000
+#: Bytes, by Spark's own estimate, up to which a group's distinct values may be one task's map.
+SMALL_BYTES = 16 << 20
+
+
+def small(df: DataFrame) -> bool:
+    """Whether all of ``df`` would fit one task, as Spark estimates its files; what it can't estimate isn't small."""
+    try:
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= SMALL_BYTES
+    except AttributeError:  # a session that has no plan at hand
+        return False
 
 
 def columns_of(order_by: list) -> list[Column]:
@@ -67,7 +77,12 @@ def percentiles(df: DataFrame, keys: list[str], column: Column, ranks: dict[str,
 
     Values are counted first, (key, value) by (key, value). Their ranges' totals tell which ranges
     hold a wanted place; only those are put in order, each by itself. No task holds a group.
+    Tables that are small as a whole are aggregated at once, with the same results.
     """
+    slim = df.select(*[F.col(f"`{k}`") for k in keys], column.cast("double").alias("__v"))
+    if small(slim):
+        found = slim.groupBy(*[f"`{k}`" for k in keys]).agg(F.percentile("__v", F.array(*map(F.lit, ranks.values()))).alias("__p"))
+        return found.select(*[F.col(f"`{k}`") for k in keys], *[F.get("__p", F.lit(i)).alias(name) for i, name in enumerate(ranks)])
     names = [f"__k{i}" for i in range(len(keys))]
     values = df.select(*[F.col(f"`{k}`").alias(n) for k, n in zip(keys, names)], column.cast("double").alias("__v")).filter("__v is not null")
     rows = ranged(values.groupBy(*names, "__v").agg(F.count(F.lit(1)).alias("__n")), [*names, "__v"])

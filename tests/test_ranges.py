@@ -17,6 +17,7 @@ from millrace.operators import window as w
 @pytest.fixture
 def small_blocks(spark, monkeypatch):
     monkeypatch.setattr(ranges, "BLOCK", 7)
+    monkeypatch.setattr(ranges, "SMALL_BYTES", -1)
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     yield
     spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
@@ -78,7 +79,19 @@ def test_percentiles_pick_ranks(spark, small_blocks):
     assert g.group(df.limit(0), ["k"], [("median", "v")]).count() == 0
 
 
-def test_no_task_holds_a_group(spark):
+def test_small_tables_have_the_same_percentiles(spark, monkeypatch):
+    rnd = random.Random(4)
+    df = spark.createDataFrame([(rnd.choice("xyz"), rnd.choice([None, rnd.random() * 100]), float(rnd.randint(0, 9))) for _ in range(400)], "k string, v double, u double")
+    wanted = [("median", "v"), ("p90", "u"), ("sum", "u"), ("p10", "v"), ("median", "u")]
+    at_once = g.group(df, ["k"], wanted)
+    assert at_once.columns == ["k", "count", *[f"{f}_{c}" for f, c in wanted]]
+    monkeypatch.setattr(ranges, "SMALL_BYTES", -1)
+    ranked = {r.k: r for r in g.group(df, ["k"], wanted).collect()}
+    for r in at_once.collect():
+        assert all(abs(a - b) < 1e-9 for a, b in zip(r[1:], ranked[r.k][1:]))
+
+
+def test_no_task_holds_a_group(spark, small_blocks):
     text = g.group(spark.range(1000).select((F.col("id") % 2).alias("k"), F.col("id").cast("double").alias("v")), ["k"], [("median", "v")])._jdf.queryExecution().executedPlan().toString()
     assert "percentile(" not in text
 
