@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import urllib.parse
@@ -164,9 +165,10 @@ def widened(frames: list[DataFrame]) -> DataFrame:
 def read(resources: DataFrame, column: str = "path", fmt: str | None = None, with_source: bool = False, ledger: Ledger | None = None, scope: str = "") -> DataFrame:
     """The rows of all files that ``column`` names, united by name with types widened.
 
-    Only names come to the driver. CSV files with the same header are read by one reader, so a
-    plan has one branch for each distinct header, not for each file. Files that can't be read are
-    left out and reported. ``with_source`` adds ``__src``, each row's file.
+    Only names and first lines come to the driver. CSV files with the same header, JSON-lines
+    files whose first objects have the same keys and Parquet files with the same schema are read
+    by one reader each, so a plan has one branch for each distinct form, not for each file (JSON
+    arrays have one each). Files that can't be read are left out and reported. ``with_source`` adds ``__src``, each row's file.
     """
     spark = resources.sparkSession
     names = sorted({r[0] for r in resources.select(column).filter(F.col(column).isNotNull()).distinct().collect()})
@@ -178,9 +180,14 @@ def read(resources: DataFrame, column: str = "path", fmt: str | None = None, wit
         if kind in ("csv", "tsv"):
             for header, paths in _headers(spark, own, ledger, scope).items():
                 groups[(kind, header)] = paths
+        elif kind == "json":
+            for line, paths in _headers(spark, own, ledger, scope).items():
+                form = _keys(line)
+                for n in paths:
+                    groups.setdefault((kind, form or n), []).append(n)
         else:
             for n in own:
-                groups[(kind, n)] = [n]
+                groups.setdefault((kind, _form(spark, n)), []).append(n)
     frames = []
     for (kind, key), paths in groups.items():
         try:
@@ -188,9 +195,9 @@ def read(resources: DataFrame, column: str = "path", fmt: str | None = None, wit
                 sep = "\t" if kind == "tsv" else ","
                 df = text.read_csv(spark, paths, sep=sep, ledger=ledger, scope=scope, names=text._cells(key, sep))
             elif kind == "json":
-                df = text.read_json(spark, paths[0], ledger, scope)
+                df = text.read_json(spark, sorted(paths), ledger, scope)
             else:
-                df = text.read_parquet(spark, paths[0])
+                df = text.read_parquet(spark, *paths)
             frames.append(df.withColumn("__src", plain(F.input_file_name())) if with_source else df)
         except Exception as e:  # noqa: BLE001  one bad file must not stop the others; it is reported
             if ledger is None:
@@ -199,6 +206,23 @@ def read(resources: DataFrame, column: str = "path", fmt: str | None = None, wit
     return widened(frames) if frames else spark.createDataFrame([], "path string").drop("path")
 
 
+def _keys(line: str) -> tuple[str, ...] | None:
+    """The keys of a line that is one JSON object."""
+    try:
+        found = json.loads(line)
+    except ValueError:
+        return None
+    return tuple(found) if isinstance(found, dict) else None
+
+
+def _form(spark: SparkSession, path: str) -> str:
+    """A Parquet file's schema; its path if it can't be read, which is reported where it is read."""
+    try:
+        return spark.read.parquet(path).schema.json()
+    except Exception:  # noqa: BLE001
+        return path
+
+
 def _headers(spark: SparkSession, paths: list[str], ledger: Ledger | None, scope: str) -> dict[str, list[str]]:
     there = []
     for p in paths:

@@ -157,6 +157,10 @@ def read_json(spark: SparkSession, path: str | list[str], ledger: Ledger | None
     left_out = [n for n in by_name if n != BAD and n not in keys]
     if left_out and ledger is not None:
         ledger.add(Severity.WARNING, scope, f"column(s) {', '.join(left_out)} are not in the first object and were left out", len(left_out))
+    if not keys:
+        if ledger is not None:
+            ledger.add(Severity.ERROR, scope, f"{path} holds no JSON object")
+        return spark.range(0).drop("id")
     schema = T.StructType([by_name[k] for k in keys] + [T.StructField(BAD, T.StringType())])
     raw = spark.read.json(path, schema=schema, multiLine=array, columnNameOfCorruptRecord=BAD)
     if ledger is not None:
@@ -164,9 +168,10 @@ def read_json(spark: SparkSession, path: str | list[str], ledger: Ledger | None
     return _well_formed(raw)
 
 
-def read_parquet(spark: SparkSession, path: str) -> DataFrame:
+def read_parquet(spark: SparkSession, *paths: str) -> DataFrame:
     """Flat columns in their lanes; nested columns are refused."""
-    df = spark.read.parquet(path)
+    path = paths[0]
+    df = spark.read.parquet(*paths)
     out = []
     for f in df.schema:
         q = F.col(f"`{f.name}`")

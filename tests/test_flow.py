@@ -298,3 +298,18 @@ def test_binary_of_many_records(spark, folder):
     (folder / "big.bin").write_bytes(b"".join(struct.pack("<qf", i, i / 4) for i in range(20_011)))
     result = run("X: open big.bin as bin (id:i64 v:f32) ;", spark, str(folder)).outputs["X"]
     assert result.selectExpr("count(*)", "sum(id)", "sum(v)").first() == (20_011, sum(range(20_011)), sum(range(20_011)) / 4)
+
+
+def test_files_of_one_form_share_a_reader(spark, folder):
+    (folder / "m").mkdir()
+    for i in range(6):
+        (folder / f"m/{i}.jsonl").write_text(f'{{"a":{i},"b":{i}.5}}\n{{"a":{i}}}\n' if i % 2 else f'{{"b":{i},"c":"x"}}\n')
+        spark.createDataFrame([(i, "p")], "a bigint, d string").coalesce(1).write.parquet(f"file://{folder}/q{i}")
+        next((folder / f"q{i}").glob("part-*")).rename(folder / f"m/{i}.parquet")
+    (folder / "m/z.jsonl").write_text("nonsense\n")
+    result = run(f'X: ls "{folder}/m/*.*" read with source |> a b c d (source.uri) as u ;', spark).outputs["X"]
+    got = result.collect()
+    assert len(got) == 3 * 2 + 3 + 6 and sorted(r.a for r in got if r.d) == list(range(6)) and {r.b for r in got if r.c} == {0.0, 2.0, 4.0}
+    assert all(r.u.startswith(str(folder)) for r in got)
+    tree = result._jdf.queryExecution().optimizedPlan().toString()
+    assert tree.count("Relation [") <= 4
