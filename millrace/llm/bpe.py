@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import base64
 import gc
+import threading
 from collections.abc import Iterable, Iterator
 from itertools import chain
 
@@ -26,6 +27,8 @@ from pyspark.sql import types as T
 PIECE_MEMORY = 800_000
 #: Pairs of neighbours that it remembers.
 PAIR_MEMORY = 250_000
+#: How long an idle Python worker remembers them.
+IDLE_SECONDS = 3.0
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -214,6 +217,10 @@ class Encoder:
                     found[i] = known[pieces[i]]
         return list(chain.from_iterable(found))
 
+    def forget(self) -> None:
+        self._known, self._older = {}, {}
+        self.vocabulary._apart.clear()
+
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.vocabulary.token_bytes.__getitem__, ids))
 
@@ -229,6 +236,43 @@ def shared_encoder(ranks_path: str, pattern: str) -> Encoder:
     return _ENCODERS[key]
 
 
+class _Use:
+    """Counts this process's encoding tasks; its encoders forget their pieces once it has none for IDLE_SECONDS.
+
+    A Python worker outlives its stage, and what it remembers would be taken from the next one.
+    """
+
+    def __init__(self):
+        self.lock, self.tasks, self.ended = threading.Lock(), 0, 0
+
+    def __enter__(self) -> None:
+        with self.lock:
+            self.tasks += 1
+
+    def __exit__(self, *_) -> None:
+        with self.lock:
+            self.tasks -= 1
+            self.ended += 1
+            timer = threading.Timer(IDLE_SECONDS, self.forget, (self.ended,))
+        timer.daemon = True
+        timer.start()
+
+    def forget(self, ended: int) -> None:
+        with self.lock:
+            if self.tasks == 0 and self.ended == ended:
+                for encoder in _ENCODERS.values():
+                    encoder.forget()
+
+
+_USES: list[_Use] = []
+
+
+def _in_use() -> _Use:
+    if not _USES:
+        _USES.append(_Use())
+    return _USES[0]
+
+
 class TextTable:
     """A text that grows at its end, with its encoding at hand.
 
@@ -286,7 +330,8 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
         collecting = gc.isenabled()
         gc.disable()
         try:
-            yield from encoded(batches)
+            with _in_use():
+                yield from encoded(batches)
         finally:
             if collecting:
                 gc.enable()

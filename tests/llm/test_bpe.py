@@ -73,3 +73,23 @@ def test_vocabularies_that_cannot_encode():
     unreachable = Encoder({b"a": 0, b"b": 1, b"c": 2, b"abc": 3}, P.PATTERN)
     with pytest.raises(ValueError, match="reached by merges"):
         PrefixTable(unreachable.vocabulary, b"abcabc")
+
+
+def test_idle_workers_forget(monkeypatch):
+    import time
+
+    from millrace.llm import bpe
+
+    monkeypatch.setattr(bpe, "IDLE_SECONDS", 0.2)
+    encoder = bpe.shared_encoder(PATH, P.PATTERN)
+    text = "some words to be kept"
+    with bpe._in_use():
+        ids = encoder.encode(text)
+        time.sleep(0.4)
+        assert encoder._known
+        with bpe._in_use():
+            pass
+        time.sleep(0.4)
+        assert encoder._known  # another task is still at work
+    time.sleep(0.5)
+    assert not encoder._known and encoder.encode(text) == ids == THEIRS.encode_ordinary(text)
