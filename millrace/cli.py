@@ -1,4 +1,4 @@
-"""Command line: run, explain, check, fmt, gen."""
+"""Command line: run, explain, check, fmt, gen, serve."""
 
 from __future__ import annotations
 
@@ -28,7 +28,7 @@ def _program(args: argparse.Namespace) -> tuple[str, str]:
 
 def main(argv: list[str] | None = None) -> int:
     argv = list(sys.argv[1:] if argv is None else argv)
-    if argv and argv[0] not in ("run", "explain", "check", "fmt", "gen", "-h", "--help"):
+    if argv and argv[0] not in ("run", "explain", "check", "fmt", "gen", "serve", "-h", "--help"):
         argv.insert(0, "run")
     parser = argparse.ArgumentParser(prog="millrace")
     verbs = parser.add_subparsers(dest="verb", required=True)
@@ -45,6 +45,11 @@ def main(argv: list[str] | None = None) -> int:
             sub.add_argument(ignored, help="accepted; Spark decides")
         sub.add_argument("--no-opt", action="store_true", help="accepted; Catalyst always optimises")
         sub.add_argument("--preview", type=int, default=20)
+        if name == "run":
+            sub.add_argument("--on", metavar="HOST:PORT", help="let a machine that serves run the flow")
+    serve = verbs.add_parser("serve")
+    serve.add_argument("--bind", default="127.0.0.1:9001")
+    serve.add_argument("--master")
     gen = verbs.add_parser("gen")
     gen.add_argument("shape")
     gen.add_argument("--rows", type=int, default=1000)
@@ -56,6 +61,8 @@ def main(argv: list[str] | None = None) -> int:
             for line in generate(args.shape, args.rows, args.seed, args.ratio):
                 print(line)
             return 0
+        if args.verb == "serve":
+            return _serve(args)
         text, base = _program(args)
         if args.verb == "run" and transform_only(text):
             text = f"Main: open stdin {text} save stdout as csv ;"
@@ -77,18 +84,50 @@ def main(argv: list[str] | None = None) -> int:
             else:
                 print(source, end="")
             return 0
-        return _execute(args, program, base)
-    except (FlowError, ValueError) as e:
+        if args.verb == "run" and args.on:
+            from millrace.remote import run_on
+
+            return run_on(args.on, to_source(program), {"json": args.json, "telemetry": args.telemetry, "parts": args.parts, "preview": args.preview})
+        return _execute(args, program, base, _session(args))
+    except (FlowError, ValueError, PermissionError) as e:
         print(f"error: {e}", file=sys.stderr)
         return 2
 
 
-def _execute(args: argparse.Namespace, program, base: str) -> int:
-    from millrace.plans.engine import run
+def _session(args: argparse.Namespace):
     from millrace.session import session
 
     spark = session(args.master or os.environ.get("SPARK_MASTER") or "local[*]", **{"spark.ui.showConsoleProgress": "false"})
     spark.sparkContext.setLogLevel("ERROR")
+    return spark
+
+
+def _serve(args: argparse.Namespace) -> int:
+    from millrace.remote import server
+
+    spark = _session(args)
+
+    with server(args.bind, lambda flow, options: remote_flow(spark, flow, options)) as listening:
+        print(f"serving on {args.bind}", file=sys.stderr)
+        try:
+            listening.serve_forever()
+        except KeyboardInterrupt:
+            pass
+    return 0
+
+
+def remote_flow(spark, flow: str, options: dict) -> int:
+    """Run a flow that another machine sent; standard input doesn't travel with it."""
+    program = parse(flow)
+    if any(scope.head.op == "open" and scope.head.args["path"] in ("-", "stdin") for scope in program.scopes):
+        raise FlowError("a remote flow can't open standard input")
+    asked = {"json": False, "telemetry": False, "parts": False, "preview": 20} | options
+    return _execute(argparse.Namespace(verb="run", **asked), program, os.getcwd(), spark)
+
+
+def _execute(args: argparse.Namespace, program, base: str, spark) -> int:
+    from millrace.plans.engine import halted, run
+
     result = run(program, spark, base, write=args.verb == "run", single=False if args.parts else None, telemetry=args.telemetry)
     if args.verb == "explain":
         print(to_source(program))
@@ -98,7 +137,11 @@ def _execute(args: argparse.Namespace, program, base: str) -> int:
             df.explain("formatted")
         return 0
     for name in result.leaves:
-        result.outputs[name].show(args.preview, truncate=False)
+        try:
+            result.outputs[name].show(args.preview, truncate=False)
+        except Exception as e:
+            if not halted(e, name, result.ledger):
+                raise
     for e in result.events:
         line = {"severity": e.severity.name.lower(), "scope": e.scope, "message": e.message, "count": e.count}
         print(json.dumps(line) if args.json else f"[{line['severity']}] {e.scope}: {e.message}", file=sys.stderr)

@@ -492,11 +492,17 @@ class Engine:
                 ordered = df.orderBy(*order) if order and (self.single or self.sorted.get(label)) else df
                 sinks.save(ordered.select(*[F.col(f"`{c}`") for c in columns(df)]), self.path(path), fmt, single=self.single)
         except Exception as e:
-            if "ContractHalted" in str(e):
-                found = re.search(r"ContractHalted: ([^\n]*?)(?: SQLSTATE: \w+)?$", str(e), re.MULTILINE)
-                self.ledger.add(Severity.FATAL, label, f"halted: {found[1] if found else ''}")
-                return
-            raise
+            if not halted(e, label, self.ledger):
+                raise
+
+
+def halted(e: Exception, label: str, ledger: Ledger) -> bool:
+    """Whether an action failed because a contract halted it; if so, the ledger is told."""
+    if "ContractHalted" not in str(e):
+        return False
+    found = re.search(r"ContractHalted: ([^\n]*?)(?: SQLSTATE: \w+)?$", str(e), re.MULTILINE)
+    ledger.add(Severity.FATAL, label, f"halted: {found[1] if found else ''}")
+    return True
 
 
 def _dotted(name: str) -> Expr:
