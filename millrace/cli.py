@@ -89,7 +89,7 @@ def main(argv: list[str] | None = None) -> int:
 
             return run_on(args.on, to_source(program), {"json": args.json, "telemetry": args.telemetry, "parts": args.parts, "preview": args.preview})
         return _execute(args, program, base, _session(args))
-    except (FlowError, ValueError, PermissionError) as e:
+    except (FlowError, ValueError, OSError) as e:
         print(f"error: {e}", file=sys.stderr)
         return 2
 

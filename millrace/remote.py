@@ -10,10 +10,12 @@ from __future__ import annotations
 import http.client
 import ipaddress
 import json
+import socket
 import sys
 from collections.abc import Callable
 from contextlib import redirect_stderr, redirect_stdout
 from http.server import BaseHTTPRequestHandler, HTTPServer
+from urllib.parse import urlsplit
 
 from millrace.streaming.sources import NotAllowed, _listed
 
@@ -79,7 +81,7 @@ def server(bind: str, execute: Callable[[str, dict], int]) -> HTTPServer:
         def do_POST(self) -> None:
             try:
                 allow_peer(self.client_address[0])
-                allow_peer(address(self.headers.get("Host", ""))[0])
+                allow_peer(urlsplit(f"//{self.headers.get('Host', '')}").hostname or "")
             except (NotAllowed, ValueError) as e:
                 return self.refuse(403, str(e))
             length = self.headers.get("Content-Length", "")
@@ -91,6 +93,9 @@ def server(bind: str, execute: Callable[[str, dict], int]) -> HTTPServer:
             except (ValueError, KeyError, TypeError, AttributeError) as e:
                 return self.refuse(400, f"not a job: {e}")
             self.close_connection = True
+            # Only a request has to come in time: a reader may pause as long as it lives.
+            self.connection.settimeout(None)
+            self.connection.setsockopt(socket.SOL_SOCKET, socket.SO_KEEPALIVE, 1)
             self.send_response(200)
             self.send_header("Transfer-Encoding", "chunked")
             self.end_headers()
@@ -108,9 +113,11 @@ def server(bind: str, execute: Callable[[str, dict], int]) -> HTTPServer:
         def log_message(self, form: str, *args) -> None:
             pass
 
-    host = address(bind)[0]
-    allow_peer(host)
-    return HTTPServer(address(bind), Handler)
+    class Server(HTTPServer):
+        address_family = socket.AF_INET6 if ":" in address(bind)[0] else socket.AF_INET
+
+    allow_peer(address(bind)[0])
+    return Server(address(bind), Handler)
 
 
 def run_on(peer: str, flow: str, options: dict) -> int:

@@ -74,6 +74,22 @@ def test_peers_have_to_be_allowed(peer, monkeypatch, capsys):
         remote.server("0.0.0.0:0", lambda flow, options: 0)
     with pytest.raises(ValueError):
         remote.address("nowhere")
+    assert remote.address("http://[::1]:9001/") == ("::1", 9001)
+    assert cli.main(["run", "--on", "127.0.0.1:1", "-c", "A: open a.csv ;"]) == 2
+    assert "127.0.0.1:1" in capsys.readouterr().err
+    assert cli.main(["fmt", "absent/flow.txt"]) == 2
+
+
+def test_a_reader_that_leaves_ends_its_flow_only(peer, tmp_path):
+    (tmp_path / "a.csv").write_text("n\n" + "".join(f"{i}\n" for i in range(200_000)))
+    flow = f"A: open {tmp_path}/a.csv save stdout as csv ;"
+    link = http.client.HTTPConnection(peer)
+    link.request("POST", "/run", json.dumps({"flow": flow}), {"Content-Type": remote.CONTENT})
+    answer = link.getresponse()
+    assert json.loads(answer.readline()) == {"out": "n\n"}
+    answer.close()
+    link.close()
+    assert send(peer, "-c", f"A: open {tmp_path}/a.csv |? n < 5 ;").returncode == 0
 
 
 @pytest.mark.parametrize(
@@ -84,6 +100,8 @@ def test_peers_have_to_be_allowed(peer, monkeypatch, capsys):
         ("/run", {"Content-Type": remote.CONTENT}, "{", 400),
         ("/", {"Content-Type": remote.CONTENT}, "{}", 400),
         ("/run", {"Content-Type": remote.CONTENT, "Host": "evil.example:80"}, "{}", 403),
+        ("/run", {"Content-Type": remote.CONTENT, "Host": "evil.example"}, "{}", 403),
+        ("/run", {"Content-Type": remote.CONTENT, "Host": "localhost"}, "{}", 400),
     ],
 )
 def test_other_requests_are_refused(peer, path, headers, body, status):
