@@ -39,10 +39,8 @@ def ranged(df: DataFrame, order_by: list) -> DataFrame:
 def handed_on(df: DataFrame, edge: Column, forward: bool = True) -> DataFrame:
     """``df`` with ``__carry``: the aggregate ``edge`` of the nearest range before (after) that has one."""
     edges = df.groupBy("__range").agg(edge.alias("__edge"))
-    if forward:
-        carry = F.last("__edge", ignorenulls=True).over(W.orderBy("__range").rowsBetween(W.unboundedPreceding, -1))
-    else:
-        carry = F.first("__edge", ignorenulls=True).over(W.orderBy("__range").rowsBetween(1, W.unboundedFollowing))
+    order = W.orderBy("__range" if forward else F.desc("__range"))
+    carry = F.last("__edge", ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, -1))
     edges = edges.select(F.col("__range").alias("__of"), carry.alias("__carry"))
     return df.join(edges, F.col("__range") == F.col("__of")).drop("__of")  # as many rows as ranges: Spark broadcasts it
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -52,12 +52,19 @@ def fill(df: DataFrame, column: str, value: object) -> DataFrame:
 def _filled(df: DataFrame, column: str, order_by: list, by: list[str], forward: bool) -> DataFrame:
     c = F.col(column)
     known = F.when(c != "", c) if isinstance(df.schema[column].dataType, T.StringType) else c
-    frame = W.partitionBy(*by).orderBy(*order_by)
+    near = _nearest(W.partitionBy(*by).orderBy(*order_by), forward)
+    return df.withColumn("__known", known).withColumn(column, F.coalesce(near, c)).drop("__known")
+
+
+def _nearest(order: WindowSpec, forward: bool) -> Column:
+    """``__known`` of the row itself, or else of the nearest row before (after) that has one.
+
+    Both read a partition once. A frame to ``unboundedFollowing`` would be gone through anew for each
+    of its rows, so the next value is found by ``lead``.
+    """
     if forward:
-        near = F.last(known, ignorenulls=True).over(frame.rowsBetween(W.unboundedPreceding, 0))
-    else:
-        near = F.first(known, ignorenulls=True).over(frame.rowsBetween(0, W.unboundedFollowing))
-    return df.withColumn(column, F.coalesce(near, c))
+        return F.last("__known", ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, 0))
+    return F.coalesce(F.col("__known"), F.expr("lead(__known, 1) IGNORE NULLS").over(order))
 
 
 def ffill(df: DataFrame, column: str, order_by: list, by: list[str] | None = None) -> DataFrame:
@@ -82,12 +89,8 @@ def ordered_fill(df: DataFrame, column: str, order_by: list, forward: bool) -> D
     c = F.col(column)
     known = F.when(c != "", c) if isinstance(df.schema[column].dataType, T.StringType) else c
     place = F.when(known.isNotNull(), F.struct(*columns_of(order_by)))
-    frame = W.partitionBy("__range").orderBy(*order_by)
-    if forward:
-        near, edge = F.last(known, ignorenulls=True).over(frame.rowsBetween(W.unboundedPreceding, 0)), F.max_by(known, place)
-    else:
-        near, edge = F.first(known, ignorenulls=True).over(frame.rowsBetween(0, W.unboundedFollowing)), F.min_by(known, place)
-    joined = handed_on(ranged(df, order_by), edge, forward).withColumn("__near", near)
+    near, edge = _nearest(W.partitionBy("__range").orderBy(*order_by), forward), (F.max_by if forward else F.min_by)(known, place)
+    joined = handed_on(ranged(df, order_by), edge, forward).withColumn("__known", known).withColumn("__near", near)
     return joined.withColumn(column, F.coalesce("__near", "__carry", c)).select(*df.columns)
 
 

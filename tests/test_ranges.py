@@ -108,3 +108,33 @@ def ranges_hops(size, hop):
     from millrace.functions import temporal as t
 
     return t.hops(F.col("ts"), size, hop)
+
+
+@pytest.mark.parametrize("by", [None, ["k"]])
+def test_bfill_reads_a_partition_once(spark, by):
+    """A frame to the end is gone through anew for each row: a range's rows, squared."""
+    n = 200_000
+    df = spark.range(n).select("id", F.lit(1).alias("k"), F.when(F.col("id") % 1000 == 998, F.col("id").cast("string")).when(F.col("id") % 2 == 0, "").alias("v"))
+    filled = r.bfill(df, "v", ["id"], by)
+    assert "unboundedfollowing" not in filled._jdf.queryExecution().optimizedPlan().toString().lower()
+    after = F.col("id") + F.pmod(998 - F.col("id"), F.lit(1000))
+    expected = F.when(after < n, after.cast("string")).when(F.col("id") % 2 == 0, "")
+    assert filled.count() == n and filled.filter(~F.col("v").eqNullSafe(expected)).count() == 0
+
+
+@pytest.mark.parametrize("known", [0, 2, 7, 30])
+@pytest.mark.parametrize("by", [[], ["k"]])
+def test_bfill_equals_a_walk_backwards(spark, small_blocks, by, known):
+    rnd = random.Random(known)
+    rows = [(i, rnd.choice(["a", "b", None]), f"v{i}" if rnd.randrange(30) < known else rnd.choice([None, ""])) for i in range(300)]
+    after, expected = {}, {}
+    for i, k, v in reversed(rows):
+        key = k if by else 0
+        after[key] = v or after.get(key)
+        expected[i] = after[key] or v
+    df = spark.createDataFrame(rows, "i int, k string, v string").repartition(9)
+    out = r.bfill(df, "v", ["i"], by)
+    assert out.schema == df.schema and {x.i: x.v for x in out.collect()} == expected
+    if by:  # keys of an order may have directions
+        mirrored = r.bfill(df.withColumn("m", -F.col("i")), "v", [F.desc("m")], by)
+        assert {x.i: x.v for x in mirrored.collect()} == expected
